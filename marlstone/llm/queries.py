@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marlstone.llm.mixing import op10_mixing
+from marlstone.llm.near_dups import op8_minhash_near_dedup
 from marlstone.llm.packing import op3_best_fit_packing
 from marlstone.llm.token_counts import op4_token_counts
 
@@ -10,6 +12,8 @@ def queries() -> dict:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_counts": op4_token_counts,
+        "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op10_mixing": op10_mixing,
     }
 
 
