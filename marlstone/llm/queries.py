@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marlstone.llm import quality_rules
+from marlstone.llm.classifier import op9_quality_classifier
 from marlstone.llm.mixing import op10_mixing
 from marlstone.llm.near_dups import op8_minhash_near_dedup
 from marlstone.llm.packing import op3_best_fit_packing
@@ -12,10 +14,12 @@ def queries() -> dict:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_counts": op4_token_counts,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality_rules.SQL}
