@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from marlstone.llm import quality_rules
 from marlstone.llm.classifier import op9_quality_classifier
+from marlstone.llm.html import op6_html_extraction
 from marlstone.llm.mixing import op10_mixing
 from marlstone.llm.near_dups import op8_minhash_near_dedup
 from marlstone.llm.packing import op3_best_fit_packing
+from marlstone.llm.pii import op2_pii_surrogates
 from marlstone.llm.token_counts import op4_token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_pii_surrogates": op2_pii_surrogates,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_counts": op4_token_counts,
+        "op6_html_extraction": op6_html_extraction,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_quality_classifier": op9_quality_classifier,
