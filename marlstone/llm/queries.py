@@ -9,6 +9,7 @@ from marlstone.llm.mixing import op10_mixing
 from marlstone.llm.near_dups import op8_minhash_near_dedup
 from marlstone.llm.packing import op3_best_fit_packing
 from marlstone.llm.pii import op2_pii_surrogates
+from marlstone.llm.repeats import op5_suffix_dedup
 from marlstone.llm.token_counts import op4_token_counts
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op2_pii_surrogates": op2_pii_surrogates,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_counts": op4_token_counts,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_html_extraction": op6_html_extraction,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
