@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from marlstone.llm import quality_rules
+from marlstone.llm.audio import op1_chroma_fingerprints
 from marlstone.llm.classifier import op9_quality_classifier
 from marlstone.llm.html import op6_html_extraction
 from marlstone.llm.mixing import op10_mixing
@@ -15,6 +17,7 @@ from marlstone.llm.token_counts import op4_token_counts
 
 def queries() -> dict:
     return {
+        "op1_chroma_fingerprints": op1_chroma_fingerprints,
         "op2_pii_surrogates": op2_pii_surrogates,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_counts": op4_token_counts,
@@ -24,6 +27,7 @@ def queries() -> dict:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mixing": op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
