@@ -153,8 +153,9 @@ def hybrid_documents(raw: DataFrame) -> DataFrame:
     image = F.col("source_type").endswith("_embedded_image")
     text = F.when(~image, F.struct("seq", F.when(stripped(F.col("text")) != "", F.col("text")).alias("text"), "metadata"))
     shown = F.when(image & (stripped(F.col("text")) != ""), F.struct(F.coalesce("image_index", F.lit(0)).alias("image_index"), "seq", F.col("text").alias("image_text"), "source_type"))
+    by_seq = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
     rows = raw.withColumns({"source_path": F.coalesce("source_path", F.lit("")), "page": F.coalesce("page", F.lit(1)), "source_type": F.coalesce("source_type", F.lit(""))})
-    out = rows.groupBy("source_path", "page").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(text)).alias("texts"), F.array_sort(F.collect_list(shown)).alias("images"))
+    out = rows.groupBy("source_path", "page").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(text), by_seq).alias("texts"), F.array_sort(F.collect_list(shown)).alias("images"))
     merge = F.aggregate("texts", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, t: later_wins(m, t["metadata"]))
     out = out.select(
         "seq", "source_path", "page",

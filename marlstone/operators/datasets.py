@@ -68,8 +68,8 @@ def retrieval_examples(questions: DataFrame, chunks: DataFrame, seed: int = 0, f
     deck = chunks.select(F.col("id").cast("string").alias("cid"), order(F.col("id"), seed).alias("_h")).orderBy("_h", "cid").limit(first * drawn)
     deck = deck.withColumn("_i", F.row_number().over(Window.orderBy("_h", "cid")) - 1)  # first * drawn rows
     dealt = deck.withColumn("_q", F.expr(f"_i div {drawn}"))
-    rows = asked.join(dealt, "_q", "left").where(F.col("cid").isNull() | ~F.array_contains("source_chunks", F.col("cid")))
-    out = rows.groupBy("id", "question", "source_chunks").agg(F.array_sort(F.collect_list(F.struct("_i", "cid"))).alias("x"))
+    fits = F.when(F.col("cid").isNotNull() & ~F.array_contains("source_chunks", F.col("cid")), F.struct("_i", "cid"))
+    out = asked.join(dealt, "_q", "left").groupBy("id", "question", "source_chunks").agg(F.array_sort(F.collect_list(fits)).alias("x"))
     return out.select("id", F.col("question").alias("query"), F.col("source_chunks").alias("relevant_chunks"), F.slice("x.cid", 1, most).alias("irrelevant_chunks"))
 
 

@@ -180,6 +180,6 @@ def gate(ranked: DataFrame, most: float = GATE["max"], mean: float = GATE["mean"
 
 def requests_in_window(events: DataFrame, seconds: int = 60, key: str = "user_id") -> DataFrame:
     """R13, analytically: requests of the same key within the last ``seconds``, this one included."""
-    at = F.unix_micros("ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
     recent = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("recent", F.count("*").over(recent))

@@ -110,7 +110,7 @@ def rank_fusion(spark, d):
     return retrieval.rrf(rows).drop("text")
 
 
-@query("""WITH v AS (SELECT item_id AS query_id, text, [text, upper(text) || '  ', 'other way', 'tiny'] AS vs FROM benchmark),
+@query("""WITH v AS (SELECT item_id AS query_id, text, [text, '  ' || text || '  ', 'other way', 'tiny'] AS vs FROM benchmark),
 k AS (SELECT query_id, [text] || list_filter(vs, lambda t: length(trim(t)) > 5)[1:3] AS vs FROM v),
 u AS (SELECT query_id, unnest(range(len(vs))) AS pos, unnest(vs) AS text FROM k),
 x AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(trim(text)) ORDER BY pos) AS n FROM u)
@@ -118,7 +118,7 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1)::I
 def query_variants(spark, d):
     """R8."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    proposed = q.select("query_id", F.array("text", F.concat(F.upper("text"), F.lit("  ")), F.lit("other way"), F.lit("tiny")).alias("texts"))
+    proposed = q.select("query_id", F.array("text", F.concat(F.lit("  "), F.col("text"), F.lit("  ")), F.lit("other way"), F.lit("tiny")).alias("texts"))
     return retrieval.variants(q, proposed)
 
 
@@ -349,7 +349,7 @@ def questions(spark, d):
 
 @query("""WITH q AS (SELECT item_id AS id, text AS query, row_number() OVER (ORDER BY item_id) - 1 AS q FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 50)),
 c AS (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id::VARCHAR) - 1 AS i FROM documents)
-SELECT id, query, list(doc_id::VARCHAR ORDER BY i)[1:5] AS irrelevant_chunks FROM q JOIN c ON c.i // 10 = q.q WHERE doc_id <> id GROUP BY 1, 2""")
+SELECT id, query, coalesce(list(doc_id::VARCHAR ORDER BY i) FILTER (WHERE doc_id <> id), [])[1:5] AS irrelevant_chunks FROM q LEFT JOIN c ON c.i // 10 = q.q GROUP BY 1, 2""")
 def retrieval_examples(spark, d):
     """D6."""
     return datasets.retrieval_examples(questions(spark, d), chunk_rows(spark, d)).select("id", "query", "irrelevant_chunks")

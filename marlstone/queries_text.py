@@ -296,7 +296,7 @@ SELECT event_id, sha256('{"event_type": "' || event_type || '", "task_name": "in
     epoch_us(ts) >= epoch_us(now) - 86400 * 1000000 AS kept FROM e""")
 def task_ledger(spark, d):
     """K10, with events as tasks and the last one's time as now."""
-    rows = table(spark, d, "events")
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = rows.join(F.broadcast(rows.agg(F.max("ts").alias("now"))), how="cross")  # one row
     status = F.element_at(F.array(*[F.lit(x) for x in ("PENDING", "STARTED", "RETRY", "SUCCESS", "FAILURE")]), (F.col("event_id") % 5 + 1).cast("int"))
     args = F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("event_type"), F.col("event_type"))

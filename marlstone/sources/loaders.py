@@ -20,6 +20,8 @@ SUFFIXES = {
     "pdf": [".pdf"], "word": [".docx", ".doc"], "powerpoint": [".pptx", ".ppt"],
     "image": [".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp"], "text": [".txt"],
 }
+#: Where Windows-1252 differs from Latin-1.
+CP1252 = ["".join(x) for x in zip(*((chr(b), c) for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))), strict=True)]
 RAW = "source_path string, page int, total_pages int, text string, source_type string, image_index int, image_data binary"
 CONFIDENT = 40
 W, A, P = ("{http://schemas.openxmlformats.org/%s/2006/main}" % x for x in ("wordprocessingml", "drawingml", "presentationml"))
@@ -47,7 +49,8 @@ def decoded(content: Column) -> tuple[Column, Column]:
     utf8 = F.try_validate_utf8(content.cast("string"))
     open_bytes = F.hex(content).rlike("^(?:..)*(?:81|8D|8F|90|9D)")
     encoding = F.when(utf8.isNotNull(), "utf-8").when(~open_bytes, "cp1252").otherwise("latin-1")
-    other = F.when(~open_bytes, F.decode(content, "windows-1252")).otherwise(F.decode(content, "ISO-8859-1"))
+    latin = F.decode(content, "ISO-8859-1")
+    other = F.when(~open_bytes, F.translate(latin, CP1252[0], CP1252[1])).otherwise(latin)
     return F.coalesce(utf8, other), encoding
 
 
