@@ -21,7 +21,8 @@ SUFFIXES = {
     "image": [".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp"], "text": [".txt"],
 }
 #: Where Windows-1252 differs from Latin-1.
-CP1252 = ["".join(x) for x in zip(*((chr(b), c) for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))), strict=True)]
+_PAIRS = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+CP1252 = ["".join(x) for x in zip(*(p for p in _PAIRS if p[1]), strict=True)]
 RAW = "source_path string, page int, total_pages int, text string, source_type string, image_index int, image_data binary"
 CONFIDENT = 40
 W, A, P = ("{http://schemas.openxmlformats.org/%s/2006/main}" % x for x in ("wordprocessingml", "drawingml", "presentationml"))

@@ -41,7 +41,7 @@ def test_judge_score(spark, reply, want):
     assert one(spark, T.judge_score(F.col("t")), t=reply) == want
 
 
-@pytest.mark.parametrize(("t", "want"), [("Article 5 Scope\nx", "Article 5 Scope"), ("a1\n1.2.3 Title here\ny", "1.2.3 Title here"), ("z9\nALL CAPS\nw", "ALL CAPS"), ("no 1 here.", "")])
+@pytest.mark.parametrize(("t", "want"), [("Article 5 Scope\nx", "Article 5 Scope"), ("a1\n1.2.3. Title here\ny", "1.2.3. Title here"), ("z9\nALL CAPS\nw", "ALL CAPS"), ("no 1 here.", "")])
 def test_heading(spark, t, want):
     assert one(spark, T.heading(F.col("t")), t=t) == want
 
