@@ -8,12 +8,14 @@ run and carries section headings forward, so it takes the document order from ``
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from marlstone.functions.text import heading, language_hint, stripped, text_hash
 
@@ -89,14 +91,6 @@ def packed(parts: list[str], size: int = SIZE, overlap: int = OVERLAP) -> list[s
     return [*out, " ".join(held)] if held else out
 
 
-def split_udf(size: int, overlap: int):
-    @pandas_udf("array<string>")
-    def split(texts: pd.Series, languages: pd.Series) -> pd.Series:
-        return pd.Series([packed(sentences(t or "", lang), size, overlap) if (t or "").strip() else [] for t, lang in zip(texts, languages, strict=True)])
-
-    return split
-
-
 def split_sentences(text: Column, language: Column) -> Column:
     """C1 as an expression."""
 
@@ -107,10 +101,26 @@ def split_sentences(text: Column, language: Column) -> Column:
     return split(text, language)
 
 
-def pieces(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Raw chunks of each row of ``docs``: its columns, ``chunk_index`` and ``chunk_text``."""
-    parts = docs.withColumn("_parts", split_udf(size, overlap)(F.coalesce("text", F.lit("")), F.coalesce("language", F.lit("english"))))
-    return parts.select(*[c for c in docs.columns if c != "text"], F.posexplode("_parts").alias("chunk_index", "chunk_text"))
+def pieces(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, with_images: bool = False) -> DataFrame:
+    """Raw chunks of each row of ``docs``: its columns but the text, ``chunk_index`` and ``chunk_text``. With
+    ``with_images`` the marks of ``images`` are placed first. Other columns pass through as Arrow arrays."""
+    keep = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_text", T.StringType())])
+    shown = keep.index("images") if with_images else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, languages = (batch.column(len(keep) + k).to_pylist() for k in (0, 1))
+            if with_images:
+                texts = [merged(t, i or []) for t, i in zip(texts, batch.column(shown).to_pylist(), strict=True)]
+            parts = [packed(sentences(t, lang), size, overlap) if t.strip() else [] for t, lang in zip(texts, languages, strict=True)]
+            rows = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
+            arrays = [batch.column(k).take(rows) for k in range(len(keep))]
+            arrays += [pa.array([k for p in parts for k in range(len(p))], pa.int32()), pa.array([x for p in parts for x in p], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, "chunk_index", "chunk_text"])
+
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce("language", F.lit("english")).alias("_language"))
+    return rows.mapInArrow(run, schema)
 
 
 def surviving(raw: DataFrame, run: str | None = None, least: int = LEAST, dedup: bool = True, always: Column | None = None) -> DataFrame:
@@ -137,9 +147,6 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int
 
 
 # --- documents with images ---
-IMAGE = "array<struct<image_index:int,image_text:string,source_type:string>>"
-
-
 def later_wins(a: Column, b: Column) -> Column:
     """Both maps' entries; ``b`` wins where keys meet; null is empty."""
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
@@ -237,19 +244,12 @@ def merged(text: str, images: list[dict]) -> str:
     return "\n\n".join(out + marks)
 
 
-@pandas_udf(StringType())
-def merged_udf(texts: pd.Series, images: pd.Series) -> pd.Series:
-    return pd.Series([merged(t or "", [dict(x) for x in i]) for t, i in zip(texts, images, strict=True)])
-
-
 def hybrid_chunks(raw: DataFrame, size: int = HYBRID["size"], overlap: int = HYBRID["overlap"], least: int = LEAST, run: str | None = None) -> DataFrame:
     """Chunks of documents with images. Pages of text and images chunk their merged text; images
     without text are a chunk each; flags and the images that a chunk mentions are columns."""
     docs = hybrid_documents(raw)
     docs = docs.withColumn("language", F.coalesce(F.col("metadata")["language"], F.lit("english")))
-    both = docs.where(F.col("text") != "")
-    both = both.withColumn("text", F.when(F.size("images") > 0, merged_udf("text", F.col("images").cast(IMAGE))).otherwise(F.col("text")))
-    raw_text = pieces(both, size, overlap).withColumn("is_image_only", F.lit(False))
+    raw_text = pieces(docs.where(F.col("text") != ""), size, overlap, with_images=True).withColumn("is_image_only", F.lit(False))
     alone = docs.where(F.col("text") == "").select("*", F.posexplode("images").alias("chunk_index", "image"))
     alone = alone.select(*[c for c in docs.columns if c not in ("text", "images")], F.array("image").alias("images"), "chunk_index", image_text(F.col("image")).alias("chunk_text"), F.lit(True).alias("is_image_only"))
     rows = surviving(raw_text.unionByName(alone), run, least, always=F.col("is_image_only"))

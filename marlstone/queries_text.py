@@ -293,7 +293,7 @@ def uploads(spark, d):
 @query("""WITH e AS (SELECT *, ['PENDING', 'STARTED', 'RETRY', 'SUCCESS', 'FAILURE'][1 + event_id % 5] AS status, (SELECT max(ts) FROM events) AS now FROM events)
 SELECT event_id, sha256('{"event_type": "' || event_type || '", "task_name": "index", "user_id": "' || user_id || '"}') AS args_hash,
     CASE WHEN status = 'SUCCESS' THEN false WHEN status = 'FAILURE' THEN true ELSE epoch_us(now) - epoch_us(ts) > 660 * 1000000 END AS run,
-    epoch_us(ts) >= epoch_us(now) - 86400 * 1000000 AS kept FROM e""")
+    epoch_us(ts) >= epoch_us(now) - 86400000000 AS kept FROM e""")
 def task_ledger(spark, d):
     """K10, with events as tasks and the last one's time as now."""
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
