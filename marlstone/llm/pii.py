@@ -226,8 +226,8 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
         attempt = lambda u, i: F.coalesce(known[F.concat(u["type"], F.lit(":"), u["canon"])], F.lit(0)) if listed else F.lit(0)
         changed = F.transform(F.arrays_zip(F.col("_pii_es").alias("e"), F.col("_pii_us").alias("us")), lambda z: replaced(z["e"], z["us"], attempt))
     else:
-        rows = rows.withColumn("_pii_row", F.monotonically_increasing_id())
-        each = stored(rows.where("size(_pii_es) > 0").select("_pii_row", F.posexplode("_pii_us").alias("e", "us")).select("_pii_row", "e", F.posexplode("us").alias("i", "u")).select("_pii_row", "e", "i", "u.type", "u.canon"))
+        rows = rows.withColumn("_pii_row", F.when(F.size("_pii_es") > 0, F.sha2(F.col("text").cast("binary"), 256)))  # equal texts are replaced alike
+        each = stored(rows.where("size(_pii_es) > 0").dropDuplicates(["_pii_row"]).select("_pii_row", F.posexplode("_pii_us").alias("e", "us")).select("_pii_row", "e", F.posexplode("us").alias("i", "u")).select("_pii_row", "e", "i", "u.type", "u.canon"))
         hits = each.join(moved, ["type", "canon"]).groupBy("_pii_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "e", "i"), "attempt"))).alias("_pii_moved"))
         rows = rows.join(hits, "_pii_row", "left").drop("_pii_row")
         at = lambda k: lambda u, i: F.coalesce(F.col("_pii_moved")[F.concat_ws(":", k.cast("string"), i.cast("string"))], F.lit(0))
