@@ -1,15 +1,17 @@
 """Quality rules with a hashed n-gram log-likelihood ratio.
 
 Method. Words and word pairs fall into BUCKETS hashed buckets. Two multinomials
-are counted exactly: the raw corpus (all documents) and the trusted target
-(documents labelled good and not toxic); the target is smoothed towards the raw
-one. A bucket's weight is the logarithm of target over raw probability, in whole
+are counted exactly: the raw corpus (all documents) and the trusted target (one
+half, by a hash of the id, of the documents labelled good and not toxic); the target
+is smoothed towards the raw one. A bucket's weight is the logarithm of target over raw probability, in whole
 millionths. A document's score is the sum of its n-grams' weights over their
 number plus PRIOR, which draws very short texts towards 0. It is kept if the base
-rules hold and the score is at least the target's mean less SPREAD standard
-deviations. All sums are of integers, so every run decides alike.
+rules hold and the score is at least the mean of the trusted documents' other half
+less SPREAD standard deviations. That half was not counted, so it scores as unlabelled
+documents do, at any size of corpus. All sums are of integers, so every run decides alike.
 
-Counting joins documents with labels once; a document's n-grams are exploded and
+Counting joins documents with the trusted ids once (a broadcast up to
+BROADCAST_IDS ids); a document's n-grams are exploded and
 summed within their task before anything is shuffled, so a shuffle carries a row
 for each document or each bucket. The weights (BUCKETS integers) go out as a
 literal; everything is built-in expressions.
@@ -31,9 +33,10 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import stored, table
 
 GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
-SYMBOLS = "#*$%&|<>"
-BUCKETS, SMOOTHING, PRIOR, SPREAD = 1 << 15, 1.0, 8, 4.0
+SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
+BUCKETS, SMOOTHING, PRIOR, SPREAD = 1 << 15, 1.0, 8, 5.0
 MILLION = 1_000_000
+BROADCAST_IDS = 1_000_000  # more trusted documents than this are joined by a shuffle
 
 
 def words(text: Column) -> Column:
@@ -63,17 +66,17 @@ def hashed(word: Column) -> Column:
 
 def buckets(rows: DataFrame, keys: list[Column], n: int) -> DataFrame:
     """A row for each word of ``ws``: its bucket b1, and that of the pair with the next word (null at the end) b2."""
-    count = F.size("ws")
-    pairs = F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", F.lit(2), F.greatest(count, F.lit(1))).alias("b"))
-    out = rows.select(*keys, F.explode_outer(pairs).alias("z"))
-    out = out.select("*", F.length("z.a").alias("chars"), hashed(F.col("z.a")).alias("h1"), hashed(F.col("z.b")).alias("h2")).drop("z")
+    rows = rows.select(*keys, F.transform("ws", hashed).alias("hs"))  # once for each word
+    pairs = F.arrays_zip(F.col("hs").alias("h1"), F.slice("hs", F.lit(2), F.greatest(F.size("hs"), F.lit(1))).alias("h2"))
+    out = rows.select(*keys, F.explode_outer(pairs).alias("z")).select(*keys, "z.h1", "z.h2")
     return out.withColumn("b1", F.col("h1") % n).withColumn("b2", (F.col("h1") * 31 + F.col("h2") * 7 + 13) % n).drop("h1", "h2")
 
 
 def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> list[int]:
     """Weights of the n buckets in millionths; ``trusted`` has a column doc_id."""
     ids = trusted.select("doc_id").distinct().withColumn("good", F.lit(True))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id", "left")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left")
     rows = rows.select(words(F.col("text")).alias("ws"), F.coalesce("good", F.lit(False)).cast("int").alias("good"))
     grams = buckets(rows, [F.col("good")], n).select("good", F.explode(F.array("b1", "b2")).alias("bucket")).where("bucket is not null")
     counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()  # at most n rows
@@ -100,32 +103,38 @@ def measured(docs: DataFrame, weight: list[int]) -> DataFrame:
     rows = rows.select(
         "doc_id", "row", "ws",
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         lines.alias("lines"),
         F.when(F.size("ws") >= 5, F.transform(five, lambda z: F.xxhash64(z))).otherwise(F.array().cast("array<bigint>")).alias("grams"),
     )
     rows = rows.select(
-        "doc_id", "row", "ws", "n_symbols",
+        "doc_id", "row", "ws", "n_symbols", "word_chars",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("grams")).alias("n_repeat_words"),
     )
-    keys = ["row", "doc_id", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    keys = ["row", "doc_id", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     each = buckets(rows, [F.col(k) for k in keys], n)
     literal = F.from_json(F.lit(json.dumps(weight)), "array<bigint>")
     sums = each.groupBy("row").agg(
         *[F.first(k).alias(k) for k in keys[1:]],
         F.count("b1").alias("n_words"),
-        F.coalesce(F.sum(F.col("chars").cast("long")), F.lit(0).cast("long")).alias("word_chars"),
         (F.count("b1") + F.count("b2")).alias("n_grams"),
         F.coalesce(F.sum(F.coalesce(F.get(literal, F.col("b1").cast("int")), F.lit(0)) + F.coalesce(F.get(literal, F.col("b2").cast("int")), F.lit(0))), F.lit(0)).alias("llr"),
     )
     return sums.drop("row")
 
 
+def fitted(doc_id: Column) -> Column:
+    """Whether a trusted document is counted; the others set the threshold."""
+    return F.md5(doc_id.cast("string").cast("binary")) < F.lit("8")
+
+
 def judged(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, spread: float = SPREAD) -> DataFrame:
-    rows = measured(docs, weights(docs, trusted, n))
+    trusted = trusted.select("doc_id").distinct()
+    rows = measured(docs, weights(docs, trusted.where(fitted(F.col("doc_id"))), n))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     rows = stored(rows.withColumn("score", F.expr(f"llr div (n_grams + {PRIOR})")))
-    good = trusted.select("doc_id").distinct()
+    good = trusted.where(~fitted(F.col("doc_id")))
     x = F.col("score").cast("decimal(38,0)")
     s = rows.where("not base_failed").join(good, "doc_id", "left_semi").agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")).first()
     cut = -math.inf
@@ -150,7 +159,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
-good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+trusted AS (SELECT DISTINCT doc_id, md5(doc_id::VARCHAR) < '8' AS fitted FROM labels WHERE quality = 1 AND toxic = 0),
+good AS (SELECT doc_id FROM trusted WHERE fitted),
 w AS (SELECT doc_id, i, ws[i] AS word, ws[i + 1] AS following,
         ('0x' || substr(md5(ws[i]), 1, 7))::BIGINT AS h1, ('0x' || substr(md5(ws[i + 1]), 1, 7))::BIGINT AS h2
     FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
@@ -172,7 +182,7 @@ m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transf
     FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 q AS (SELECT count(*) AS n, sum(score)::DOUBLE / count(*) AS mean, sum(score::HUGEINT * score)::DOUBLE / count(*) AS sq
-    FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good))
+    FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM trusted WHERE NOT fitted))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND (q.n = 0 OR score >= q.mean - {SPREAD}::DOUBLE * sqrt(greatest(0, q.sq - q.mean * q.mean))) AS kept, score
 FROM b, q
