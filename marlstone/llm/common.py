@@ -7,7 +7,9 @@ Python cost does not depend on the number of words.
 
 from __future__ import annotations
 
+import gc
 import os
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -47,8 +49,24 @@ def stored(df: DataFrame) -> DataFrame:
     durable files, so a lost executor costs a re-read and no recomputation."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that nothing reads any more, and let the driver find out which finished
+    shuffles nobody refers to: Spark deletes their files only when the driver collects its garbage."""
+    spark = tables[0].sparkSession
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for _ in range(2):  # what the first round drops in Python the second finds in the JVM
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
 
 
 def slices(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
