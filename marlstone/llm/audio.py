@@ -6,13 +6,16 @@ WIDTH frames x 12 classes, compare the energy of two parts of the window; each
 log ratio is quantised to two Gray-coded bits, and the bits of a frame are packed
 into one 32-bit code. Windows without sound have no code.
 
-Alignment. The filters' sign bits of two codes LAG frames apart make a key. Of the
-recordings that share a key, each is compared with the smallest id (a star: linear
-in the group, however many share it). The histogram of offsets over all shared keys
-of a pair gives its alignment, and a pair links if at its best offset at least
-OVERLAP codes overlap with a bit error rate up to ERRORS, counted over all their
-bits. Recordings with equal codes are one class from the start; components of links
-are the classes. Rows of the histogram are at most the codes of all recordings.
+Alignment. The filters' sign bits of codes LAGS frames apart make a word, and each of
+MASKS picks the bits of it that are a key. Blocks of about BLOCK codes, one at a time, go
+to the tasks, and each recording is compared with every other that has one of its keys, at
+each offset at which they share one. Pairs that differ too much in codes PROBES away from the
+key are left; the others link if at their best offset at least OVERLAP codes overlap with a
+bit error rate up to ERRORS, counted over all their bits. Links and best alignments are
+counted over all the links found. Recordings with equal codes are one class from the start;
+components of links are the classes. A task passes on one row for each recording and block
+and only those links that join what it has not joined yet, so rows stay linear in groups of
+any size; comparisons grow with the pairs that share keys.
 
 Edge cases: null, empty or too short audio has no codes and is a class of its own;
 silence likewise; repeated rows share a class; equal votes go to the smaller
@@ -26,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import stored, table, workers_find_package
@@ -34,7 +37,13 @@ from marlstone.llm.graph import components
 
 RATE, FRAME, HOP = 4000, 512, 128
 FILTERS, WIDTH, STEP = 16, 16, 0.25
-LAG, OVERLAP, ERRORS, VOTES = 6, 24, 0.25, 2
+OVERLAP, ERRORS = 24, 0.25
+LAGS = (0, 6)
+MASKS = (0xFFFFFFFF,)
+PROBES, PROBE_ERRORS = range(-64, 64, 8), 0.3
+PAD = 64  # silent codes between recordings, so that lags and probes do not leave theirs
+BLOCK = 1 << 20  # codes of a block, whose sorted keys each task holds
+PIECE = 1 << 20  # rows of hits or codes compared at a time
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -115,29 +124,147 @@ def fingerprints(rows: DataFrame, samples: Callable[[list], list[np.ndarray]] |
     return rows.mapInArrow(run, "id long, n_frames int, codes array<int>, sound array<boolean>, crc long")
 
 
-def aligned(prints: DataFrame, errors: float = ERRORS, overlap: int = OVERLAP) -> DataFrame:
-    """(a, b, offset, votes, bit_errors, bits) of linked recordings; frame t of b is frame t + offset of a."""
-    signs = F.lit(0xAAAAAAAA - (1 << 32)).cast("int")  # the upper Gray bit is the filter's sign
-    reach = F.size("codes") - LAG
-    at = lambda i: F.struct(i.alias("t"), F.xxhash64(F.get("codes", i).bitwiseAND(signs), F.get("codes", i + LAG).bitwiseAND(signs)).alias("key"), (F.get("sound", i) & F.get("sound", i + LAG)).alias("ok"))
-    keys = F.when(reach > 0, F.transform(F.sequence(F.lit(0), reach - 1), at))
-    postings = prints.select("id", F.explode(keys).alias("k")).select("id", "k.*").where("ok").groupBy("id", "key").agg(F.min("t").alias("t"))
-    postings = stored(postings)
-    leader = postings.groupBy("key").agg(F.min(F.struct("id", "t")).alias("l"), F.count("*").alias("n")).where("n > 1").select("key", "l")
-    star = postings.join(leader, "key").where("id <> l.id").select(F.col("l.id").alias("a"), F.col("id").alias("b"), (F.col("l.t") - F.col("t")).alias("offset"))
-    histogram = star.groupBy("a", "b", "offset").agg(F.count("*").alias("votes"))
-    best = histogram.groupBy("a", "b").agg(F.max(F.struct("votes", (-F.col("offset")).alias("minus"))).alias("x")).where(F.col("x.votes") >= VOTES)
-    pairs = stored(best.select("a", "b", (-F.col("x.minus")).alias("offset"), "x.votes"))
-    side = lambda name: prints.select(F.col("id").alias(name), F.col("codes").alias(f"codes_{name}"), F.col("sound").alias(f"sound_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    start, size = F.greatest(F.lit(0), F.col("offset")), lambda c: F.size(c)
-    length = F.greatest(F.lit(0), F.least(size("codes_a") - start, size("codes_b") - (start - F.col("offset"))))
-    cut = lambda c, s: F.slice(c, s + 1, length)
-    zipped = F.arrays_zip(cut("codes_a", start).alias("x"), cut("codes_b", start - F.col("offset")).alias("y"), cut("sound_a", start).alias("p"), cut("sound_b", start - F.col("offset")).alias("q"))
-    common = F.filter(zipped, lambda z: z["p"] & z["q"])
-    wrong = F.aggregate(common, F.lit(0), lambda s, z: s + F.bit_count(z["x"].bitwiseXOR(z["y"])).cast("int"))
-    out = both.select("a", "b", "offset", "votes", wrong.alias("bit_errors"), (F.size(common) * 2 * FILTERS).alias("bits"))
-    return out.where((F.col("bits") >= overlap * 2 * FILTERS) & (F.col("bit_errors") <= errors * F.col("bits")))
+class Laid:
+    """Recordings end to end, PAD silent codes before and after each, and the keys of MASKS."""
+
+    def __init__(self, ids: np.ndarray, lists: pa.Array, sound: pa.Array) -> None:
+        self.ids, self.size = ids, np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+        ends = np.cumsum(self.size)
+        self.start = PAD + ends - self.size + PAD * np.arange(len(ids))
+        n = int(self.size.sum() + PAD * (len(ids) + 1))
+        at = np.repeat(self.start - (ends - self.size), self.size) + np.arange(int(self.size.sum()))
+        self.codes, self.heard, self.owner = np.zeros(n, np.uint32), np.zeros(n, bool), np.zeros(n, np.int32)
+        self.codes[at] = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+        self.heard[at] = sound.flatten().to_numpy(zero_copy_only=False)
+        self.owner[at] = np.repeat(np.arange(len(ids)), self.size)
+        sign = (self.codes >> np.uint32(1)) & np.uint32(0x55555555)  # the upper Gray bit is the filter's sign
+        for shift, kept in ((1, 0x33333333), (2, 0x0F0F0F0F), (4, 0x00FF00FF), (8, 0x0000FFFF)):
+            sign = (sign | (sign >> np.uint32(shift))) & np.uint32(kept)
+        reach = n - LAGS[-1]
+        self.at = np.flatnonzero(np.logical_and.reduce([self.heard[lag : lag + reach] for lag in LAGS]))
+        self.words = np.zeros(len(self.at), np.uint64)
+        for i, lag in enumerate(LAGS):
+            self.words |= sign[self.at + lag].astype(np.uint64) << np.uint64(16 * i)
+
+
+def ragged(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range each element is of, and the elements, of the ranges [first, first + count)."""
+    own = np.repeat(np.arange(len(count)), count)
+    return own, np.arange(len(own)) + (first - (np.cumsum(count) - count))[own]
+
+
+def pieces(count: np.ndarray) -> Iterator[slice]:
+    """Runs of ``count`` that add up to about PIECE."""
+    total = np.cumsum(count)
+    s = 0
+    while s < len(count):
+        e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + PIECE, "right")))
+        yield slice(s, e)
+        s = e
+
+
+def candidates(mine: Laid, block: Laid, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Distinct rows (recording, other, offset) of pairs that share a key at the offset and pass the probes."""
+    out = []
+    for mask, (keys, places) in zip(MASKS, tables, strict=True):
+        wanted = mine.words & np.uint64(mask)
+        order = np.argsort(wanted)
+        low = np.searchsorted(keys, wanted[order], "left")
+        count = np.searchsorted(keys, wanted[order], "right") - low
+        order, low, count = order[count > 0], low[count > 0], count[count > 0]
+        for run in pieces(count):
+            own, element = ragged(low[run], count[run])
+            x, y = mine.at[order[run]][own], places[element]
+            i, j = mine.owner[x], block.owner[y]
+            other = mine.ids[i] != block.ids[j]
+            x, y, i, j = x[other], y[other], i[other], j[other]
+            wrong, bits = np.zeros(len(x), np.int32), np.zeros(len(x), np.int32)
+            for lag in PROBES:
+                both = mine.heard[x + lag] & block.heard[y + lag]
+                wrong += np.where(both, np.bitwise_count(mine.codes[x + lag] ^ block.codes[y + lag]), 0)
+                bits += both
+            good = wrong <= PROBE_ERRORS * 2 * FILTERS * bits
+            x, y, i, j = x[good], y[good], i[good], j[good]
+            out.append(np.unique(np.stack([i, j, (x - mine.start[i]) - (y - block.start[j])], axis=1), axis=0))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+
+
+def alignments(mine: Laid, block: Laid, found: np.ndarray, errors: float, overlap: int) -> np.ndarray:
+    """Rows (recording, other, offset, bit_errors, bits) of those ``found`` that link, at the best offset of each pair."""
+    i, j, offset = found.T
+    start = np.maximum(0, offset)
+    length = np.minimum(mine.size[i] - start, block.size[j] - (start - offset))
+    fits = length >= overlap
+    i, j, offset, start, length = i[fits], j[fits], offset[fits], start[fits], length[fits]
+    wrong, bits = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    for run in pieces(length):
+        own, x = ragged((mine.start[i] + start)[run], length[run])
+        y = x + (block.start[j] - offset - mine.start[i])[run][own]
+        both = mine.heard[x] & block.heard[y]
+        wrong[run] = np.bincount(own, np.where(both, np.bitwise_count(mine.codes[x] ^ block.codes[y]), 0), len(length[run])).astype(np.int64)
+        bits[run] = np.bincount(own, both, len(length[run])).astype(np.int64) * 2 * FILTERS
+    good = (bits >= overlap * 2 * FILTERS) & (wrong <= errors * bits)
+    rows = np.stack([i, j, offset, wrong, bits], axis=1)[good]
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 3] / np.maximum(rows[:, 4], 1), rows[:, 1], rows[:, 0]))]
+    return rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))[: len(rows)]]
+
+
+LINKED = "id long, n_links long, other long, offset int, bit_errors int, bits int"
+
+
+def aligned(prints: DataFrame, errors: float = ERRORS, overlap: int = OVERLAP, group: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Of (id, codes, sound): links (a, b) that join all linked recordings into components, and (id, n_links, best_match,
+    best_offset, bit_errors, bits) of each recording that has links, over all of them."""
+    total = prints.agg(F.sum(F.size("codes"))).first()[0] or 0
+    blocks = -(-total // BLOCK)
+    names = [f.split()[0] for f in LINKED.split(", ")]
+
+    def block_links(held: pa.Table) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = held.combine_chunks()
+            block = Laid(*(whole.column(c).chunk(0) if c else whole.column(c).to_numpy() for c in range(3)))
+            tables, parent = [], {}
+            for mask in MASKS:
+                key = block.words & np.uint64(mask)
+                order = np.argsort(key)
+                tables.append((key[order], block.at[order]))
+
+            def root(i: int) -> int:
+                while parent.setdefault(i, i) != i:
+                    parent[i] = i = parent[parent[i]]
+                return i
+
+            for batch in batches:
+                for s in range(0, batch.num_rows, group):
+                    part = batch.slice(s, group)
+                    mine = Laid(part.column(0).to_numpy(), part.column(1), part.column(2))
+                    rows = alignments(mine, block, candidates(mine, block, tables), errors, overlap)
+                    a, b = mine.ids[rows[:, 0]], block.ids[rows[:, 1]]
+                    order = np.lexsort((b, rows[:, 3] / np.maximum(rows[:, 4], 1), rows[:, 0]))
+                    first = order[np.append(True, rows[order][1:, 0] != rows[order][:-1, 0])[: len(rows)]]
+                    out = [(int(a[k]), int(n), int(b[k]), *map(int, rows[k, 2:])) for k, n in zip(first, np.unique(rows[:, 0], return_counts=True)[1], strict=True)]
+                    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                        p, q = root(x), root(y)
+                        if p != q:
+                            parent[max(p, q)] = min(p, q)
+                            out.append((x, 0, y, None, None, None))  # joins two components
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names)
+
+        return prints.mapInArrow(run, LINKED)
+
+    parts = []
+    for n in range(blocks):
+        held = prints.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
+        if held.num_rows:
+            parts.append(stored(block_links(held)))
+    rows = parts[0] if parts else prints.sparkSession.createDataFrame([], LINKED)
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    joins = rows.where("n_links = 0").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    first = F.min(F.when(F.col("n_links") > 0, F.struct((F.col("bit_errors") / F.col("bits")).alias("rate"), "other", "offset", "bit_errors", "bits")))
+    best = rows.where("n_links > 0").groupBy("id").agg(F.sum("n_links").alias("n_links"), first.alias("x"))
+    return joins, best.select("id", "n_links", F.col("x.other").alias("best_match"), F.col("x.offset").alias("best_offset"), "x.bit_errors", "x.bits")
 
 
 def recordings(rows: DataFrame, samples: Callable | None = None) -> DataFrame:
@@ -146,16 +273,13 @@ def recordings(rows: DataFrame, samples: Callable | None = None) -> DataFrame:
     key = F.when(F.exists("sound", lambda s: s), F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256)).otherwise(F.concat(F.lit("id "), F.col("id").cast("string")))
     keyed = stored(prints.select("id", "n_frames", F.size("codes").alias("n_codes"), "crc", key.alias("same")))
     same = keyed.groupBy("same").agg(F.min("id").alias("exact_id"))
-    firsts = prints.join(same.select(F.col("exact_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    links = stored(aligned(firsts))
-    classes = components(links)
-    ends = links.select("a", "b", "offset", "bit_errors", "bits").union(links.select("b", "a", -F.col("offset"), "bit_errors", "bits"))
-    order = [(F.col("bit_errors") / F.col("bits")).asc(), F.col("b").asc()]
-    ranked = ends.select("*", F.row_number().over(Window.partitionBy("a").orderBy(*order)).alias("place"), F.count("*").over(Window.partitionBy("a")).alias("n_links"))
-    best = ranked.where("place = 1").select(F.col("a").alias("exact_id"), "n_links", F.col("b").alias("best_match"), F.col("offset").alias("best_offset"), "bit_errors", "bits")
+    firsts = stored(prints.join(same.select(F.col("exact_id").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "codes", "sound"))
+    joins, best = aligned(firsts)
+    classes = components(joins)
+    best = best.withColumnRenamed("id", "exact_id")
     out = keyed.join(same, "same").join(classes.withColumnRenamed("id", "exact_id"), "exact_id", "left")
     out = out.join(best, "exact_id", "left")
-    return out.select("id", "n_frames", "n_codes", "crc", "exact_id", F.coalesce("component", "exact_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "best_match", "best_offset", "bit_errors", "bits")
+    return out.select("id", "n_frames", "n_codes", "crc", "exact_id", F.coalesce("component", "exact_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "best_match", "best_offset", "bit_errors", "bits")
 
 
 NOTE, LEADS = 256, 5

@@ -366,6 +366,46 @@ def test_recordings_align_at_their_offset(spark):
     assert got[2].best_offset == (6 if got[2].best_match == 1 else 4)  # frame t of the match is frame t + offset of this recording
 
 
+def plain_links(prints):
+    """Pairs of (id, codes, sound) that are within ERRORS at some offset, by trying all of them."""
+    out = {}
+    for x, (a, ca, sa) in enumerate(prints):
+        for b, cb, sb in prints[x + 1 :]:
+            for offset in range(audio.OVERLAP - len(cb), len(ca) - audio.OVERLAP + 1):
+                s, n = max(0, offset), min(len(ca) - max(0, offset), len(cb) - max(0, offset) + offset)
+                both = sa[s : s + n] & sb[s - offset : s - offset + n]
+                rate = np.bitwise_count(ca[s : s + n] ^ cb[s - offset : s - offset + n])[both].sum() / max(1, 32 * both.sum())
+                if both.sum() >= audio.OVERLAP and rate <= min(audio.ERRORS, out.get((a, b), 1)):
+                    out[a, b] = rate
+    return out
+
+
+def pcm_rows(vectors):
+    return [(i, (audio.melody([{"id": 0, "embedding": v}])[0] * 30000).astype("<i2").tobytes()) for i, v in vectors.items()]
+
+
+def prints_of(rows):
+    return [(i, *audio.codes(audio.chroma(np.frombuffer(x, "<i2").astype(np.float32) / 32768))) for i, x in rows]
+
+
+def test_links_outlast_smaller_ids_that_share_every_key(spark):
+    r = np.random.default_rng(7)
+    unit = lambda v: (v.reshape(-1, 4) / np.sqrt((v.reshape(-1, 4) ** 2).mean(axis=1, keepdims=True))).reshape(-1)
+    tunes = [unit(r.standard_normal(64)) for _ in range(4)]
+    # medleys take each part of 16 notes from another tune, with the cuts at four places
+    medleys = [np.array([tunes[((n + cut) // 16 + k) % 4][n] for n in range(64)]) for cut in (0, 4, 8, 12) for k in range(4)]
+    vectors = dict(enumerate(medleys)) | {100 + i: t for i, t in enumerate(tunes)} | {200 + i: t + 0.03 * r.standard_normal(64) for i, t in enumerate(tunes)}
+    rows = pcm_rows(vectors)
+    want = plain_links(prints_of(rows))
+    assert {(100 + i, 200 + i) for i in range(4)} <= set(want)
+    got = {x.id: x for x in audio.recordings(spark.createDataFrame(rows, "id long, audio binary")).collect()}
+    partners = {i: [a + b - i for a, b in want if i in (a, b)] for i in vectors}
+    assert {i: x.n_links for i, x in got.items()} == {i: len(p) for i, p in partners.items()}
+    for i in range(4):
+        assert got[100 + i].class_id == got[200 + i].class_id
+        assert (got[100 + i].best_match, got[200 + i].best_match) == (200 + i, 100 + i)
+
+
 def test_integral_image_filters():
     image = np.random.default_rng(0).random((30, 12))
     packed, heard = audio.codes(image)
