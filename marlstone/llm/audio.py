@@ -7,7 +7,8 @@ log ratio is quantised to two Gray-coded bits, and the bits of a frame are packe
 into one 32-bit code. Windows without sound have no code.
 
 Alignment. The filters' sign bits of codes LAGS frames apart make a word, and each of
-MASKS picks the bits of it that are a key. Blocks of about BLOCK codes, one at a time, go
+MASKS picks KEY_BITS of its bits as a key, so that some key outlasts the errors that a link
+may have (a test asks for 0.9 of the pairs that all offsets would link). Blocks of about BLOCK codes, one at a time, go
 to the tasks, and each recording is compared with every other that has one of its keys, at
 each offset at which they share one. Pairs that differ too much in codes PROBES away from the
 key are left; the others link if at their best offset at least OVERLAP codes overlap with a
@@ -15,7 +16,9 @@ bit error rate up to ERRORS, counted over all their bits. Links and best alignme
 counted over all the links found. Recordings with equal codes are one class from the start;
 components of links are the classes. A task passes on one row for each recording and block
 and only those links that join what it has not joined yet, so rows stay linear in groups of
-any size; comparisons grow with the pairs that share keys.
+any size; comparisons grow with the pairs that share keys, of unrelated recordings about
+the square of their number. Pairs whose overlap is little more than OVERLAP have few keys
+to share and are found less often.
 
 Edge cases: null, empty or too short audio has no codes and is a class of its own;
 silence likewise; repeated rows share a class; equal votes go to the smaller
@@ -38,8 +41,9 @@ from marlstone.llm.graph import components
 RATE, FRAME, HOP = 4000, 512, 128
 FILTERS, WIDTH, STEP = 16, 16, 0.25
 OVERLAP, ERRORS = 24, 0.25
-LAGS = (0, 6)
-MASKS = (0xFFFFFFFF,)
+LAGS = (0, 8, 16)
+TABLES, KEY_BITS = 12, 24
+MASKS = tuple(sum(1 << int(b) for b in np.random.default_rng([1, i]).choice(16 * len(LAGS), KEY_BITS, replace=False)) for i in range(TABLES))
 PROBES, PROBE_ERRORS = range(-64, 64, 8), 0.3
 PAD = 64  # silent codes between recordings, so that lags and probes do not leave theirs
 BLOCK = 1 << 20  # codes of a block, whose sorted keys each task holds

@@ -406,6 +406,23 @@ def test_links_outlast_smaller_ids_that_share_every_key(spark):
         assert (got[100 + i].best_match, got[200 + i].best_match) == (200 + i, 100 + i)
 
 
+@pytest.mark.parametrize("noise", [0.15, 0.3])
+def test_links_within_the_error_limit_are_found(spark, noise):
+    r = np.random.default_rng(9)
+    tunes = r.standard_normal((40, 64))
+    vectors = dict(enumerate(tunes)) | {100 + i: t + noise * r.standard_normal(64) for i, t in enumerate(tunes)}
+    # an excerpt of the last 40 notes, and one that follows a first occurrence of its beginning
+    vectors |= {200 + i: t[24:] + 0.1 * r.standard_normal(40) for i, t in enumerate(tunes[:10])}
+    vectors |= {300 + i: np.concatenate((t[:16], t[:48])) for i, t in enumerate(tunes[10:20])}
+    rows = pcm_rows(vectors)
+    want = plain_links(prints_of(rows))
+    assert len(want) > 20
+    links = {x.id: x.n_links for x in audio.recordings(spark.createDataFrame(rows, "id long, audio binary")).collect()}
+    partners = collections.Counter(i for pair in want for i in pair)
+    assert all(links[i] <= partners[i] for i in vectors)
+    assert sum(links.values()) >= 0.9 * 2 * len(want)
+
+
 def test_integral_image_filters():
     image = np.random.default_rng(0).random((30, 12))
     packed, heard = audio.codes(image)
