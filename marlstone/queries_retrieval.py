@@ -27,6 +27,16 @@ def asked(spark, d, n=20):
     return docs.join(vectors(spark, d), "doc_id").withColumnRenamed("doc_id", "query_id")
 
 
+def asked_whole(spark, d):
+    """Every document with a vector whose id is divisible by 20, as a query of up to 1,000 characters."""
+    return asked(spark, d, 2**63 - 1).where("query_id % 20 = 0")
+
+
+def vectors_asked(spark, d):
+    """Every vector whose id is divisible by 20, as a query."""
+    return vectors(spark, d).where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+
+
 COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)"
 
 
@@ -56,6 +66,30 @@ def dense_euclidean(spark, d):
     return retrieval.dense_topk(q, vectors(spark, d), 10, "euclidean")
 
 
+@query()
+def whole_dense_cosine(spark, d):
+    """R1, R5, R15 for every id divisible by 20."""
+    return retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10)
+
+
+@query()
+def whole_dense_dot(spark, d):
+    """R2 for every id divisible by 20."""
+    return retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10, "dot")
+
+
+@query()
+def whole_dense_euclidean(spark, d):
+    """R2 for every id divisible by 20."""
+    return retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10, "euclidean")
+
+
+@query()
+def whole_relevance_gate(spark, d):
+    """R16 for every id divisible by 20."""
+    return retrieval.gate(retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 5))
+
+
 def bm25_ctes(queries: str) -> str:
     """CTEs up to ``scores``, for a relation of (query_id, text)."""
     return f"""t AS (SELECT doc_id, {TOKENS.format('text')} AS ts FROM documents),
@@ -96,6 +130,18 @@ def hybrid_search(spark, d):
     return retrieval.rrf(retrieval.hybrid(asked(spark, d), corpus(spark, d), vectors(spark, d), 10), top_k=5).drop("text")
 
 
+@query()
+def whole_hybrid_lists(spark, d):
+    """R6 for every id divisible by 20."""
+    return retrieval.hybrid(asked_whole(spark, d), corpus(spark, d), vectors(spark, d), 10).drop("text")
+
+
+@query()
+def whole_hybrid_search(spark, d):
+    """R6, R9 for every id divisible by 20."""
+    return retrieval.rrf(retrieval.hybrid(asked_whole(spark, d), corpus(spark, d), vectors(spark, d), 10), top_k=5).drop("text")
+
+
 @query("""WITH l AS (SELECT conv_id % 40 AS query_id, CASE WHEN conv_id % 40 < 5 THEN 0 ELSE turn % 3 END AS list_id, row_number() OVER (PARTITION BY conv_id % 40, CASE WHEN conv_id % 40 < 5 THEN 0 ELSE turn % 3 END ORDER BY conv_id, turn) - 1 AS rank, conv_id * 100 + turn AS doc_id, text FROM conversations),
 k AS (SELECT *, min(list_id) OVER (PARTITION BY query_id) = max(list_id) OVER (PARTITION BY query_id) AS lone, substr(sha256(substr(text, 1, 200)), 1, 12) AS h FROM l),
 f AS (SELECT query_id, CASE WHEN lone THEN rank || ':' || h ELSE h END AS key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min((list_id, rank, doc_id)) AS first FROM k GROUP BY 1, 2)
@@ -138,10 +184,19 @@ def advanced_retrieval(spark, d):
     return retrieval.advanced(both, corpus(spark, d), vectors(spark, d)).drop("text", "source")
 
 
+@query()
+def whole_advanced_retrieval(spark, d):
+    """R14 without a reranker: two variants of every question whose id is divisible by 20."""
+    q = asked_whole(spark, d)
+    second = corpus(spark, d).select(F.col("doc_id").alias("query_id"), F.substring("text", 101, 300).alias("text")).join(q.select("query_id", "embedding"), "query_id")
+    both = q.withColumn("variant", F.lit(0)).unionByName(second.withColumn("variant", F.lit(1)))
+    return retrieval.advanced(both, corpus(spark, d), vectors(spark, d)).drop("text", "source")
+
+
 @query()
 def reranked_search(spark, d):
-    """R10, R12, R14 with the offline reranker."""
-    q = asked(spark, d, 5).withColumn("variant", F.lit(0))
+    """R10, R12, R14 with the offline reranker, for every id divisible by 20."""
+    q = asked_whole(spark, d).withColumn("variant", F.lit(0))
     again = lambda a, c, n: rerank.cascade([LexicalReranker()], a, c, n)
     return retrieval.advanced(q, corpus(spark, d), vectors(spark, d), 5, again).drop("text")
 
@@ -399,8 +454,8 @@ def graph_routes(spark, d):
 
 @query()
 def answered_questions(spark, d):
-    """Benchmark items answered over documents by the offline providers."""
-    q = table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("factual").alias("question_type"))
+    """All benchmark items answered over documents by the offline providers."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("factual").alias("question_type"))
     docs = corpus(spark, d)
     index = retrieval.Bm25(docs)
     find = lambda a: index.search(a, 5).join(docs, "doc_id")

@@ -1,13 +1,16 @@
 """Edge cases and properties of the package's own operators."""
 
 import io
+import os
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from marlstone import registry
 from marlstone.functions import text as T
 from marlstone.operators import chunking, evaluation, retrieval
 from marlstone.plans import graph
@@ -169,3 +172,42 @@ def test_engine_end_to_end(spark, tmp_path):
     assert e.search(q, 1, 1).first().doc_id // 100 == 2
     got = e.answer(q.select("query_id", F.col("text").alias("question"), F.lit("factual").alias("question_type")), 1).first()
     assert "Contracts" in got.answer or got.answer == graph.NO_CONTEXT
+
+
+# --- queries over whole tables, which have no SQL ---
+
+DATA = "/root/testdata/sf0.001"
+whole = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+def nearest(v, q, k, score):
+    """Brute-force (query, rank) -> (id, score), of ids and vectors."""
+    out = {}
+    for i in q:
+        for rank, (s, j) in enumerate(sorted((-round(float(score(v[i], x)), 6), j) for j, x in v.items())[:k]):
+            out[i, rank] = (j, round(-s, 5) + 0.0)
+    return out
+
+
+@whole
+def test_searches_ask_every_twentieth_id(spark):
+    queries = registry.queries()
+    v = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
+    docs = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    ids = {i for i in v if i % 20 == 0}
+    scores = {"cosine": lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b)), "dot": lambda a, b: a @ b, "euclidean": lambda a, b: -np.sqrt(((a - b) ** 2).sum())}
+    for name, score in scores.items():
+        got = {(r.query_id, r.rank): r for r in queries[f"whole_dense_{name}"](spark, DATA).collect()}
+        want = nearest(v, ids, 10, score)
+        assert got.keys() == want.keys() and len({i for i, _ in got}) == len(ids) > 20
+        assert all(abs(got[k].score - want[k][1]) < 2e-5 for k in want)
+        assert sum(got[k].doc_id != want[k][0] for k in want) <= 0.01 * len(want)  # ties after rounding
+    assert {r.query_id for r in queries["whole_relevance_gate"](spark, DATA).collect()} == ids
+    for name in ("whole_hybrid_lists", "whole_hybrid_search", "whole_advanced_retrieval", "reranked_search"):
+        assert {r.query_id for r in queries[name](spark, DATA).collect()} == ids & docs, name
+
+
+@whole
+def test_all_benchmark_items_are_answered(spark):
+    items = {r.item_id for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    assert {r.query_id for r in registry.queries()["answered_questions"](spark, DATA).collect()} == items
