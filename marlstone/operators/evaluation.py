@@ -72,6 +72,36 @@ def retrieval_metrics(rows: DataFrame, k: int = K) -> DataFrame:
     })
 
 
+def _ideal(n: Column, k: int) -> Column:
+    n = F.least(n, F.lit(k)).cast("int")
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1))
+
+
+def hit_metrics(rows: DataFrame, k: int = K) -> DataFrame:
+    """E1-E5 for (relevant, retrieved, n_relevant), where ``relevant`` has only the relevant ids among ``retrieved``
+    and ``n_relevant`` counts them all, so that no list grows with the table."""
+    found = retrieval_metrics(rows, k)
+    hits, n = lambda size: F.size(F.array_intersect(_list(F.col("relevant")), F.slice(_list(F.col("retrieved")), 1, size))), F.col("n_relevant")
+    none = F.when(F.size(_list(F.col("retrieved"))) == 0, 1.0).otherwise(0.0)
+    out = found.withColumn("recall", _share(hits(2**31 - 1), n, none)).withColumn(f"recall_at_{k}", _share(hits(k), n, none))
+    out = out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    gain = dcg(_list(F.col("relevant")), F.slice(_list(F.col("retrieved")), 1, k))
+    return out.withColumns({
+        "retrieval_score": 0.3 * F.col("precision") + 0.4 * F.col("recall") + 0.3 * F.col("f1"), "num_relevant": n,
+        f"ndcg_at_{k}": F.when(n > 0, gain / F.nullif(_ideal(n, k), F.lit(0.0))).otherwise(0.0),
+    })
+
+
+def hit_reranker_metrics(rows: DataFrame, k: int = K) -> DataFrame:
+    """E6-E8 for (relevant, before, after, n_relevant, latency_ms), with ``relevant`` and ``n_relevant`` as in ``hit_metrics``."""
+    out = reranker_metrics(rows, k)
+    for side in ("before", "after"):
+        gain = dcg(_list(F.col("relevant")), F.slice(_list(F.col(side)), 1, k))
+        out = out.withColumn(f"ndcg_{side}", F.when(F.col("n_relevant") > 0, gain / F.nullif(_ideal(F.col("n_relevant"), k), F.lit(0.0))).otherwise(0.0))
+    out = out.withColumn("ndcg_lift", F.col("ndcg_after") - F.col("ndcg_before"))
+    return out.withColumn("roi", F.when(F.col("latency_ms") > 0, (F.col("mrr_lift") + F.col("ndcg_lift")) / (F.col("latency_ms") / 1000.0)))
+
+
 def reranker_metrics(rows: DataFrame, k: int = K) -> DataFrame:
     """E6-E8 for (relevant, before, after, latency_ms)."""
     rel, old, new = (_list(F.col(c)) for c in ("relevant", "before", "after"))

@@ -278,6 +278,51 @@ def reranker_averages(spark, d):
     return out.select(F.round("mrr_lift", 6).alias("mrr_lift"), F.round("p99_ms", 6).alias("p99_ms"), F.col("promoted_from_deep").alias("promoted"), "meets_mrr", "meets_latency")
 
 
+def judged_hits(spark, d):
+    """For every vector whose id is divisible by 20: its ten nearest of all vectors, those of them with its label, and how many vectors have it."""
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    hits = retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10)
+    own = labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("wanted"))
+    rows = hits.join(labels, "doc_id").join(own, "query_id")
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("id"), (F.col("label") == F.col("wanted")).alias("hit"))))
+    rows = rows.groupBy("query_id", "wanted").agg(listed.alias("l"))
+    counts = labels.groupBy(F.col("label").alias("wanted")).agg(F.count("*").alias("n_relevant"))
+    ids = lambda c: F.transform(c, lambda x: x["id"])
+    return rows.join(counts, "wanted").select("query_id", "n_relevant", ids(F.col("l")).alias("retrieved"), ids(F.filter("l", lambda x: x["hit"])).alias("relevant"))
+
+
+@query()
+def whole_retrieval_metrics(spark, d):
+    """E1-E5, E9, E10 over all vectors, for every id divisible by 20."""
+    names = ["precision", "recall", "f1", "retrieval_score", "precision_at_5", "recall_at_5", "hit_rate_at_5", "mrr_at_5", "ndcg_at_5"]
+    return evaluation.hit_metrics(judged_hits(spark, d)).select("query_id", *[F.round(n, 6).alias(n) for n in names])
+
+
+@query()
+def whole_retrieval_averages(spark, d):
+    """E11 over all vectors, for every id divisible by 20."""
+    out = evaluation.aggregate_retrieval(evaluation.hit_metrics(judged_hits(spark, d)))
+    return out.select("questions", F.round("average_precision", 6).alias("average_precision"), F.round("average_mrr_at_5", 6).alias("average_mrr_at_5"))
+
+
+def reranked_hits(spark, d):
+    return judged_hits(spark, d).select("query_id", "n_relevant", "relevant", F.col("retrieved").alias("before"), F.reverse("retrieved").alias("after"), (F.col("query_id") * 10.0).alias("latency_ms"))
+
+
+@query()
+def whole_reranker_metrics(spark, d):
+    """E6-E8 over all vectors, for every id divisible by 20."""
+    out = evaluation.hit_reranker_metrics(reranked_hits(spark, d))
+    return out.select("query_id", *[F.round(n, 6).alias(n) for n in ("mrr_lift", "ndcg_lift", "avg_position_change")], "promoted_from_deep", F.round("roi", 6).alias("roi"))
+
+
+@query()
+def whole_reranker_averages(spark, d):
+    """E11 of reranking over all vectors, for every id divisible by 20."""
+    out = evaluation.aggregate_reranker(evaluation.hit_reranker_metrics(reranked_hits(spark, d)))
+    return out.select(F.round("mrr_lift", 6).alias("mrr_lift"), F.round("p99_ms", 6).alias("p99_ms"), F.col("promoted_from_deep").alias("promoted"), "meets_mrr", "meets_latency")
+
+
 def answers(spark, d):
     """Each assistant turn with the turn before it as its reference."""
     c = table(spark, d, "conversations")

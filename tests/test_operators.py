@@ -211,3 +211,24 @@ def test_searches_ask_every_twentieth_id(spark):
 def test_all_benchmark_items_are_answered(spark):
     items = {r.item_id for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     assert {r.query_id for r in registry.queries()["answered_questions"](spark, DATA).collect()} == items
+
+
+@whole
+def test_metrics_over_all_vectors_equal_those_of_whole_lists(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    label = {r.vec_id: r.label for r in rows}
+    hits = {}
+    for r in registry.queries()["whole_dense_cosine"](spark, DATA).orderBy("rank").collect():
+        hits.setdefault(r.query_id, []).append(str(r.doc_id))
+    lists = [(i, [str(j) for j in label if label[j] == label[i]], h, h[::-1], i * 10.0) for i, h in hits.items()]
+    assert len(lists) == sum(i % 20 == 0 for i in label)
+    frame = spark.createDataFrame(lists, "query_id long, relevant array<string>, retrieved array<string>, after array<string>, latency_ms double")
+    cases = {"whole_retrieval_metrics": evaluation.retrieval_metrics(frame), "whole_reranker_metrics": evaluation.reranker_metrics(frame.withColumnRenamed("retrieved", "before"))}
+    for name, want in cases.items():
+        got = registry.queries()[name](spark, DATA)
+        plain = lambda df: {r.query_id: [None if x is None else round(x, 5) for x in r[1:]] for r in df.select(*got.columns).collect()}
+        a, b = plain(got), plain(want)
+        assert a.keys() == b.keys() and all(x == y or abs(x - y) < 2e-5 for i in a for x, y in zip(a[i], b[i], strict=True))
+    for name in ("whole_retrieval_averages", "whole_reranker_averages"):
+        assert registry.queries()[name](spark, DATA).count() == 1
+    assert registry.queries()["whole_retrieval_averages"](spark, DATA).first().questions == len(lists)
