@@ -199,13 +199,21 @@ def fallback_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.fallback_udf(100, 20)("text")).alias("chunk_index", "chunk_text"))
 
 
-def raw_pages(spark, d):
-    """Documents as pages of 20 and every third as an image with recognised text."""
+@query()
+def whole_process_text(spark, d):
+    """T9 on all documents, repeated until they are too long."""
+    rows = table(spark, d, "documents").selectExpr("doc_id", "repeat(text, cast(1 + (22000 div greatest(1, length(text))) as int)) as text")
+    return rows.select("doc_id", T.fitted(F.col("text")).alias("plain"), T.fitted(F.col("text"), prompt=True).alias("prompt"))
+
+
+def raw_pages(spark, d, text=None):
+    """Documents as pages of 20 and every third as an image with recognised text (``text``: their first 400 characters)."""
+    text = F.substring("text", 1, 400) if text is None else text
     none = F.create_map(F.lit("language"), F.lit("english"), F.lit("from"), F.col("doc_id").cast("string"))
     kind = F.when(F.col("doc_id") % 3 == 0, "pdf_embedded_image").otherwise("pdf")
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("seq"), F.concat(F.lit("f"), F.expr("doc_id div 20").cast("string")).alias("source_path"), (F.expr("doc_id div 5") % 4 + 1).cast("int").alias("page"), kind.alias("source_type"),
-        F.col("doc_id").cast("int").alias("image_index"), F.substring("text", 1, 400).alias("text"), none.alias("metadata"),
+        F.col("doc_id").cast("int").alias("image_index"), text.alias("text"), none.alias("metadata"),
     )
 
 
@@ -220,10 +228,17 @@ def hybrid_documents(spark, d):
     return rows.select("source_path", "page", "seq", F.md5(F.col("text").cast("binary")).alias("digest"), F.transform("images", lambda i: i["image_index"]).alias("images"), F.col("metadata")["from"].alias("merged_from"), F.transform("images", chunking.image_text).alias("marks"))
 
 
+@query()
+def whole_hybrid_documents(spark, d):
+    """C8, C12 on whole texts."""
+    rows = chunking.hybrid_documents(raw_pages(spark, d, F.col("text")))
+    return rows.select("source_path", "page", "seq", F.md5(F.col("text").cast("binary")).alias("digest"), F.transform("images", lambda i: i["image_index"]).alias("images"), F.col("metadata")["from"].alias("merged_from"), F.transform("images", chunking.image_text).alias("marks"))
+
+
 @query()
 def hybrid_chunks(spark, d):
-    """C8-C13."""
-    rows = chunking.hybrid_chunks(raw_pages(spark, d))
+    """C8-C13, on whole texts."""
+    rows = chunking.hybrid_chunks(raw_pages(spark, d, F.col("text")))
     return rows.select("source_path", "page", "seq", "chunk_index", "chunk_hash", "chunk_size", "chunk_context", "is_hybrid", "has_images", "image_count", "is_image_only", F.transform("referenced_images", lambda i: i["image_index"]).alias("images"))
 
 

@@ -1,5 +1,6 @@
 """Edge cases and properties of the package's own operators."""
 
+import hashlib
 import io
 import os
 import zipfile
@@ -232,3 +233,28 @@ def test_metrics_over_all_vectors_equal_those_of_whole_lists(spark):
     for name in ("whole_retrieval_averages", "whole_reranker_averages"):
         assert registry.queries()[name](spark, DATA).count() == 1
     assert registry.queries()["whole_retrieval_averages"](spark, DATA).first().questions == len(lists)
+
+
+@whole
+def test_texts_are_used_whole(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert max(map(len, docs.values())) > 400
+    got = {r.doc_id: r for r in registry.queries()["whole_process_text"](spark, DATA).collect()}
+    assert got.keys() == docs.keys()
+    for i, text in docs.items():
+        long = text * (1 + 22000 // max(1, len(text)))
+        assert got[i].plain == long[:20000].strip() and got[i].prompt == (long[:14000] + T.MIDDLE_CUT + long[-6000:]).strip()
+    pages = {}
+    for i in sorted(docs):
+        pages.setdefault((f"f{i // 20}", i // 5 % 4 + 1), []).append(i)
+    rows = registry.queries()["whole_hybrid_documents"](spark, DATA).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        ids = pages[r.source_path, r.page]
+        text = "\n\n".join(docs[i] for i in ids if i % 3)
+        assert r.digest == hashlib.md5(text.strip().encode()).hexdigest() and list(r.images) == [i for i in ids if i % 3 == 0]
+        assert list(r.marks) == [f"[Image {i}: {docs[i][:297] + '...' if len(docs[i]) > 300 else docs[i]}]" for i in r.images]
+    raw = [(i, f"f{i // 20}", i // 5 % 4 + 1, "pdf" if i % 3 else "pdf_embedded_image", i, docs[i], {"language": "english", "from": str(i)}) for i in docs]
+    frame = spark.createDataFrame(raw, "seq long, source_path string, page int, source_type string, image_index int, text string, metadata map<string,string>")
+    hashes = lambda df: sorted((r.source_path, r.page, r.chunk_index, r.chunk_hash) for r in df.collect())
+    assert hashes(registry.queries()["hybrid_chunks"](spark, DATA)) == hashes(chunking.hybrid_chunks(frame))
