@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from marlstone.functions.text import abstains, numbers, proper_nouns, refuses, stripped
 from marlstone.operators.retrieval import similarity
+from marlstone.plans.providers import OverlapJudge
 
 K, DEEP, PROMOTED = 5, 10, 5
 TARGETS = {"mrr_lift": 0.05, "ndcg_lift": 0.04, "p99_ms": 500.0}
 EMPTY = "array<string>"
+CAPS = {"question": 500, "context": 2000, "answer": 800, "ground_truth": 500}  # characters that a judge gets
+CONTEXT_CAPS = {"faithfulness": 3000, "answer_relevance": 0, "completeness": 1500, "abstention_quality": 1500}
 
 
 def _list(c: Column) -> Column:
@@ -175,6 +180,42 @@ def composite(faithfulness: Column, relevance: Column, completeness: Column, abs
     return F.round(0.40 * zero(faithfulness) + 0.35 * zero(relevance) + 0.20 * zero(completeness) + 0.05 * zero(abstaining), 4)
 
 
+def judged(criterion: str, question: Column, context: Column, answer: Column, ground_truth: Column, judge=None) -> Column:
+    """A judge's score of the answer, clamped to [0, 1]; 0 for an empty answer, without a score, and on an error."""
+    judge = judge or OverlapJudge()
+
+    def one(q: str, c: str, a: str, g: str) -> float:
+        try:
+            score = float(judge.score(criterion, q, c, a, g))
+            return max(0.0, min(1.0, score)) if score == score else 0.0
+        except Exception:  # whatever a provider raises
+            return 0.0
+
+    @pandas_udf("double")
+    def scores(q: pd.Series, c: pd.Series, a: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) if x[2] else 0.0 for x in zip(q, c, a, g, strict=True)], dtype="float64")
+
+    relevance = criterion == "answer_relevance"
+    truth = F.lit("") if criterion in ("answer_relevance", "abstention_quality") else ground_truth
+    cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    shown = F.lit("") if relevance else cut(context, min(CONTEXT_CAPS[criterion], CAPS["context"]))
+    return scores(cut(question, CAPS["question"]), shown, cut(answer, CAPS["answer"]), cut(truth, CAPS["ground_truth"]))
+
+
+def judge_metrics(rows: DataFrame, judge=None) -> DataFrame:
+    """E18-E20 for (question, answer, contexts array<string>, ground_truth, unanswerable): faithfulness, answer_relevance,
+    completeness, abstention_quality and generation_score_v2; an empty answer scores 0 in all."""
+    question, answer, truth = F.col("question"), F.col("answer"), F.col("ground_truth")
+    context = F.array_join(F.coalesce(F.col("contexts"), F.array().cast(EMPTY)), "\n\n---\n\n")
+    out = rows
+    for name in ("faithfulness", "answer_relevance", "completeness"):
+        out = out.withColumn(name, judged(name, question, context, answer, truth, judge))
+    out = out.withColumn("_refusal", judged("abstention_quality", question, context, answer, truth, judge))
+    right = abstention(F.coalesce(F.col("unanswerable"), F.lit(False)), answer, F.col("_refusal"))
+    out = out.withColumn("abstention_quality", F.when(F.coalesce(answer, F.lit("")) == "", 0.0).otherwise(right)).drop("_refusal")
+    return out.withColumn("generation_score_v2", composite(F.col("faithfulness"), F.col("answer_relevance"), F.col("completeness"), F.col("abstention_quality")))
+
+
 def factual(answer: Column, reference: Column) -> Column:
     """Share of the reference's numbers and capitalised words in the answer; 1 if it has none."""
     n, p = numbers(reference), proper_nouns(reference)

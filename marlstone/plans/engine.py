@@ -82,8 +82,17 @@ class Engine:
     def answer(self, questions: DataFrame, project: int, agentic: bool = False) -> DataFrame:
         return graph.answer(questions, lambda q: self.retrieve(q, project), self.model, agentic=agentic)
 
-    def evaluate(self, questions: DataFrame, project: int, k: int = 10) -> DataFrame:
-        """Retrieval metrics of (query_id, text, relevant)."""
+    def evaluate(self, questions: DataFrame, project: int, k: int = 10, judge=None) -> DataFrame:
+        """Retrieval metrics of (query_id, text, relevant); where there is an ``answer`` (and, if known, ``ground_truth`` and
+        ``unanswerable``), also the judge metrics over the texts retrieved."""
         hits = self.search(questions.select("query_id", "text"), project, k)
         lists = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("retrieved"))
-        return evaluation.retrieval_metrics(questions.join(lists, "query_id", "left"))
+        out = evaluation.retrieval_metrics(questions.join(lists, "query_id", "left"))
+        if "answer" not in questions.columns:
+            return out
+        texts = hits.join(self._corpus(project).select("doc_id", F.col("text").alias("_text")), "doc_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_text"))), lambda x: x["_text"]).alias("contexts"))
+        out = out.join(texts, "query_id", "left").withColumn("question", F.col("text"))
+        for name, kind in (("ground_truth", "string"), ("unanswerable", "boolean")):
+            if name not in questions.columns:
+                out = out.withColumn(name, F.lit(None).cast(kind))
+        return evaluation.judge_metrics(out, judge)

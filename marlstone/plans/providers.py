@@ -29,6 +29,11 @@ class RerankProvider(Protocol):
     def score(self, queries: list[str], texts: list[str]) -> list[float]: ...
 
 
+class AnswerJudge(Protocol):
+    def score(self, criterion: str, question: str, context: str, answer: str, ground_truth: str) -> float | None:
+        """``criterion`` is faithfulness, answer_relevance, completeness or abstention_quality."""
+
+
 class OcrProvider(Protocol):
     def words(self, images: list[bytes]) -> list[list[tuple[str, float]]]: ...
 
@@ -79,6 +84,15 @@ class OverlapJudge:
     def verdict(self, wanted: str, given: str, least: float = 0.2) -> str:
         return json.dumps({"score": "yes" if self.share(wanted, given) >= least else "no"})
 
+    def score(self, criterion: str, question: str, context: str, answer: str, ground_truth: str) -> float:
+        """E18, E19 offline: words of the answer in the context, of the question in the answer, of the ground truth
+        (else of the question) in the answer, and of the question missing from the context."""
+        if criterion == "faithfulness":
+            return self.share(answer, context)
+        if criterion == "answer_relevance":
+            return self.share(question, answer)
+        return self.share(ground_truth or question, answer) if criterion == "completeness" else 1.0 - self.share(question, context)
+
 
 class LexicalReranker:
     """A stand-in for a cross-encoder: share of the query's words in the text, plus word-pair matches."""

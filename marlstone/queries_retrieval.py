@@ -369,6 +369,14 @@ def end_to_end_metrics(spark, d):
     return out.select("conv_id", "turn", F.round("factual_consistency", 6).alias("factual_consistency"), F.round("e2e_score", 6).alias("e2e_score"))
 
 
+@query()
+def judge_scores(spark, d):
+    """E18-E20 by the offline judge: each assistant turn, with the turn before it as question and context."""
+    rows = answers(spark, d).select("conv_id", "turn", F.col("reference").alias("question"), "answer", F.array("reference").alias("contexts"), F.lit("").alias("ground_truth"), (F.col("question_type") == "hallucination").alias("unanswerable"))
+    names = ["faithfulness", "answer_relevance", "completeness", "abstention_quality", "generation_score_v2"]
+    return evaluation.judge_metrics(rows).select("conv_id", "turn", *[F.round(n, 6).alias(n) for n in names])
+
+
 @query(f"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN {sql_any('text', T.ABSTENTIONS)}::INT::DOUBLE WHEN {sql_any('text', T.ABSTENTIONS)} THEN 0.0 ELSE 1.0 END AS abstention_quality,
     round(0.40::DOUBLE * (turn % 5) / 5 + 0.35::DOUBLE * (conv_id % 7) / 7 + 0.20::DOUBLE * (turn % 3) / 3 + 0.05::DOUBLE, 4) AS composite,
     round(CASE WHEN turn % 5 > 0 OR conv_id % 7 > 0 THEN 0.30::DOUBLE * 0.5 + 0.40::DOUBLE * (0.40::DOUBLE * (turn % 5) / 5 + 0.30::DOUBLE * (conv_id % 7) / 7 + 0.30::DOUBLE * (turn % 3) / 3) + 0.30::DOUBLE * 0.25

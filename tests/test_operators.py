@@ -258,3 +258,39 @@ def test_texts_are_used_whole(spark):
     frame = spark.createDataFrame(raw, "seq long, source_path string, page int, source_type string, image_index int, text string, metadata map<string,string>")
     hashes = lambda df: sorted((r.source_path, r.page, r.chunk_index, r.chunk_hash) for r in df.collect())
     assert hashes(registry.queries()["hybrid_chunks"](spark, DATA)) == hashes(chunking.hybrid_chunks(frame))
+
+
+class FixedJudge:
+    def __init__(self, scores):
+        self.scores = scores
+
+    def score(self, criterion, question, context, answer, ground_truth):
+        if answer == "raises":
+            raise RuntimeError("no service")
+        if answer == "lengths":
+            return {"faithfulness": len(context) / 4000, "completeness": len(context) / 3000, "answer_relevance": len(question + context + ground_truth) / 1000}[criterion]
+        return self.scores[criterion]
+
+
+def test_judge_metrics_clamp_and_fail_to_zero(spark):
+    cases = [("q", "fine", ["c"], "g", False), ("q", "raises", ["c"], "g", False), ("q", "", ["c"], "g", True), ("q", "I cannot answer", None, None, True), ("q", "I cannot answer", None, None, False), ("q" * 900, "lengths", ["c" * 2500, "d" * 2500], "g" * 900, True)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, question string, answer string, contexts array<string>, ground_truth string, unanswerable boolean")
+    judge = FixedJudge({"faithfulness": 1.7, "answer_relevance": -3, "completeness": 0.5, "abstention_quality": 0.25})
+    got = [tuple(r) for r in evaluation.judge_metrics(rows, judge).orderBy("i").select("faithfulness", "answer_relevance", "completeness", "abstention_quality", "generation_score_v2").collect()]
+    assert got[:5] == [(1.0, 0.0, 0.5, 1.0, 0.55), (0.0, 0.0, 0.0, 1.0, 0.05), (0.0,) * 5, (1.0, 0.0, 0.5, 1.0, 0.55), (1.0, 0.0, 0.5, 0.25, 0.5125)]
+    assert got[5][:3] == (0.5, 0.5, 0.5)  # 2000 and 1500 characters of context, 500 of the question alone
+
+
+def test_evaluate_has_judge_metrics_of_answers(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    engine.index(spark.createDataFrame([(1, "red apples grow on trees"), (2, "blue whales swim")], "chunk_id long, chunk_text string"), 1)
+    asked = spark.createDataFrame([(1, "where do red apples grow", ["1"], "red apples grow on trees")], "query_id long, text string, relevant array<string>, answer string")
+    r = engine.evaluate(asked, 1, 1).first()
+    assert r.faithfulness == 1.0 and r.answer_relevance == 0.6 and r.completeness == 0.6 and r.generation_score_v2 == 0.78 and r.precision == 1.0
+
+
+@whole
+def test_judge_scores_every_answer(spark):
+    got = registry.queries()["judge_scores"](spark, DATA)
+    assert got.count() == registry.queries()["generation_metrics"](spark, DATA).count() > 0
+    assert got.where("faithfulness > 0 and faithfulness < 1").count() > 0
