@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import mix, prefix_hash, shingles, slices, span_hash, stored, table, words, workers_find_package
+from marlstone.llm.common import mix, prefix_hash, shingles, row_key, slices, span_hash, stored, table, words, workers_find_package
 
 BUCKETS, CELLS = 1 << 16, 2000
 LABELLERS = ["symbols", "capitals", "echoes", "repeats", "variety", "bars", "word_length", "length"]
@@ -229,9 +229,10 @@ def classified(docs: DataFrame, n: int = BUCKETS) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps; repeated rows of one id are judged by their best."""
-    good = classified(docs).where("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    """The documents that the classifier keeps. Each row is judged by its own text, also where ids are null or shared."""
+    keyed = docs.withColumn("_row", row_key())
+    good = classified(keyed.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(good, "_row", "left_semi").select(*docs.columns)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,11 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray
     return out, first
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text"):
+    """A row's own id: equal for rows of one id and text only, and there when the id is null."""
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stored, table
+from marlstone.llm.common import row_key, stored, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, LIMIT = 1.5, 2.0
@@ -127,10 +127,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **options) -> DataFrame:
-    """The mix itself: documents' rows, repeated or left out, dealt to shards and shuffled within each."""
-    decided = mix(docs, shards=shards, seed=seed, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "shards").dropDuplicates(["_id"])  # repeated rows share a decision
-    copies = docs.join(decided, F.col("doc_id") == F.col("_id")).select(*[docs[c] for c in docs.columns], F.posexplode("shards").alias("_copy", "_shard"))
-    order = F.xxhash64(F.lit(seed + 3), "_shard", "doc_id", "_copy")
+    """The mix itself: documents' rows, repeated or left out, dealt to shards and shuffled within each.
+    Rows of one id share a decision; a row with a null id is decided by its text."""
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), row_key()))
+    asked = keyed.select(F.col("_id").alias("doc_id"), "source", "text")
+    decided = mix(asked, shards=shards, seed=seed, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "shards").dropDuplicates(["_id"])
+    copies = keyed.join(decided, "_id").select("_id", *docs.columns, F.posexplode("shards").alias("_copy", "_shard"))
+    order = F.xxhash64(F.lit(seed + 3), "_shard", "_id", "_copy")
     return copies.repartition(shards, "_shard").sortWithinPartitions("_shard", order).select(*docs.columns)
 
 

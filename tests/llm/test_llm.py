@@ -438,6 +438,27 @@ def test_integral_image_filters():
 # --- the pipeline ---
 
 
+def test_repeats_of_rows_without_an_id(spark):
+    a, b, c = (words(120, 900 + i, 500) for i in range(3))
+    rows = [(5, a, "en", "a", 0), (None, a, "en", "a", 0), (None, b, "en", "a", 0), (None, c, "en", "a", 0)]
+    got = sorted((r.doc_id is None, r.n_bytes, r.n_removed) for r in repeats.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted([(False, len(a), 0), (True, len(a), len(a)), (True, len(b), 0), (True, len(c), 0)])
+
+
+def test_stages_keep_null_and_shared_ids(spark):
+    texts = [words(120, 600 + i, 500) for i in range(40)]
+    ids = [None, None, 7, 7, *range(10, 46)]  # two texts without an id, two that share one
+    rows = [(i, t, "en", "a", len(t)) for i, t in zip(ids, texts, strict=True)]
+    rows += [(None, texts[0], "en", "a", len(texts[0])), (99, texts[1], "en", "a", len(texts[1]))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = lambda df: sorted(r.text for r in df.collect())
+    good = classifier.accepted(docs)
+    assert got(good) == sorted(r[1] for r in rows)
+    one_each = near_dups.deduplicated(good)
+    assert got(one_each) == sorted(texts) and {r.doc_id for r in one_each.collect() if r.text == texts[1]} == {99}
+    assert set(got(mixing.mixed_documents(one_each))) >= {texts[0]}
+
+
 def test_pipeline(spark, texts, tmp_path):
     import corpus_pipeline
 
