@@ -136,6 +136,13 @@ def facts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_sort(T.numbers(c)).alias("numbers"), (F.size(T.proper_nouns(c)) >= 0).alias("has_proper"))
 
 
+@query()
+def whole_facts(spark, d):
+    """Numbers and proper nouns themselves."""
+    c = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.array_sort(T.numbers(c)).alias("numbers"), F.array_sort(T.proper_nouns(c)).alias("proper_nouns"))
+
+
 @query(f"""WITH t AS (SELECT item_id, text, ['alpha ' || item_id, 'beta'] AS docs FROM benchmark)
 SELECT item_id, '## Document No: 1' || chr(10) || '### Content: ' || docs[1] || chr(10) || chr(10) || '## Document No: 2' || chr(10) || '### Content: beta' || chr(10) || chr(10) || '## Question: ' || text
     || chr(10) || chr(10) || '{T.FOOTERS["factual"]}' AS prompt FROM t""")

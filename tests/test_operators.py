@@ -3,6 +3,7 @@
 import hashlib
 import io
 import os
+import re
 import zipfile
 
 import numpy as np
@@ -294,3 +295,13 @@ def test_judge_scores_every_answer(spark):
     got = registry.queries()["judge_scores"](spark, DATA)
     assert got.count() == registry.queries()["generation_metrics"](spark, DATA).count() > 0
     assert got.where("faithfulness > 0 and faithfulness < 1").count() > 0
+
+
+@whole
+def test_facts_have_the_proper_nouns(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in registry.queries()["whole_facts"](spark, DATA).collect()}
+    assert got.keys() == docs.keys() and any(r.proper_nouns for r in got.values())
+    for i, text in docs.items():
+        assert got[i].proper_nouns == sorted({w for w in re.split(r"\W+", text) if re.fullmatch("[A-Z][a-z]+", w)})
+        assert got[i].numbers == sorted(set(re.findall(r"\d+(?:\.\d+)?", text)))
