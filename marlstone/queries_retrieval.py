@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from marlstone.operators import datasets, evaluation, rerank, retrieval
@@ -479,12 +481,13 @@ def dataset_seeds(spark, d):
     return datasets.seeds(chunk_rows(spark, d)).select("question_type", "ids")
 
 
+STATES = {"docs": [0, 3], "answer": ["", "x"], "iterations": [0, 1], "agentic": [True, False], "need": [True, False], "agentic_iterations": [0, 2], "sources": [1, 2, 3], "hall": ["yes", "no"], "qual": ["yes", "no"]}
+
+
 def states(spark):
-    cube = lambda n, vs: spark.createDataFrame([(v,) for v in vs], f"{n} {'boolean' if isinstance(vs[0], bool) else 'int' if isinstance(vs[0], int) else 'string'}")
-    out = cube("docs", [0, 3])
-    for n, vs in (("answer", ["", "x"]), ("iterations", [0, 1]), ("agentic", [True, False]), ("need", [True, False]), ("agentic_iterations", [0, 2]), ("sources", [1, 2, 3]), ("hall", ["yes", "no"]), ("qual", ["yes", "no"])):
-        out = out.crossJoin(cube(n, vs))  # a truth table of 768 rows
-    return out
+    """The truth table of 768 rows as one local relation."""
+    kinds = {bool: "boolean", int: "int", str: "string"}
+    return spark.createDataFrame(list(itertools.product(*STATES.values())), ", ".join(f"{n} {kinds[type(v[0])]}" for n, v in STATES.items()))
 
 
 CUBE = " CROSS JOIN ".join(f"(SELECT unnest({v}) AS {n})" for n, v in (("docs", "[0, 3]"), ("answer", "['', 'x']"), ("iterations", "[0, 1]"), ("agentic", "[true, false]"), ("need", "[true, false]"), ("agentic_iterations", "[0, 2]"), ("sources", "[1, 2, 3]"), ("hall", "['yes', 'no']"), ("qual", "['yes', 'no']")))
