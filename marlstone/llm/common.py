@@ -7,9 +7,8 @@ Python cost does not depend on the number of words.
 
 from __future__ import annotations
 
-import gc
 import os
-import time
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -39,34 +38,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; a local one only where none is set."""
+    """A new folder under the cluster's spark.checkpoint.dir. Where that is not set, a folder of this machine's, but only if the whole job runs on it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or 'file:///tmp/marlstone-checkpoints'}/{uuid.uuid4().hex}"
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/marlstone-checkpoints"
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends at
-    durable files, so a lost executor costs a re-read and no recomputation."""
+    durable files, so a lost executor costs a re-read and no recomputation, and
+    the shuffles that led there are deleted as soon as it is written."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete ``stored`` tables that nothing reads any more, and let the driver find out which finished
-    shuffles nobody refers to: Spark deletes their files only when the driver collects its garbage."""
+    """Delete ``stored`` tables that nothing reads any more."""
     spark = tables[0].sparkSession
-    jvm = spark.sparkContext._jvm
     for t in tables:
-        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    for _ in range(2):  # what the first round drops in Python the second finds in the JVM
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.5)
 
 
 def slices(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -221,20 +221,88 @@ def test_signatures_estimate_weighted_similarity():
     s = near_dups.signatures(np.concatenate((a, b)), np.array([0, 300, 600]), 512)
     assert abs((s[0] == s[1]).mean() - 240 / 360) < 0.08
     heavy = np.concatenate((np.repeat(a[:50], 3), a[50:100]))  # weights 3 and 1 against 1 and 1
-    s = near_dups.signatures(np.concatenate((heavy, a[:100])), np.array([0, 200, 300]), 512, weighted=True)
+    s = near_dups.signatures(np.concatenate((heavy, a[:100])), np.array([0, 200, 300]), 512)
     assert abs((s[0] == s[1]).mean() - 100 / 200) < 0.08
 
 
-def test_units_of_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "UNIT", 3)
-    monkeypatch.setattr(near_dups, "CHUNK_OF_GROUP", 2)
-    base = words(200, 8).split()
-    cases = []
-    for i in range(12):
-        w = list(base)
-        w[i * 10] = f"edit{i}"
-        cases.append(" ".join(w))
-    assert {r.class_id for r in near_dups.near_duplicates(frame(spark, cases)).collect()} == {0}
+def shingle_counts(text):
+    w = WORD.findall(text or "")
+    return collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
+
+
+def plain_classes(cases, similarity=0.8):
+    """Classes by comparing all pairs."""
+    sets = [shingle_counts(t) for t in cases]
+    parent = list(range(len(cases)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = (a & sets[j]).total()
+            if both and both >= similarity * (a.total() + sets[j].total() - both):
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    return [root(i) for i in range(len(cases))]
+
+
+def near_copies():
+    """Groups of copies with 0 to 12 edits each, so that pairs lie on both sides of 0.8, among other texts."""
+    r = random.Random(21)
+    cases = [words(60 + i, 800 + i) for i in range(30)]
+    for g in range(3):
+        base = words(140, 850 + g).split()
+        for _ in range(60):
+            w = list(base)
+            for _ in range(r.randrange(13)):
+                w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+            cases.append(" ".join(w))
+    line = words(12, 77)
+    cases += ["\n".join([line] * k + [words(30, 78)]) for k in (20, 21, 22, 60)]  # repeated lines weigh as often as they occur
+    r.shuffle(cases)
+    return cases
+
+
+@pytest.mark.parametrize("unit", [4096, 7])
+def test_classes_equal_those_of_all_pairs(spark, monkeypatch, unit):
+    monkeypatch.setattr(near_dups, "UNIT", unit)
+    monkeypatch.setattr(near_dups, "CHUNK_OF_GROUP", 5)
+    cases = near_copies()
+    want = plain_classes(cases)
+    assert 40 < len(set(want)) < len(cases) - 40
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(frame(spark, cases)).collect()}
+    assert [got[i] for i in range(len(cases))] == want
+
+
+def test_links_that_a_unit_passes_on_span_it():
+    r = np.random.default_rng(3)
+    base = np.unique(r.integers(0, 2**62, 300).astype(np.uint64))
+    lists = [np.sort(np.concatenate((r.choice(base, 250, replace=False), r.integers(0, 2**62, 15).astype(np.uint64)))) for _ in range(50)]
+    part = np.arange(50) // 2
+    alike = lambda i, j: (lambda n: n >= 0.6 * (len(lists[i]) + len(lists[j]) - n))(len(np.intersect1d(lists[i], lists[j])))
+    for unit in (np.zeros(50, np.int64), np.arange(50) % 2):
+        y = int(unit.max())
+        links = near_dups.spanning(unit, part, lists, 0, y, 0.6)
+        label = {p: p for p in part.tolist()}
+        for a, b in links:
+            assert label[a] != label[b]
+            label = {k: label[a] if v == label[b] else v for k, v in label.items()}
+        assert all(label[part[i]] == label[part[j]] for i in range(50) for j in range(50) if unit[i] == 0 and unit[j] == y and alike(i, j))
+        assert len(links) < 25
+
+
+def test_near_duplicates_of_shared_and_missing_ids(spark):
+    a, b = words(80, 31), words(80, 32)
+    rows = [(1, a, "en", "a", 0), (1, b, "en", "a", 0), (None, a + " more", "en", "a", 0), (None, None, "en", "a", 0), (5, b, "en", "a", 0), (6, "w" * 300_000 + " " + words(20_000, 33), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("node", F.lit(1)).withColumn("part", F.lit(2)).withColumn("_near_dups_row", F.lit(3))
+    got = near_dups.near_duplicates(docs).collect()
+    assert len(got) == 6 and len({r.class_key for r in got if r.class_key is not None}) == 3
+    assert sorted((r.doc_id is None, r.class_id) for r in got if r.class_key is not None) == [(False, 1), (False, 1), (False, 1), (False, 6), (True, 1)]
+    kept = near_dups.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, a), (1, b), (0, ""), (6, rows[5][1])])
 
 
 def test_components(spark):
