@@ -2,14 +2,17 @@
 
 The vocabulary file's pre-tokeniser is a regular language over four character
 classes (letter, number, white space, other), so pieces are found with NumPy
-passes over code points. Each distinct piece is merged once per worker and
-looked up by its 64-bit hash afterwards; ids equal those of ``tokenizers`` on
-the same file (tests compare them).
+passes over code points. Strings of added tokens are cut out first, as
+``tokenizers`` does, and are one id each. Each distinct piece is merged once per
+worker and looked up by a 64-bit hash afterwards; a hit counts only if its bytes
+are those of the piece, and pieces that merely share a hash are merged by themselves.
+Ids equal those of ``tokenizers`` on the same file (tests compare them).
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -79,34 +82,39 @@ def piece_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of the vocabulary file at ``path``; special tokens' strings are ordinary text."""
+    """Ids of the vocabulary file at ``path``; strings of its added tokens become their ids."""
 
     def __init__(self, path: str) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            content = json.load(f)
+        self.added = {t["content"].encode(): t["id"] for t in content.get("added_tokens", [])}
+        self.cut = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed rule of byte-level vocabularies
         rest = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-        ranks = {bytes(byte_of[c] for c in word): i for word, i in vocabulary.items() if all(c in byte_of for c in word)}
-        ranks.pop(b"<|endoftext|>", None)
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in content["model"]["vocab"].items() if all(c in byte_of for c in word)}
+        for t in self.added:
+            ranks.pop(t, None)
         self.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.clear()
 
     def clear(self) -> None:
+        """Tables by ascending key: ids at flat[at[i]:at[i + 1]], the piece's bytes at raw[raw_at[i]:raw_at[i + 1]]."""
         self.keys, self.at, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.raw_at, self.raw = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+
+    def _ids(self, piece: bytes) -> list[int]:
+        return [self.added[piece]] if piece in self.added else self.merge(piece)
 
     def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
-        ids = [self.merge(t) for t in texts]
-        size = np.concatenate((np.diff(self.at), np.fromiter(map(len, ids), np.int64, len(ids))))
-        at = np.concatenate(([0], np.cumsum(size)))
-        flat = np.concatenate((self.flat, np.fromiter((x for i in ids for x in i), np.uint32)))
+        ids = [self._ids(t) for t in texts]
         keys = np.concatenate((self.keys, keys))
         order = np.argsort(keys, kind="stable")  # two sorted runs: merged in one pass
-        self.keys, size = keys[order], size[order]
-        self.at = np.concatenate(([0], np.cumsum(size)))
-        self.flat = flat[np.repeat(at[order] - self.at[:-1], size) + np.arange(self.at[-1])]
+        self.keys = keys[order]
+        self.at, self.flat = _merged(self.at, self.flat, ids, [x for i in ids for x in i], order)
+        self.raw_at, self.raw = _merged(self.raw_at, self.raw, texts, np.frombuffer(b"".join(texts), np.uint8), order)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, count_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, each document's first index); without ids if only counts are asked for."""
@@ -116,33 +124,78 @@ class Encoder:
         upto = np.searchsorted(byte_at, offsets)  # documents' offsets in code points
         if not len(points):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        starts = piece_starts(points, upto)
+        starts = self._starts(text, points, byte_at, offsets, upto)
         ends = np.append(starts[1:], len(points))
         prefix = np.zeros(len(points) + 1, np.uint64)
         up, down = powers(len(points) + 1)
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
         keys = mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         unique, example, back = np.unique(keys, return_index=True, return_inverse=True)
+        first, size = byte_at[starts], byte_at[ends] - byte_at[starts]  # pieces follow each other without gaps
         known = self._find(unique)[1] if len(self.keys) else np.zeros(len(unique), bool)
         if not known.all():
             if len(self.keys) > CACHE_LIMIT:
                 self.clear()
                 known[:] = False
-            new = np.flatnonzero(~known)
-            self._learn(unique[new], [text[a:b] for a, b in zip(byte_at[starts[example[new]]].tolist(), byte_at[ends[example[new]]].tolist(), strict=True)])
-        row = self._find(unique)[0][back]
-        size = (self.at[row + 1] - self.at[row]).astype(np.int64)
-        total = np.concatenate(([0], np.cumsum(size)))
-        first = total[np.searchsorted(starts, upto)]
+            new = example[~known]
+            self._learn(unique[~known], [text[a:b] for a, b in zip(first[new].tolist(), (first[new] + size[new]).tolist(), strict=True)])
+        found = self._find(unique)[0]
+        fits = np.diff(self.raw_at)[found] == size[example]
+        held = found[fits]
+        fits[fits] = _same(self.raw, self.raw_at[held], data, first[example[fits]], size[example[fits]])
+        row, right = found[back], fits[back] & (size == size[example[back]])
+        right[right] = _same(data, first[example[back[right]]], data, first[right], size[right])
+        at, flat = self.at, self.flat
+        wrong = np.flatnonzero(~right)
+        if len(wrong):  # an equal hash of other bytes
+            ids = [self._ids(text[a : a + n]) for a, n in zip(first[wrong].tolist(), size[wrong].tolist(), strict=True)]
+            row[wrong] = len(self.keys) + np.arange(len(wrong))
+            at = np.concatenate((at, at[-1] + np.cumsum([len(i) for i in ids])))
+            flat = np.concatenate((flat, np.array([x for i in ids for x in i], np.uint32)))
+        number = (at[row + 1] - at[row]).astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(number)))
+        heads = total[np.searchsorted(starts, upto)]
         if count_only:
-            return np.zeros(0, np.uint32), first
-        return self.flat[np.repeat(self.at[row] - total[:-1], size) + np.arange(total[-1])], first
+            return np.zeros(0, np.uint32), heads
+        return flat[np.repeat(at[row] - total[:-1], number) + np.arange(total[-1])], heads
+
+    def _starts(self, text: bytes, points: np.ndarray, byte_at: np.ndarray, offsets: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """Starts of all pieces; an added token within one document is a piece, and what it parts is split by itself."""
+        hits: list[tuple[int, int]] = []
+        if self.cut is not None and (m := self.cut.search(text)):
+            for d in range(int(np.searchsorted(offsets, m.start(), "right")) - 1, len(offsets) - 1):
+                hits += [x.span() for x in self.cut.finditer(text, int(offsets[d]), int(offsets[d + 1]))]
+        if not hits:
+            return piece_starts(points, upto)
+        low, high = (np.searchsorted(byte_at, x) for x in zip(*hits, strict=True))
+        starts = piece_starts(points, np.unique(np.concatenate((upto, low, high))))
+        inside = np.searchsorted(low, starts, "left") - 1  # the token that begins before it
+        return starts[(inside < 0) | (starts >= high[inside])]
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return row, self.keys[row] == keys
 
 
+def _merged(at: np.ndarray, flat: np.ndarray, lists: list, values, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of lists old and new, dealt in ``order``."""
+    size = np.concatenate((np.diff(at), np.fromiter(map(len, lists), np.int64, len(lists))))
+    start = np.concatenate(([0], np.cumsum(size)))
+    both = np.concatenate((flat, np.asarray(values, flat.dtype)))
+    out = np.concatenate(([0], np.cumsum(size[order])))
+    return out, both[np.repeat(start[order] - out[:-1], size[order]) + np.arange(out[-1])]
+
+
+def _same(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[a_start:a_start + size] equals b[b_start:b_start + size], for each range."""
+    total = np.concatenate(([0], np.cumsum(size)))
+    place = np.arange(total[-1])
+    differ = a[np.repeat(a_start - total[:-1], size) + place] != b[np.repeat(b_start - total[:-1], size) + place]
+    out = np.ones(len(size), bool)
+    out[np.searchsorted(total, np.flatnonzero(differ), "right") - 1] = False
+    return out
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -46,13 +47,15 @@ def reference(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def test_encoder_equals_tokenizers():
     r = random.Random(5)
     odd = ["", " ", "it's we'll I'm 's ''s 's't", "a  b \n\n c ", "<|endoftext|>", "½ 123 漢字", "🙂 x y"]
+    odd += ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext", "|>", " \n <|endoftext|>  y", "<|<|endoftext|>|>", "it'<|endoftext|>s", "é<|endoftext|>漢"]
+    thue = lambda a, b: "".join(a if i.bit_count() % 2 else b for i in range(4096))  # noqa: E731  equal hashes modulo 2**64
+    odd += [thue("a", "b"), thue("b", "a"), thue("b", "a"), thue("a", "b")]
     odd += ["".join(r.choice(" \n\t'sreavmltd1é漢!. ") for _ in range(r.randrange(40))) for _ in range(500)]
     got = []
     for at, end, ids, first in tokens.encoded(pa.array(odd), tokens.default_vocabulary()):
@@ -118,8 +121,13 @@ def test_histogram(spark, texts):
     assert {n: r.n_docs for n, r in rows.items()} == dict(collections.Counter(sizes))
     for n, r in rows.items():
         assert (r.docs_ge, r.tokens_ge, r.truncated_total) == (sum(s >= n for s in sizes), sum(s for s in sizes if s >= n), sum(min(s, n) for s in sizes))
-    answers = {(r.kind, r.x): r.answer for r in token_counts.at_limits(token_counts.histogram(frame(spark, texts)), [5, 777], [0.5, 1.0]).collect()}
-    assert answers["limit", 777.0] == sum(min(s, 777) for s in sizes) and answers["quantile", 1.0] == max(sizes)
+        assert r.limit_from == max((s + 1 for s in sizes if s < n), default=0)
+        for limit in {r.limit_from, (r.limit_from + n) // 2}:
+            assert r.truncated_total - (n - limit) * r.docs_ge == sum(min(s, limit) for s in sizes)
+    limits, quantiles = [0, 1, 5, 777, 10**6], [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    answers = {(r.kind, r.x): r.answer for r in token_counts.at_limits(token_counts.histogram(frame(spark, texts)), limits, quantiles).collect()}
+    assert all(answers["limit", float(x)] == sum(min(s, x) for s in sizes) for x in limits)
+    assert all(answers["quantile", x] == sorted(sizes)[max(1, math.ceil(x * len(sizes))) - 1] for x in quantiles)
 
 
 # --- 5 ---
