@@ -16,13 +16,16 @@ Windows range over the blocks of a source (BLOCKS at most) or the documents of
 one block. All row work is DataFrame expressions.
 
 Edge cases: null text has size 0; null is a source of its own, ordered last;
-sources without words get nothing; ties in hashes are broken by doc_id; repeated
-rows are mixed alike; an empty table gives an empty result.
+sources without words get nothing. Rows are told apart by id and text: rows without an id, and
+different texts that share one, are each decided by themselves; where equal rows fall on both sides of a target, ``mix`` counts them one
+by one and ``mixed_documents`` gives all of them the larger number of copies. An empty table gives an empty result. Columns of
+any name pass through ``mixed_documents``; ``mix`` ignores them.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,6 +36,8 @@ from marlstone.llm.common import row_key, stored, table
 WEIGHTS = (5, 2, 1)
 SHARE, LIMIT = 1.5, 2.0
 BLOCKS, SHARDS, SEED = 4096, 16, 20_001
+SLICES = 4096  # into which a shard's hashed order is cut, so that tasks can share a shard
+MOST_DRAWS = 10**9  # the sampler's limit
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,6 +64,21 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, li
     return rows.withColumn("target", F.least("most", F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))).drop("most", "ratio", "level", "weight")
 
 
+def drawn(quotas: np.ndarray, draws: int, generator: np.random.Generator) -> np.ndarray:
+    """How many of ``draws`` draws without replacement are of each kind (a normal law stands in for counts beyond the sampler's limit)."""
+    out, rest = np.zeros_like(quotas), int(quotas.sum())
+    for i, good in enumerate(quotas.tolist()):
+        bad = rest - good
+        if rest < MOST_DRAWS:
+            n = int(generator.hypergeometric(good, bad, draws)) if draws and good else 0
+        else:
+            share = good / rest
+            n = round(generator.normal(draws * share, math.sqrt(draws * share * (1 - share) * (rest - draws) / (rest - 1))))
+        out[i] = n = min(max(n, 0, draws - bad), good, draws)
+        draws, rest = draws - n, bad
+    return out
+
+
 def split(quotas: list[int], shards: int, seed: int = SEED) -> list[list[int]]:
     """Quotas of each shard for each source; sums are exact."""
     out: list[list[int]] = []
@@ -67,10 +87,10 @@ def split(quotas: list[int], shards: int, seed: int = SEED) -> list[list[int]]:
         if n == 1:
             out.append(q.tolist())
             return
-        total, left = int(q.sum()), n // 2
-        draws = np.random.Generator(np.random.Philox(key=[seed, path])).multivariate_hypergeometric(q, total * left // n, method="marginals") if total else q
-        node(draws, left, 2 * path)
-        node(q - draws, n - left, 2 * path + 1)
+        left = n // 2
+        own = drawn(q, int(q.sum()) * left // n, np.random.Generator(np.random.Philox(key=[seed, path])))
+        node(own, left, 2 * path)
+        node(q - own, n - left, 2 * path + 1)
 
     if quotas:
         node(np.array(quotas, np.int64), shards, 1)
@@ -78,8 +98,8 @@ def split(quotas: list[int], shards: int, seed: int = SEED) -> list[list[int]]:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, shards array<int>) for every document."""
-    rows = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    """(doc_id, row, size, source_size, target, taken, copies, shards array<int>) for every document; ``row`` is its key by id and text."""
+    rows = stored(docs.select("doc_id", "source", row_key().alias("row"), n_words(F.col("text")).alias("size")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     plan = (
         targets(sizes, weights, share, limit)
@@ -91,7 +111,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
     )
     plan = stored(plan)
     keyed = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    keyed = keyed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")))
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row"), F.col("n_blocks")))
 
     permuted = Window.partitionBy("id").orderBy(F.xxhash64(F.lit(seed + 1), "id", "block"), "block")
     by_block = keyed.groupBy("id", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
@@ -112,14 +132,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
     by_source = by_source.join(per_source.select("id", "filled"), "id")
 
     placed = keyed.join(by_block.select("id", "block", "place", "room", "drawn"), ["id", "block"])
-    inner = Window.partitionBy("id", "block").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("id", "block").orderBy(F.xxhash64(F.lit(seed + 2), "row"), "row").rowsBetween(Window.unboundedPreceding, 0)
     cut = placed.where("drawn = 'part'").withColumn("more", ((F.sum("size").over(inner) - F.col("size") / 2) <= F.col("room")).cast("long"))
     whole = placed.where("drawn <> 'part'").withColumn("more", (F.col("drawn") == "all").cast("long"))
     out = whole.unionByName(cut).withColumn("copies", F.col("epochs") + F.col("more"))
     out = out.join(by_source, "id")
     draws = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda c: c * F.col("filled") + F.col("place"))).otherwise(F.array().cast("array<bigint>"))
     return out.select(
-        "doc_id", "size", "source_size", "target",
+        "doc_id", "row", "size", "source_size", "target",
         (F.col("copies") * F.col("size")).alias("taken"),
         F.col("copies").cast("int"),
         F.transform(draws, lambda d: F.size(F.filter(F.col("ends"), lambda e: e <= d))).alias("shards"),
@@ -127,15 +147,16 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **options) -> DataFrame:
-    """The mix itself: documents' rows, repeated or left out, dealt to shards and shuffled within each.
-    Rows of one id share a decision; a row with a null id is decided by its text."""
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), row_key()))
-    asked = keyed.select(F.col("_id").alias("doc_id"), "source", "text")
-    decided = mix(asked, shards=shards, seed=seed, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "shards").dropDuplicates(["_id"])
-    copies = keyed.join(decided, "_id").select("_id", *docs.columns, F.posexplode("shards").alias("_copy", "_shard"))
-    order = F.xxhash64(F.lit(seed + 3), "_shard", "_id", "_copy")
-    return copies.repartition(shards, "_shard").sortWithinPartitions("_shard", order).select(*docs.columns)
+    """The mix itself: documents' rows, repeated or left out, dealt to shards and shuffled within each. A task holds
+    slices of shards in their hashed order, as many as the session's partitions make of it."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key().alias("row"))
+    mixed = mix(docs.select("doc_id", "source", "text"), shards=shards, seed=seed, **options).where("copies > 0")
+    decided = mixed.groupBy("row").agg(F.max(F.struct("copies", "shards"))["shards"].alias("shards"))
+    copies = whole.join(decided, "row").select("doc", "row", F.posexplode("shards").alias("copy", "shard"))
+    copies = copies.withColumn("place", F.xxhash64(F.lit(seed + 3), "shard", "row", "copy"))
+    dealt = copies.repartition("shard", F.expr(f"(place div 2 + 4611686018427387904) div {(1 << 63) // SLICES}"))
+    return dealt.sortWithinPartitions("shard", "place").select("doc.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("row")

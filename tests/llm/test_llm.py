@@ -420,7 +420,31 @@ def test_mixing(spark):
     assert mixing.mixed_documents(docs, shards=4).count() == sum(r.copies for r in rows)
 
 
+def test_mixing_keeps_any_column_and_every_text(spark):
+    names = ["shards", "_id", "_copy", "_shard", "row", "doc", "copy", "shard", "place", "size", "a.b"]
+    texts = [words(30, i) for i in range(60)]
+    ids = [None, None, 7, 7, *range(10, 66)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in zip(ids, texts, strict=True)] + [(7, texts[2], "en", "a", 0), (1, None, None, None, None), (2, "x " * 40_000, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    out = mixing.mixed_documents(docs, shards=3)
+    assert out.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert all(r["a.b"] == "a.b" and r.shards == "shards" for r in out.limit(5).collect())
+    # the copies are those that mix tells, also for texts without an id or with a shared one
+    want = collections.Counter()
+    text = {(r.doc_id, r.row): r.text for r in docs.select("doc_id", "text", mixing.row_key().alias("row")).collect()}
+    for r in mixing.mix(docs, shards=3).collect():
+        want[r.doc_id, text[r.doc_id, r.row]] += r.copies
+    assert all(abs(got[k] - want[k]) <= 2 and bool(got[k]) == bool(want[k]) for k in want)
+    again = collections.Counter((r.doc_id, r.text) for r in mixing.mixed_documents(docs.repartition(4), shards=3).collect())
+    assert again == got
+
+
 def test_splitting_tree_is_exact():
+    big = mixing.split([3 * 10**9, 10**10, 5], 4)
+    assert np.array(big).sum(axis=0).tolist() == [3 * 10**9, 10**10, 5] and max(map(sum, big)) - min(map(sum, big)) <= 3
     parts = mixing.split([7, 0, 100, 3], 5)
     assert len(parts) == 5 and np.array(parts).sum(axis=0).tolist() == [7, 0, 100, 3]
     assert max(map(sum, parts)) - min(map(sum, parts)) <= 3
