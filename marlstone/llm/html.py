@@ -4,9 +4,11 @@ Method. One pass over each page's tags (a regular expression; no tree is kept)
 builds its blocks of text, each with the path of open elements, a path step being
 the tag and its classes with digits generalised. Boilerplate elements (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-are cut while reading. Every container on a block's path is scored by the text
+are cut while reading: by their tag, or by a class, id or role that is made of such words only ("ad",
+"site-footer"). A name that merely begins or ends with one ("search-results", "notice-of-motion") is a hint: its
+text counts half in the scores, and is cut only if more than half of it is links. Every container on a block's path is scored by the text
 below it, less its links, with a bonus for elements that mean an article, and a
-small cost for depth above the text. Each page votes for its best container's path; votes are
+small cost for depth above the text, so that siblings which share an article leave it to their parent. Each page votes for its best container's path; votes are
 summed for each host in Spark (partial sums per task, so a hot host is a few
 rows), and the path with the most votes wins. Pages are read again with their
 host's winning path: the text is that of the elements with this path; a page that
@@ -31,7 +33,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import stored, table, workers_find_package
@@ -55,27 +57,32 @@ MARKS = set(
     "sidebar sidenav aside header masthead topbar footer colophon cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall "
     "comment comments commentlist respond disqus reply replies share sharing social related recommended recommendations recirc pagination pager toolbar widget skip contentinfo complementary search".split()
 )
+#: Words that say nothing on their own beside a mark.
+NEUTRAL = set("box wrap wrapper container block section area list inner outer main page site top bottom left right slot unit bar panel item items group holder zone content row col column module".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+HINT, CUT = 1, 2
 MEANT = re.compile(r"^(article|main)\b|\.(article|post|entry|story|content|maintext|body)(-?(body|content|text|main))?\b")
 LONE = set("article main body html".split())
 
 
 @functools.lru_cache(maxsize=4096)
-def step(tag: str, attributes: str) -> tuple[str, bool]:
-    """(generalised tag and classes, whether it marks boilerplate)."""
+def step(tag: str, attributes: str) -> tuple[str, int]:
+    """(generalised tag and classes, whether it marks boilerplate: 0, HINT or CUT)."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return tag, tag in DROP
+        return tag, CUT if tag in DROP else 0
     found = {}
     for k, v in ATTRIBUTE.findall(attributes):
         found.setdefault(k.lower(), html.unescape(v.strip("\"'")).lower())
     classes = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").split()})
-    boiler = tag in DROP or "hidden" in found or found.get("aria-hidden") == "true"
-    if not boiler and tag not in LONE:
+    mark = CUT if tag in DROP or "hidden" in found or found.get("aria-hidden") == "true" else 0
+    if not mark and tag not in LONE and tag not in HEADINGS:
         for value in [*found.get("class", "").split(), found.get("id", ""), found.get("role", "")]:
             parts = [x for x in re.split(r"[^a-z]+", value) if x]
-            # the mark must head or end the name: "ad-box", "site-header", "comments"
-            if parts and (parts[0] in MARKS or parts[-1] in MARKS):
-                boiler = True
-    return ".".join([tag, *classes]), boiler
+            if not MARKS.isdisjoint(parts) and MARKS | NEUTRAL >= set(parts):
+                mark = CUT
+            elif parts and (parts[0] in MARKS or parts[-1] in MARKS):
+                mark = max(mark, HINT)
+    return ".".join([tag, *classes]), mark
 
 
 class Page:
@@ -84,7 +91,10 @@ class Page:
     def __init__(self, source: str) -> None:
         self.paths: list[str] = [""]
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
+        self.hinted: set[int] = set()
         self._read(source)
+        if self.hinted:
+            self._cut_links()
 
     def _read(self, source: str) -> None:
         open_: list[tuple[str, int]] = []  # (tag, container number, or 0 for an inline element)
@@ -163,7 +173,7 @@ class Page:
                     if open_[i][0] in stop:
                         break
             name, boiler = step(tag, attributes)
-            if boiler and dropped is None:
+            if boiler == CUT and dropped is None:
                 flush()
                 dropped = len(open_)
             if tag in INLINE or dropped is not None:
@@ -174,16 +184,27 @@ class Page:
                 self.paths.append(f"{self.paths[trail[-1]]}/{name}")
                 trail.append(len(self.paths) - 1)
                 open_.append((tag, trail[-1]))
+                if boiler:
+                    self.hinted.add(trail[-1])
         if dropped is None:
             flush()
 
+    def _cut_links(self) -> None:
+        """Drop the text of hinted containers that is mostly links."""
+        size: Counter[int] = Counter()
+        for text, linked, trail in self.blocks:
+            for number in self.hinted.intersection(trail):
+                size[number] += 2 * linked - len(text)
+        gone = {number for number, excess in size.items() if excess > 0}
+        self.blocks = [b for b in self.blocks if gone.isdisjoint(b[2])]
+
     def best(self) -> int:
         """The container with the best score."""
         own: Counter[int] = Counter()
         for text, linked, trail in self.blocks:
-            worth = max(0, len(text) - 2 * linked)
+            worth = max(0, len(text) - 2 * linked) * (1 if self.hinted.isdisjoint(trail) else 0.5)
             for up, number in enumerate(reversed(trail)):
-                own[number] += worth / (1 + 0.25 * max(0, up - 1))
+                own[number] += worth / (1 + 0.15 * max(0, up - 1))
         meant = lambda n: 1.5 if MEANT.search(self.paths[n].rpartition("/")[2]) else 1.0
         return max(own, key=lambda n: (own[n] * meant(n), n), default=0)
 
@@ -197,9 +218,9 @@ class Page:
         return " ".join(text for text, _, trail in self.blocks if number in trail)
 
 
-def host(url: str | None) -> str:
-    m = re.match(r"\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+def host() -> Column:
+    """The url's host in lower case; empty without one."""
+    return F.lower(F.coalesce(F.regexp_extract("url", r"^\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
@@ -208,13 +229,13 @@ def host_votes(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[tuple[str, str]] = Counter()
-            for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for own, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(source or "")
                 if page.blocks:
-                    seen[host(url), page.paths[page.best()]] += 1
+                    seen[own, page.paths[page.best()]] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["host", "path", "votes"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, path string, votes long")
+    rows = pages.select(host().alias("host"), "html").mapInArrow(run, "host string, path string, votes long")
     return rows.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 
@@ -228,7 +249,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row."""
     workers_find_package(pages.sparkSession)
     won = stored(winners(host_votes(pages)))
-    rows = pages.select("page_id", "url", "html", F.lower(F.coalesce(F.regexp_extract("url", r"^\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))).alias("host"))
+    rows = pages.select("page_id", "url", "html", host().alias("host"))
     few = won.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     rows = rows.join(F.broadcast(won) if few else won, "host", "left").select("page_id", "url", "html", "path")
 

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -190,6 +191,68 @@ def test_extraction(spark):
     assert html.Page("<div><p>a<div>b</p></div>c").inside(0) == "a b c"
 
 
+class Plain(HTMLParser):
+    """The text of the first article or body, block by block, without elements that are boilerplate by tag or whole class."""
+
+    inline = set("a b em i span strong u".split())
+    gone = set("nav header footer aside form script style title head button".split())
+
+    def __init__(self, source, within):
+        super().__init__(convert_charrefs=True)
+        self.within, self.open, self.text = within, [], []
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "meta", "img", "hr"):
+            self.text.append(" ")
+            return
+        if tag not in self.inline:
+            self.text.append(" ")
+            if self.open and tag in ("p", "div", "ul", "h1", "h2", "article", "section", "footer"):  # these close a paragraph
+                opened = [t for t, _ in self.open]
+                if "p" in opened and not set(opened[len(opened) - opened[::-1].index("p") :]) & {"div", "article"}:
+                    del self.open[len(opened) - 1 - opened[::-1].index("p") :]
+        marks = {"ad", "comments", "sidebar", "notice", "site-footer"}
+        self.open.append((tag, tag in self.gone or bool(marks & set((dict(attrs).get("class") or "").split()))))
+
+    def handle_endtag(self, tag):
+        if tag not in self.inline:
+            self.text.append(" ")
+        opened = [t for t, _ in self.open]
+        if tag in opened:
+            del self.open[len(opened) - 1 - opened[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if (not self.within or self.within in [t for t, _ in self.open]) and not any(g for _, g in self.open):
+            self.text.append(data)
+
+    def all(self):
+        return " ".join("".join(self.text).split())
+
+
+def test_extraction_equals_a_plain_version(spark):
+    r = random.Random(8)
+    say = lambda n: " ".join(f"{r.choice(['Über', 'a', 'word', 'x&amp;y', '&lt;b&gt;', '漢字'])}{r.randrange(99)}" for _ in range(n))
+    inside = [
+        lambda: f"<p>{say(20)} <b>{say(2)}</b>\n {say(9)}</p>", lambda: f"<p>{say(30)}<br>{say(3)}", lambda: f"<h2 class='article-header'>{say(4)}</h2>", lambda: f"<section class=notice-of-motion><p>{say(15)}</p></section>",
+        lambda: f'<div class="search-results"><p>{say(12)} <a href=/x>{say(2)}</a></p></div>', lambda: f"<div class='ad'>{say(6)}</div>", lambda: f"<ul><li>{say(5)}<li>{say(5)}</ul>", lambda: f"<aside>{say(4)}</aside>", lambda: f"<div class='notice'>{say(5)}</div>",
+    ]
+    rows, want = [], []
+    for i in range(120):
+        parts = "".join(r.choice(inside)() for _ in range(r.randrange(1, 9)))
+        body = f"<article><h1>{say(5)}</h1>{parts}</article>" if i % 3 else f"<div class='intro'><p>{say(40)}</p></div><div class='rest'><p>{say(r.randrange(12, 60))}</p>{parts}</div>"
+        page = f"<!DOCTYPE html><html><head><title>{say(3)}</title><style>p{{}}</style></head><body><nav><a href=/>{say(3)}</a></nav><div class=ad>{say(9)}</div>{body}<div class='comments'><p>{say(20)}</p></div><footer class='site-footer'>{say(5)}</footer></body></html>"
+        rows.append((i, f"https://h{i % 3}.example.org/{i}", page))
+        want.append(Plain(page, "article" if i % 3 else "body").all())
+    rows += [(200, "https://h1.example.org/l", f"<article>{'<p>' + say(9) + '</p>'}" + "<div>" * 3000 + say(3) + "</article>"), (201, rows[1][1], rows[1][2]), (202, rows[1][1], rows[1][2])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("path", F.lit("y"))
+    got = {x.page_id: x for x in html.main_text(frame).collect()}
+    for i, w in enumerate(want):
+        assert got[i].text == w and got[i].n_chars == len(w)
+    assert got[200].text == Plain(rows[120][2], "article").all() and got[201].text == got[202].text == want[1]
+
+
 # --- 7 ---
 
 
