@@ -160,6 +160,16 @@ def test_repeats(spark, texts, monkeypatch, hot):
     assert got == brute_repeats(cases)
 
 
+def test_anchors_do_not_depend_on_what_is_around():
+    r = np.random.default_rng(2)
+    text = r.integers(97, 99, 4000).astype(np.uint8)
+    alone = repeats.anchors_of(text, np.array([0, 4000]))[0]
+    for before in (1, 5000, 300_000):
+        data = np.concatenate((r.integers(97, 99, before).astype(np.uint8), text, r.integers(97, 99, 77).astype(np.uint8)))
+        at = repeats.anchors_of(data, np.array([0, before, before + 4000, len(data)]))[0]
+        assert (at[(at >= before) & (at < before + 4000)] - before).tolist() == alone.tolist()
+
+
 def test_deep_shallow():
     r = random.Random(1)
     for _ in range(50):
