@@ -31,14 +31,15 @@ def sample(chunks: DataFrame, n: int, seed: int = 0, least: int = 50) -> DataFra
 
 def comparative_pairs(chunks: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """D3: n pairs of chunks of two sources (of any two chunks if there is one source). Chunk i of a source in
-    hash order meets chunk i of the next source, so pairs are as many as chunks, never their square."""
+    hash order meets chunk i of the next source, so pairs are as many as chunks, never their square; of a source
+    only its first n (+ 1) chunks can be among the first n pairs, and each task passes on no more."""
     hashed = order(F.col("id"), seed)
     rows = chunks.select("id", "source", "text", hashed.alias("_h"))
     sources = rows.select("source").distinct().withColumn("_s", F.row_number().over(Window.orderBy("source")) - 1)
     n_sources = sources.agg(F.count("*").alias("_n"))
-    rows = rows.join(sources, "source").join(F.broadcast(n_sources), how="cross")  # one row
     place = F.row_number().over(Window.partitionBy("source").orderBy("_h", "id"))
-    rows = rows.withColumn("_i", place)
+    rows = rows.withColumn("_i", place).where(F.col("_i") <= n + 1)
+    rows = rows.join(sources, "source").join(F.broadcast(n_sources), how="cross")  # one row
     alone = F.col("_n") == 1
     a = rows.select(F.col("id").alias("id_a"), F.col("source").alias("source_a"), F.col("text").alias("text_a"), F.col("_h"), F.when(alone, F.col("_s")).otherwise((F.col("_s") + 1) % F.col("_n")).alias("_s"), F.when(alone, F.col("_i") + 1).otherwise(F.col("_i")).alias("_i"))
     b = rows.select(F.col("id").alias("id_b"), F.col("source").alias("source_b"), F.col("text").alias("text_b"), "_s", "_i")

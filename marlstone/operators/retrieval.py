@@ -20,6 +20,8 @@ FUNNEL = {"fetch": 6, "fuse": 4, "rerank": 5}
 GATE = {"max": 0.5, "mean": 0.3}
 DIGITS = 6  # scores are compared after rounding, so that ranks do not hang on summation order
 QUERY_BLOCK = 1024
+PIECE_BYTES, BROADCAST_BYTES, HELD_BLOCKS = 1 << 20, 1 << 26, 64
+BROADCAST_TERMS, SALTS = 1_000_000, 16
 
 
 def top(rows: DataFrame, k: int, by: list[Column], group: str = "query_id") -> DataFrame:
@@ -45,74 +47,121 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
     """Exact nearest vectors of each query, (query_id, doc_id, score, rank).
 
-    Queries go out in blocks of QUERY_BLOCK (a bounded broadcast each); a task multiplies a batch of
-    vectors with the block and passes on at most k rows for each query, so nothing grows with vectors x queries."""
-    ids = queries.select("query_id", "embedding").where("embedding is not null")
-    block = F.expr(f"(row_number() over (order by query_id) - 1) div {QUERY_BLOCK}")
-    numbered = ids.withColumn("_block", block)
-    blocks = numbered.agg(F.max("_block")).first()[0]
-    out = None
-    for n in range(0 if blocks is None else blocks + 1):
-        held = numbered.where(F.col("_block") == n).orderBy("query_id").collect()  # QUERY_BLOCK rows at most
-        part = _dense_block(vectors, [r["query_id"] for r in held], np.array([r["embedding"] for r in held], np.float64), k, metric)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    Queries are packed into blocks of about QUERY_BLOCK and vectors, in one scan, into pieces of PIECE_BYTES; each piece meets each block.
+    Blocks are broadcast if all queries take up to BROADCAST_BYTES; else pieces and blocks are dealt by block and slice.
+    A task passes on at most k rows for each query and piece of work, so nothing grows with vectors x queries, and only
+    the queries' number and size reach the driver."""
+    spark = vectors.sparkSession
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    count, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    blocks = max(1, -(-count // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    packed = asked.groupBy(block).agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
+    pieces = vectors.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_packed, "ids array<bigint>, numbers array<double>")
+    dealt = pieces.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if 8 * numbers <= BROADCAST_BYTES:
+        met = dealt.join(F.broadcast(packed), "block")
+    else:
+        slices = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+        dealt = dealt.withColumn("slice", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(slices)).cast("int"))
+        met = dealt.join(packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), ["block", "slice"])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # of each block: query ids, scores, vector ids
+
+        def found() -> pa.RecordBatch:
+            parts = [(np.repeat(q, np.isfinite(s).sum(axis=1)), d[np.isfinite(s)], s[np.isfinite(s)] + 0.0) for q, s, d in best.values()]
+            best.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["query_id", "doc_id", "score"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, ids = batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy()
+                v = batch.column(2)[i].values.to_numpy().reshape(len(ids), -1)
+                rows = batch.column(3)[i].values
+                names, q = rows.field("query_id").to_numpy(), rows.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                if number not in best and len(best) == HELD_BLOCKS:
+                    yield found()
+                names, s, d = best.get(number, (names, np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)))
+                s = np.concatenate((s, np.round(scores(q, v, metric), DIGITS)), axis=1)
+                d = np.concatenate((d, np.broadcast_to(ids, (len(names), len(ids)))), axis=1)
+                order = np.lexsort((d, -s), axis=1)[:, :k]
+                best[number] = names, np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+        if best:
+            yield found()
+
+    out = met.select("block", "ids", "numbers", "asked").mapInArrow(nearest, "query_id long, doc_id long, score double")
     return top(out, k, [F.desc("score"), F.asc("doc_id")])
 
 
-def _dense_block(vectors: DataFrame, names: list[int], q: np.ndarray, k: int, metric: str) -> DataFrame:
-    length = np.sqrt((q * q).sum(axis=1))
+def scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """R2 of all pairs of rows; -inf where there is none."""
+    s = q @ v.T
+    if metric == "cosine":
+        norm = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
+        return np.where(norm > 0, s / np.where(norm > 0, norm, 1), -np.inf)
+    if metric == "euclidean":
+        return -np.sqrt(np.maximum(0, (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * s))
+    return s
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s, best_d = np.full((len(names), 0), 0.0), np.zeros((len(names), 0), np.int64)
-        for batch in batches:
-            present = batch.column(1).is_valid()
-            batch = batch.filter(present)
-            if not batch.num_rows:
-                continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            s = q @ v.T
-            if metric == "cosine":
-                norm = length[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
-                s = np.where(norm > 0, s / np.where(norm > 0, norm, 1), -np.inf)
-            elif metric == "euclidean":
-                s = -np.sqrt(np.maximum(0, (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * s))
-            s = np.concatenate((best_s, np.round(s, DIGITS)), axis=1)
-            d = np.concatenate((best_d, np.broadcast_to(batch.column(0).to_numpy(), (len(names), batch.num_rows))), axis=1)
-            order = np.lexsort((d, -s), axis=1)[:, :k]
-            best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-        found = np.isfinite(best_s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, found.sum(axis=1)), pa.int64()), pa.array(best_d[found]), pa.array(best_s[found] + 0.0)], ["query_id", "doc_id", "score"])
-
-    return vectors.select(F.col("doc_id").cast("long"), "embedding").mapInArrow(run, "query_id long, doc_id long, score double")
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of a batch end to end, in pieces of about PIECE_BYTES; nulls are left out."""
+    for batch in batches:
+        batch = batch.filter(batch.column(1).is_valid())
+        if not batch.num_rows:
+            continue
+        flat = batch.column(1).flatten()
+        step = max(1, PIECE_BYTES * batch.num_rows // max(1, 8 * len(flat)))
+        cut = np.append(np.arange(0, batch.num_rows, step), batch.num_rows)
+        lists = [pa.ListArray.from_arrays(pa.array(cut * (len(x) // batch.num_rows), pa.int32()), x) for x in (batch.column(0), flat)]
+        yield pa.RecordBatch.from_arrays(lists, ["ids", "numbers"])
 
 
 class Bm25:
-    """Postings (doc_id, term, tf), lengths and corpus statistics as tables."""
+    """Tokens, corpus statistics and term statistics as tables, read afresh or, with ``folder``, written there once
+    and read back (tokens by document, so that later searches do not split texts again)."""
 
-    def __init__(self, docs: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> None:
+    def __init__(self, docs: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON, folder: str | None = None) -> None:
         self.k1, self.b, self.epsilon = k1, b, epsilon
-        tokens = docs.select("doc_id", bm25_tokens(F.col("text")).alias("ts"))
-        self.lengths = tokens.select("doc_id", F.size("ts").alias("dl"))
-        self.stats = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-        self.postings = tokens.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        self.tokens = docs.select("doc_id", bm25_tokens(F.col("text")).alias("ts"))
+        if folder:
+            self.tokens.write.mode("overwrite").parquet(f"{folder}/tokens")
+            self.tokens = docs.sparkSession.read.parquet(f"{folder}/tokens")
+        self.stats = self.tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
+        self.terms = self.tokens.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        if folder:
+            self.terms.write.mode("overwrite").parquet(f"{folder}/terms")
+            self.terms = docs.sparkSession.read.parquet(f"{folder}/terms")
 
     def idf(self) -> DataFrame:
-        """(term, idf); a negative one becomes epsilon times the mean over all terms."""
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        raw = df.join(F.broadcast(self.stats), how="cross").withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
+        """(term, df, idf); a negative one becomes epsilon times the mean over all terms."""
+        raw = self.terms.join(F.broadcast(self.stats), how="cross").withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
         mean = raw.agg(F.avg("raw").alias("mean"))
         return raw.join(F.broadcast(mean), how="cross").select("term", "df", F.when(F.col("raw") < 0, self.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """(query_id, doc_id, score, rank); scores above 0 only; a repeated query word counts again."""
+        """(query_id, doc_id, score, rank); scores above 0 only; a repeated query word counts again.
+
+        Documents are dealt by id once; terms that no query has are dropped before they are counted, and a document's scores
+        add up in its own task. Up to BROADCAST_TERMS query words are sent to all tasks; more are joined by a shuffle of (term, salt), which parts common terms."""
         words = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        weighted = words.join(self.idf(), "term")
-        hits = self.postings.join(weighted, "term").join(F.broadcast(self.stats), how="cross")
-        part = F.col("qtf") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
-        scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
-        return top(scores, k, [F.desc("score"), F.asc("doc_id")])
+        few = words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        weighted = words.join(self.idf(), "term").groupBy("term").agg(F.collect_list(F.struct("query_id", (F.col("qtf") * F.col("idf")).alias("weight"))).alias("by"))
+        lists = self.tokens.repartition("doc_id").select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+        sent = F.broadcast(weighted.select("term")) if few else weighted.select("term")
+        held = lists.join(sent, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+        part = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
+        held = held.join(F.broadcast(self.stats), how="cross").select("doc_id", "term", part.alias("part"))
+        if few:
+            hits = held.join(F.broadcast(weighted), "term")
+        else:
+            salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+            spread = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            hits = held.withColumn("salt", salt("doc_id")).join(spread, ["term", "salt"])
+        hits = hits.select("doc_id", "part", F.explode("by").alias("q")).select("q.query_id", "doc_id", (F.col("q.weight") * F.col("part")).alias("part"))
+        total = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score > 0")
+        return top(total, k, [F.desc("score"), F.asc("doc_id")])
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, **options) -> DataFrame:

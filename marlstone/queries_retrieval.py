@@ -23,15 +23,10 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
-def asked(spark, d, n=20):
-    """Every document under ``n`` that has a vector, as a query of up to 1,000 characters."""
-    docs = corpus(spark, d).where(F.col("doc_id") < n).select("doc_id", F.substring("text", 1, 1000).alias("text"))
-    return docs.join(vectors(spark, d), "doc_id").withColumnRenamed("doc_id", "query_id")
-
-
-def asked_whole(spark, d):
+def asked(spark, d):
     """Every document with a vector whose id is divisible by 20, as a query of up to 1,000 characters."""
-    return asked(spark, d, 2**63 - 1).where("query_id % 20 = 0")
+    docs = corpus(spark, d).where("doc_id % 20 = 0").select("doc_id", F.substring("text", 1, 1000).alias("text"))
+    return docs.join(vectors(spark, d), "doc_id").withColumnRenamed("doc_id", "query_id")
 
 
 def vectors_asked(spark, d):
@@ -42,7 +37,7 @@ def vectors_asked(spark, d):
 COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)"
 
 
-def dense_sql(score: str, k: int, where: str = "q.vec_id < 20") -> str:
+def dense_sql(score: str, k: int, where: str = "q.vec_id % 20 = 0") -> str:
     return f"""SELECT query_id, doc_id, score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {score} + 0.0 AS score,
     (row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} DESC, v.vec_id) - 1)::INT AS rank FROM embeddings q, embeddings v WHERE {where}) WHERE rank < {k}"""
 
@@ -50,48 +45,21 @@ def dense_sql(score: str, k: int, where: str = "q.vec_id < 20") -> str:
 @query(dense_sql(COS, 10))
 def dense_cosine(spark, d):
     """R1, R5, R15."""
-    q = vectors(spark, d).where("doc_id < 20").withColumnRenamed("doc_id", "query_id")
-    return retrieval.dense_topk(q, vectors(spark, d), 10)
+    return retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10)
 
 
 @query(dense_sql("round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)", 10))
 def dense_dot(spark, d):
     """R2."""
-    q = vectors(spark, d).where("doc_id < 20").withColumnRenamed("doc_id", "query_id")
-    return retrieval.dense_topk(q, vectors(spark, d), 10, "dot")
+    return retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10, "dot")
 
 
 @query(dense_sql("round(-list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)", 10))
 def dense_euclidean(spark, d):
     """R2."""
-    q = vectors(spark, d).where("doc_id < 20").withColumnRenamed("doc_id", "query_id")
-    return retrieval.dense_topk(q, vectors(spark, d), 10, "euclidean")
-
-
-@query()
-def whole_dense_cosine(spark, d):
-    """R1, R5, R15 for every id divisible by 20."""
-    return retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10)
-
-
-@query()
-def whole_dense_dot(spark, d):
-    """R2 for every id divisible by 20."""
-    return retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10, "dot")
-
-
-@query()
-def whole_dense_euclidean(spark, d):
-    """R2 for every id divisible by 20."""
     return retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10, "euclidean")
 
 
-@query()
-def whole_relevance_gate(spark, d):
-    """R16 for every id divisible by 20."""
-    return retrieval.gate(retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 5))
-
-
 def bm25_ctes(queries: str) -> str:
     """CTEs up to ``scores``, for a relation of (query_id, text)."""
     return f"""t AS (SELECT doc_id, {TOKENS.format('text')} AS ts FROM documents),
@@ -111,9 +79,9 @@ def bm25(spark, d):
     return retrieval.bm25_topk(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), corpus(spark, d), 10)
 
 
-ASKED = "SELECT doc_id AS query_id, substr(d.text, 1, 1000) AS text FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE doc_id < 20"
+ASKED = "SELECT doc_id AS query_id, substr(d.text, 1, 1000) AS text FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE doc_id % 20 = 0"
 LISTS = f"""{bm25_ctes(ASKED)},
-l AS (SELECT query_id, 0 AS list_id, rank, doc_id, score FROM ({dense_sql(COS, 10, "q.vec_id < 20 AND q.vec_id IN (SELECT doc_id FROM documents)")})
+l AS (SELECT query_id, 0 AS list_id, rank, doc_id, score FROM ({dense_sql(COS, 10, "q.vec_id % 20 = 0 AND q.vec_id IN (SELECT doc_id FROM documents)")})
     UNION ALL SELECT query_id, 1, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1)::INT AS rank FROM scores) WHERE rank < 10),
 lists AS (SELECT l.*, text FROM l JOIN documents USING (doc_id))"""
 FUSED = """f AS (SELECT query_id, substr(sha256(substr(text, 1, 200)), 1, 12) AS key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min((list_id, rank, doc_id, text)) AS first FROM lists GROUP BY 1, 2),
@@ -132,18 +100,6 @@ def hybrid_search(spark, d):
     return retrieval.rrf(retrieval.hybrid(asked(spark, d), corpus(spark, d), vectors(spark, d), 10), top_k=5).drop("text")
 
 
-@query()
-def whole_hybrid_lists(spark, d):
-    """R6 for every id divisible by 20."""
-    return retrieval.hybrid(asked_whole(spark, d), corpus(spark, d), vectors(spark, d), 10).drop("text")
-
-
-@query()
-def whole_hybrid_search(spark, d):
-    """R6, R9 for every id divisible by 20."""
-    return retrieval.rrf(retrieval.hybrid(asked_whole(spark, d), corpus(spark, d), vectors(spark, d), 10), top_k=5).drop("text")
-
-
 @query("""WITH l AS (SELECT conv_id % 40 AS query_id, CASE WHEN conv_id % 40 < 5 THEN 0 ELSE turn % 3 END AS list_id, row_number() OVER (PARTITION BY conv_id % 40, CASE WHEN conv_id % 40 < 5 THEN 0 ELSE turn % 3 END ORDER BY conv_id, turn) - 1 AS rank, conv_id * 100 + turn AS doc_id, text FROM conversations),
 k AS (SELECT *, min(list_id) OVER (PARTITION BY query_id) = max(list_id) OVER (PARTITION BY query_id) AS lone, substr(sha256(substr(text, 1, 200)), 1, 12) AS h FROM l),
 f AS (SELECT query_id, CASE WHEN lone THEN rank || ':' || h ELSE h END AS key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min((list_id, rank, doc_id)) AS first FROM k GROUP BY 1, 2)
@@ -170,7 +126,7 @@ def query_variants(spark, d):
     return retrieval.variants(q, proposed)
 
 
-ADV = "SELECT doc_id * 1000 + v AS query_id, CASE v WHEN 0 THEN substr(d.text, 1, 1000) ELSE substr(d.text, 101, 300) END AS text FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id, (SELECT unnest([0, 1]) AS v) WHERE doc_id < 5 AND length(trim(CASE v WHEN 0 THEN d.text ELSE substr(d.text, 101, 300) END)) > 0"
+ADV = "SELECT doc_id * 1000 + v AS query_id, CASE v WHEN 0 THEN substr(d.text, 1, 1000) ELSE substr(d.text, 101, 300) END AS text FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id, (SELECT unnest([0, 1]) AS v) WHERE doc_id % 20 = 0 AND length(trim(CASE v WHEN 0 THEN d.text ELSE substr(d.text, 101, 300) END)) > 0"
 
 
 @query(f"""WITH a AS ({ADV}), {bm25_ctes(ADV)},
@@ -179,17 +135,8 @@ sp AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
 lists AS (SELECT query_id // 1000 AS query_id, x.list_id + query_id % 1000 AS list_id, rank, doc_id, text FROM (SELECT query_id, doc_id, rank, 0 AS list_id FROM dn WHERE rank < 30 UNION ALL SELECT query_id, doc_id, rank, 1000 FROM sp WHERE rank < 30) x JOIN documents USING (doc_id)),
 {FUSED} SELECT query_id, doc_id, score, rank FROM o WHERE rank < 5""")
 def advanced_retrieval(spark, d):
-    """R14 without a reranker: two variants of five queries, 30 of each list, fused."""
-    q = asked(spark, d, 5)
-    second = corpus(spark, d).where("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.substring("text", 101, 300).alias("text")).join(q.select("query_id", "embedding"), "query_id")
-    both = q.withColumn("variant", F.lit(0)).unionByName(second.withColumn("variant", F.lit(1)))
-    return retrieval.advanced(both, corpus(spark, d), vectors(spark, d)).drop("text", "source")
-
-
-@query()
-def whole_advanced_retrieval(spark, d):
-    """R14 without a reranker: two variants of every question whose id is divisible by 20."""
-    q = asked_whole(spark, d)
+    """R14 without a reranker: two variants of each question, 30 of each list, fused."""
+    q = asked(spark, d)
     second = corpus(spark, d).select(F.col("doc_id").alias("query_id"), F.substring("text", 101, 300).alias("text")).join(q.select("query_id", "embedding"), "query_id")
     both = q.withColumn("variant", F.lit(0)).unionByName(second.withColumn("variant", F.lit(1)))
     return retrieval.advanced(both, corpus(spark, d), vectors(spark, d)).drop("text", "source")
@@ -198,7 +145,7 @@ def whole_advanced_retrieval(spark, d):
 @query()
 def reranked_search(spark, d):
     """R10, R12, R14 with the offline reranker, for every id divisible by 20."""
-    q = asked_whole(spark, d).withColumn("variant", F.lit(0))
+    q = asked(spark, d).withColumn("variant", F.lit(0))
     again = lambda a, c, n: rerank.cascade([LexicalReranker()], a, c, n)
     return retrieval.advanced(q, corpus(spark, d), vectors(spark, d), 5, again).drop("text")
 
@@ -207,8 +154,7 @@ def reranked_search(spark, d):
 SELECT *, max_score < 0.5 OR mean_score < 0.3 AS abstain FROM g""")
 def relevance_gate(spark, d):
     """R16."""
-    q = vectors(spark, d).where("doc_id < 20").withColumnRenamed("doc_id", "query_id")
-    return retrieval.gate(retrieval.dense_topk(q, vectors(spark, d), 5))
+    return retrieval.gate(retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 5))
 
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events""")
@@ -217,19 +163,21 @@ def request_rates(spark, d):
     return retrieval.requests_in_window(table(spark, d, "events"), 3600).select("event_id", "recent")
 
 
-def judged_lists(spark, d):
-    """For 50 vectors: ids of their label as relevant, their ten nearest as retrieved."""
-    v = table(spark, d, "embeddings").where("vec_id < 200")
-    q = v.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), "embedding")
-    hits = retrieval.dense_topk(q, v.select(F.col("vec_id").alias("doc_id"), "embedding"), 10)
-    got = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("retrieved"))
-    a = v.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), "label")
-    wanted = a.join(v.select("label", F.col("vec_id").cast("string").alias("id")), "label").groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("relevant"))
-    return wanted.join(got, "query_id")
+def judged_hits(spark, d):
+    """For every vector whose id is divisible by 20: its ten nearest of all vectors, those of them with its label, and how many vectors have it."""
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    hits = retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10)
+    own = labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("wanted"))
+    rows = hits.join(labels, "doc_id").join(own, "query_id")
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("id"), (F.col("label") == F.col("wanted")).alias("hit"))))
+    rows = rows.groupBy("query_id", "wanted").agg(listed.alias("l"))
+    counts = labels.groupBy(F.col("label").alias("wanted")).agg(F.count("*").alias("n_relevant"))
+    ids = lambda c: F.transform(c, lambda x: x["id"])
+    return rows.join(counts, "wanted").select("query_id", "n_relevant", ids(F.col("l")).alias("retrieved"), ids(F.filter("l", lambda x: x["hit"])).alias("relevant"))
 
 
-JUDGED = f"""ranked AS ({dense_sql(COS, 10, "q.vec_id < 50 AND v.vec_id < 200")}),
-judged AS (SELECT r.query_id, r.doc_id, r.rank + 1 AS pos, (a.label = b.label)::INT AS rel, (SELECT count(*) FROM embeddings e WHERE e.vec_id < 200 AND e.label = a.label) AS n_rel
+JUDGED = f"""ranked AS ({dense_sql(COS, 10, "q.vec_id % 20 = 0")}),
+judged AS (SELECT r.query_id, r.doc_id, r.rank + 1 AS pos, (a.label = b.label)::INT AS rel, (SELECT count(*) FROM embeddings e WHERE e.label = a.label) AS n_rel
     FROM ranked r JOIN embeddings a ON a.vec_id = r.query_id JOIN embeddings b ON b.vec_id = r.doc_id)"""
 
 
@@ -241,7 +189,7 @@ SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) A
     hit AS hit_rate_at_5, round(mrr, 6) AS mrr_at_5, round(ndcg, 6) AS ndcg_at_5 FROM f""")
 def retrieval_metrics(spark, d):
     """E1-E5, E9, E10."""
-    out = evaluation.retrieval_metrics(judged_lists(spark, d))
+    out = evaluation.hit_metrics(judged_hits(spark, d))
     names = ["precision", "recall", "f1", "retrieval_score", "precision_at_5", "recall_at_5", "hit_rate_at_5", "mrr_at_5", "ndcg_at_5"]
     return out.select("query_id", *[F.round(n, 6).alias(n) for n in names])
 
@@ -250,13 +198,12 @@ def retrieval_metrics(spark, d):
 SELECT count(*) AS questions, round(avg(p), 6) AS average_precision, round(avg(mrr), 6) AS average_mrr_at_5 FROM m""")
 def retrieval_averages(spark, d):
     """E11."""
-    out = evaluation.aggregate_retrieval(evaluation.retrieval_metrics(judged_lists(spark, d)))
+    out = evaluation.aggregate_retrieval(evaluation.hit_metrics(judged_hits(spark, d)))
     return out.select("questions", F.round("average_precision", 6).alias("average_precision"), F.round("average_mrr_at_5", 6).alias("average_mrr_at_5"))
 
 
-def reranked_lists(spark, d):
-    rows = judged_lists(spark, d)
-    return rows.select("query_id", "relevant", F.col("retrieved").alias("before"), F.reverse("retrieved").alias("after"), (F.col("query_id") * 10.0).alias("latency_ms"))
+def reranked_hits(spark, d):
+    return judged_hits(spark, d).select("query_id", "n_relevant", "relevant", F.col("retrieved").alias("before"), F.reverse("retrieved").alias("after"), (F.col("query_id") * 10.0).alias("latency_ms"))
 
 
 RERANKED = f"""{JUDGED}, b AS (SELECT query_id, coalesce(1.0::DOUBLE / min(pos) FILTER (WHERE rel = 1 AND pos <= 5), 0) AS mrr_before, coalesce(1.0::DOUBLE / min(11 - pos) FILTER (WHERE rel = 1 AND pos > 5), 0) AS mrr_after,
@@ -269,58 +216,13 @@ z AS (SELECT query_id, mrr_after - mrr_before AS mrr_lift, (d1 - d0) / ideal AS
     round(CASE WHEN ms > 0 THEN (mrr_lift + ndcg_lift) / (ms / 1000) END, 6) AS roi FROM z""")
 def reranker_metrics(spark, d):
     """E6-E8, with the reversed list as the reranked one."""
-    out = evaluation.reranker_metrics(reranked_lists(spark, d))
+    out = evaluation.hit_reranker_metrics(reranked_hits(spark, d))
     return out.select("query_id", F.round("mrr_lift", 6).alias("mrr_lift"), F.round("ndcg_lift", 6).alias("ndcg_lift"), F.round("avg_position_change", 6).alias("avg_position_change"), "promoted_from_deep", F.round("roi", 6).alias("roi"))
 
 
 @query(f"""WITH {RERANKED} SELECT round(avg(mrr_lift), 6) AS mrr_lift, round(quantile_cont(ms, 0.99), 6) AS p99_ms, sum(promoted_from_deep)::BIGINT AS promoted, avg(mrr_lift) > 0.05 AS meets_mrr, quantile_cont(ms, 0.99) < 500 AS meets_latency FROM z""")
 def reranker_averages(spark, d):
     """E11."""
-    out = evaluation.aggregate_reranker(evaluation.reranker_metrics(reranked_lists(spark, d)))
-    return out.select(F.round("mrr_lift", 6).alias("mrr_lift"), F.round("p99_ms", 6).alias("p99_ms"), F.col("promoted_from_deep").alias("promoted"), "meets_mrr", "meets_latency")
-
-
-def judged_hits(spark, d):
-    """For every vector whose id is divisible by 20: its ten nearest of all vectors, those of them with its label, and how many vectors have it."""
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    hits = retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10)
-    own = labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("wanted"))
-    rows = hits.join(labels, "doc_id").join(own, "query_id")
-    listed = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("id"), (F.col("label") == F.col("wanted")).alias("hit"))))
-    rows = rows.groupBy("query_id", "wanted").agg(listed.alias("l"))
-    counts = labels.groupBy(F.col("label").alias("wanted")).agg(F.count("*").alias("n_relevant"))
-    ids = lambda c: F.transform(c, lambda x: x["id"])
-    return rows.join(counts, "wanted").select("query_id", "n_relevant", ids(F.col("l")).alias("retrieved"), ids(F.filter("l", lambda x: x["hit"])).alias("relevant"))
-
-
-@query()
-def whole_retrieval_metrics(spark, d):
-    """E1-E5, E9, E10 over all vectors, for every id divisible by 20."""
-    names = ["precision", "recall", "f1", "retrieval_score", "precision_at_5", "recall_at_5", "hit_rate_at_5", "mrr_at_5", "ndcg_at_5"]
-    return evaluation.hit_metrics(judged_hits(spark, d)).select("query_id", *[F.round(n, 6).alias(n) for n in names])
-
-
-@query()
-def whole_retrieval_averages(spark, d):
-    """E11 over all vectors, for every id divisible by 20."""
-    out = evaluation.aggregate_retrieval(evaluation.hit_metrics(judged_hits(spark, d)))
-    return out.select("questions", F.round("average_precision", 6).alias("average_precision"), F.round("average_mrr_at_5", 6).alias("average_mrr_at_5"))
-
-
-def reranked_hits(spark, d):
-    return judged_hits(spark, d).select("query_id", "n_relevant", "relevant", F.col("retrieved").alias("before"), F.reverse("retrieved").alias("after"), (F.col("query_id") * 10.0).alias("latency_ms"))
-
-
-@query()
-def whole_reranker_metrics(spark, d):
-    """E6-E8 over all vectors, for every id divisible by 20."""
-    out = evaluation.hit_reranker_metrics(reranked_hits(spark, d))
-    return out.select("query_id", *[F.round(n, 6).alias(n) for n in ("mrr_lift", "ndcg_lift", "avg_position_change")], "promoted_from_deep", F.round("roi", 6).alias("roi"))
-
-
-@query()
-def whole_reranker_averages(spark, d):
-    """E11 of reranking over all vectors, for every id divisible by 20."""
     out = evaluation.aggregate_reranker(evaluation.hit_reranker_metrics(reranked_hits(spark, d)))
     return out.select(F.round("mrr_lift", 6).alias("mrr_lift"), F.round("p99_ms", 6).alias("p99_ms"), F.col("promoted_from_deep").alias("promoted"), "meets_mrr", "meets_latency")
 
@@ -372,7 +274,7 @@ def end_to_end_metrics(spark, d):
 
 
 @query()
-def judge_scores(spark, d):
+def judge_metrics(spark, d):
     """E18-E20 by the offline judge: each assistant turn, with the turn before it as question and context."""
     rows = answers(spark, d).select("conv_id", "turn", F.col("reference").alias("question"), "answer", F.array("reference").alias("contexts"), F.lit("").alias("ground_truth"), (F.col("question_type") == "hallucination").alias("unanswerable"))
     names = ["faithfulness", "answer_relevance", "completeness", "abstention_quality", "generation_score_v2"]

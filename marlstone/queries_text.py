@@ -70,12 +70,12 @@ def domains(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.domain(F.col("text")).alias("domain"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, repeat(text, 1 + (22000 // greatest(1, length(text)))) AS text FROM documents WHERE doc_id % 50 = 0)
+@query(f"""WITH t AS (SELECT doc_id, repeat(text, 1 + (22000 // greatest(1, length(text)))) AS text FROM documents)
 SELECT doc_id, {STRIP.format("CASE WHEN length(text) <= 20000 THEN text ELSE substr(text, 1, 20000) END")} AS plain,
     {STRIP.format("CASE WHEN length(text) <= 20000 THEN text ELSE substr(text, 1, 14000) || '" + T.MIDDLE_CUT + "' || right(text, 6000) END")} AS prompt FROM t""")
 def process_text(spark, d):
     """T9, on documents repeated until they are too long."""
-    rows = table(spark, d, "documents").where("doc_id % 50 = 0").selectExpr("doc_id", "repeat(text, cast(1 + (22000 div greatest(1, length(text))) as int)) as text")
+    rows = table(spark, d, "documents").selectExpr("doc_id", "repeat(text, cast(1 + (22000 div greatest(1, length(text))) as int)) as text")
     return rows.select("doc_id", T.fitted(F.col("text")).alias("plain"), T.fitted(F.col("text"), prompt=True).alias("prompt"))
 
 
@@ -129,16 +129,9 @@ def verdicts(spark, d):
 
 
 @query(r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))) AS numbers,
-    len(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+)(?:[^\p{L}\p{N}_]|$)', 1), lambda x: x))) >= 0 AS has_proper FROM documents""")
+    list_sort(list_distinct(list_filter(string_split(regexp_replace(text, '[^\p{L}\p{M}\p{N}_]+', '  ', 'g'), '  '), lambda t: regexp_full_match(t, '[A-Z][a-z]+')))) AS proper_nouns FROM documents""")
 def facts(spark, d):
-    """T18; RE2 has no Unicode word boundary, so of proper nouns only the form is compared."""
-    c = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.array_sort(T.numbers(c)).alias("numbers"), (F.size(T.proper_nouns(c)) >= 0).alias("has_proper"))
-
-
-@query()
-def whole_facts(spark, d):
-    """Numbers and proper nouns themselves."""
+    """Numbers and proper nouns."""
     c = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.array_sort(T.numbers(c)).alias("numbers"), F.array_sort(T.proper_nouns(c)).alias("proper_nouns"))
 
@@ -206,25 +199,17 @@ def fallback_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.fallback_udf(100, 20)("text")).alias("chunk_index", "chunk_text"))
 
 
-@query()
-def whole_process_text(spark, d):
-    """T9 on all documents, repeated until they are too long."""
-    rows = table(spark, d, "documents").selectExpr("doc_id", "repeat(text, cast(1 + (22000 div greatest(1, length(text))) as int)) as text")
-    return rows.select("doc_id", T.fitted(F.col("text")).alias("plain"), T.fitted(F.col("text"), prompt=True).alias("prompt"))
-
-
-def raw_pages(spark, d, text=None):
-    """Documents as pages of 20 and every third as an image with recognised text (``text``: their first 400 characters)."""
-    text = F.substring("text", 1, 400) if text is None else text
+def raw_pages(spark, d):
+    """Documents as pages of 20 and every third as an image with recognised text."""
     none = F.create_map(F.lit("language"), F.lit("english"), F.lit("from"), F.col("doc_id").cast("string"))
     kind = F.when(F.col("doc_id") % 3 == 0, "pdf_embedded_image").otherwise("pdf")
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("seq"), F.concat(F.lit("f"), F.expr("doc_id div 20").cast("string")).alias("source_path"), (F.expr("doc_id div 5") % 4 + 1).cast("int").alias("page"), kind.alias("source_type"),
-        F.col("doc_id").cast("int").alias("image_index"), text.alias("text"), none.alias("metadata"),
+        F.col("doc_id").cast("int").alias("image_index"), "text", none.alias("metadata"),
     )
 
 
-@query(f"""WITH r AS (SELECT doc_id AS seq, 'f' || (doc_id // 20) AS source_path, (doc_id // 5 % 4 + 1)::INT AS page, doc_id % 3 = 0 AS image, substr(text, 1, 400) AS text FROM documents),
+@query(f"""WITH r AS (SELECT doc_id AS seq, 'f' || (doc_id // 20) AS source_path, (doc_id // 5 % 4 + 1)::INT AS page, doc_id % 3 = 0 AS image, text FROM documents),
 g AS (SELECT source_path, page, min(seq) AS seq, {STRIP.format("coalesce(string_agg(text, chr(10) || chr(10) ORDER BY seq) FILTER (WHERE NOT image), '')")} AS text,
     coalesce(list(seq::INT ORDER BY seq) FILTER (WHERE image), []) AS images, max(seq) FILTER (WHERE NOT image) AS last_text,
     coalesce(list(CASE WHEN length(text) > 300 THEN '[Image ' || seq || ': ' || substr(text, 1, 297) || '...]' ELSE '[Image ' || seq || ': ' || text || ']' END ORDER BY seq) FILTER (WHERE image), []) AS marks FROM r GROUP BY 1, 2)
@@ -235,17 +220,10 @@ def hybrid_documents(spark, d):
     return rows.select("source_path", "page", "seq", F.md5(F.col("text").cast("binary")).alias("digest"), F.transform("images", lambda i: i["image_index"]).alias("images"), F.col("metadata")["from"].alias("merged_from"), F.transform("images", chunking.image_text).alias("marks"))
 
 
-@query()
-def whole_hybrid_documents(spark, d):
-    """C8, C12 on whole texts."""
-    rows = chunking.hybrid_documents(raw_pages(spark, d, F.col("text")))
-    return rows.select("source_path", "page", "seq", F.md5(F.col("text").cast("binary")).alias("digest"), F.transform("images", lambda i: i["image_index"]).alias("images"), F.col("metadata")["from"].alias("merged_from"), F.transform("images", chunking.image_text).alias("marks"))
-
-
 @query()
 def hybrid_chunks(spark, d):
     """C8-C13, on whole texts."""
-    rows = chunking.hybrid_chunks(raw_pages(spark, d, F.col("text")))
+    rows = chunking.hybrid_chunks(raw_pages(spark, d))
     return rows.select("source_path", "page", "seq", "chunk_index", "chunk_hash", "chunk_size", "chunk_context", "is_hybrid", "has_images", "image_count", "is_image_only", F.transform("referenced_images", lambda i: i["image_index"]).alias("images"))
 
 

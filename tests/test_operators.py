@@ -199,13 +199,13 @@ def test_searches_ask_every_twentieth_id(spark):
     ids = {i for i in v if i % 20 == 0}
     scores = {"cosine": lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b)), "dot": lambda a, b: a @ b, "euclidean": lambda a, b: -np.sqrt(((a - b) ** 2).sum())}
     for name, score in scores.items():
-        got = {(r.query_id, r.rank): r for r in queries[f"whole_dense_{name}"](spark, DATA).collect()}
+        got = {(r.query_id, r.rank): r for r in queries[f"dense_{name}"](spark, DATA).collect()}
         want = nearest(v, ids, 10, score)
         assert got.keys() == want.keys() and len({i for i, _ in got}) == len(ids) > 20
         assert all(abs(got[k].score - want[k][1]) < 2e-5 for k in want)
         assert sum(got[k].doc_id != want[k][0] for k in want) <= 0.01 * len(want)  # ties after rounding
-    assert {r.query_id for r in queries["whole_relevance_gate"](spark, DATA).collect()} == ids
-    for name in ("whole_hybrid_lists", "whole_hybrid_search", "whole_advanced_retrieval", "reranked_search"):
+    assert {r.query_id for r in queries["relevance_gate"](spark, DATA).collect()} == ids
+    for name in ("hybrid_lists", "hybrid_search", "advanced_retrieval", "reranked_search"):
         assert {r.query_id for r in queries[name](spark, DATA).collect()} == ids & docs, name
 
 
@@ -220,27 +220,27 @@ def test_metrics_over_all_vectors_equal_those_of_whole_lists(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
     label = {r.vec_id: r.label for r in rows}
     hits = {}
-    for r in registry.queries()["whole_dense_cosine"](spark, DATA).orderBy("rank").collect():
+    for r in registry.queries()["dense_cosine"](spark, DATA).orderBy("rank").collect():
         hits.setdefault(r.query_id, []).append(str(r.doc_id))
     lists = [(i, [str(j) for j in label if label[j] == label[i]], h, h[::-1], i * 10.0) for i, h in hits.items()]
     assert len(lists) == sum(i % 20 == 0 for i in label)
     frame = spark.createDataFrame(lists, "query_id long, relevant array<string>, retrieved array<string>, after array<string>, latency_ms double")
-    cases = {"whole_retrieval_metrics": evaluation.retrieval_metrics(frame), "whole_reranker_metrics": evaluation.reranker_metrics(frame.withColumnRenamed("retrieved", "before"))}
+    cases = {"retrieval_metrics": evaluation.retrieval_metrics(frame), "reranker_metrics": evaluation.reranker_metrics(frame.withColumnRenamed("retrieved", "before"))}
     for name, want in cases.items():
         got = registry.queries()[name](spark, DATA)
         plain = lambda df: {r.query_id: [None if x is None else round(x, 5) for x in r[1:]] for r in df.select(*got.columns).collect()}
         a, b = plain(got), plain(want)
         assert a.keys() == b.keys() and all(x == y or abs(x - y) < 2e-5 for i in a for x, y in zip(a[i], b[i], strict=True))
-    for name in ("whole_retrieval_averages", "whole_reranker_averages"):
+    for name in ("retrieval_averages", "reranker_averages"):
         assert registry.queries()[name](spark, DATA).count() == 1
-    assert registry.queries()["whole_retrieval_averages"](spark, DATA).first().questions == len(lists)
+    assert registry.queries()["retrieval_averages"](spark, DATA).first().questions == len(lists)
 
 
 @whole
 def test_texts_are_used_whole(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert max(map(len, docs.values())) > 400
-    got = {r.doc_id: r for r in registry.queries()["whole_process_text"](spark, DATA).collect()}
+    got = {r.doc_id: r for r in registry.queries()["process_text"](spark, DATA).collect()}
     assert got.keys() == docs.keys()
     for i, text in docs.items():
         long = text * (1 + 22000 // max(1, len(text)))
@@ -248,7 +248,7 @@ def test_texts_are_used_whole(spark):
     pages = {}
     for i in sorted(docs):
         pages.setdefault((f"f{i // 20}", i // 5 % 4 + 1), []).append(i)
-    rows = registry.queries()["whole_hybrid_documents"](spark, DATA).collect()
+    rows = registry.queries()["hybrid_documents"](spark, DATA).collect()
     assert len(rows) == len(pages)
     for r in rows:
         ids = pages[r.source_path, r.page]
@@ -292,7 +292,7 @@ def test_evaluate_has_judge_metrics_of_answers(spark, tmp_path):
 
 @whole
 def test_judge_scores_every_answer(spark):
-    got = registry.queries()["judge_scores"](spark, DATA)
+    got = registry.queries()["judge_metrics"](spark, DATA)
     assert got.count() == registry.queries()["generation_metrics"](spark, DATA).count() > 0
     assert got.where("faithfulness > 0 and faithfulness < 1").count() > 0
 
@@ -300,7 +300,7 @@ def test_judge_scores_every_answer(spark):
 @whole
 def test_facts_have_the_proper_nouns(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    got = {r.doc_id: r for r in registry.queries()["whole_facts"](spark, DATA).collect()}
+    got = {r.doc_id: r for r in registry.queries()["facts"](spark, DATA).collect()}
     assert got.keys() == docs.keys() and any(r.proper_nouns for r in got.values())
     for i, text in docs.items():
         assert got[i].proper_nouns == sorted({w for w in re.split(r"\W+", text) if re.fullmatch("[A-Z][a-z]+", w)})
