@@ -9,8 +9,8 @@ into one 32-bit code. Windows without sound have no code.
 Alignment. The filters' sign bits of codes LAGS frames apart make a word, and each of
 MASKS picks KEY_BITS of its bits as a key, so that some key outlasts the errors that a link
 may have (a test asks for 0.9 of the pairs that all offsets would link). Blocks of about BLOCK codes, one at a time, go
-to the tasks, and each recording is compared with every other that has one of its keys, at
-each offset at which they share one. Pairs that differ too much in codes PROBES away from the
+to the tasks, and each recording is compared once with every other that has one of its keys, at
+each offset at which they share one. Pairs that differ too much in a few codes (FIRST_PROBES), then in more (PROBES), away from the
 key are left; the others link if at their best offset at least OVERLAP codes overlap with a
 bit error rate up to ERRORS, counted over all their bits. Links and best alignments are
 counted over all the links found. Recordings with equal codes are one class from the start;
@@ -35,18 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stored, table, workers_find_package
+from marlstone.llm.common import mix, stored, table, workers_find_package
 from marlstone.llm.graph import components
 
 RATE, FRAME, HOP = 4000, 512, 128
 FILTERS, WIDTH, STEP = 16, 16, 0.25
 OVERLAP, ERRORS = 24, 0.25
-LAGS = (0, 8, 16)
+LAGS = (0, 7, 14, 21)
 TABLES, KEY_BITS = 12, 24
-MASKS = tuple(sum(1 << int(b) for b in np.random.default_rng([1, i]).choice(16 * len(LAGS), KEY_BITS, replace=False)) for i in range(TABLES))
+MASKS = tuple(sum(1 << int(b) for b in np.random.default_rng([1, i]).choice(FILTERS * len(LAGS), KEY_BITS, replace=False)) for i in range(TABLES))
+FIRST_PROBES, FIRST_ERRORS = (-40, -20, 41, 61), 0.42
 PROBES, PROBE_ERRORS = range(-64, 64, 8), 0.3
 PAD = 64  # silent codes between recordings, so that lags and probes do not leave theirs
-BLOCK = 1 << 20  # codes of a block, whose sorted keys each task holds
+BLOCK = 1 << 21  # codes of a block, whose sorted keys each task holds
 PIECE = 1 << 20  # rows of hits or codes compared at a time
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
@@ -129,7 +130,7 @@ def fingerprints(rows: DataFrame, samples: Callable[[list], list[np.ndarray]] |
 
 
 class Laid:
-    """Recordings end to end, PAD silent codes before and after each, and the keys of MASKS."""
+    """Recordings end to end, PAD silent codes before and after each, and the words that keys are picked from."""
 
     def __init__(self, ids: np.ndarray, lists: pa.Array, sound: pa.Array) -> None:
         self.ids, self.size = ids, np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
@@ -148,7 +149,14 @@ class Laid:
         self.at = np.flatnonzero(np.logical_and.reduce([self.heard[lag : lag + reach] for lag in LAGS]))
         self.words = np.zeros(len(self.at), np.uint64)
         for i, lag in enumerate(LAGS):
-            self.words |= sign[self.at + lag].astype(np.uint64) << np.uint64(16 * i)
+            self.words |= sign[self.at + lag].astype(np.uint64) << np.uint64(FILTERS * i)
+
+    def tables(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each mask, hashed keys in ascending order and their places; a key and its place are sorted as one number."""
+        bits = np.uint64(len(self.codes).bit_length())
+        for mask in MASKS:
+            both = np.sort(mix(self.words & np.uint64(mask)) >> bits << bits | self.at.astype(np.uint64))
+            yield both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def ragged(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,30 +175,44 @@ def pieces(count: np.ndarray) -> Iterator[slice]:
         s = e
 
 
-def candidates(mine: Laid, block: Laid, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Distinct rows (recording, other, offset) of pairs that share a key at the offset and pass the probes."""
+def probed(mine: Laid, block: Laid, x: np.ndarray, y: np.ndarray, lags, errors: float) -> np.ndarray:
+    """Whether the codes ``lags`` away from places x and y differ in at most ``errors`` of their bits."""
+    wrong, bits = np.zeros(len(x), np.int32), np.zeros(len(x), np.int32)
+    for lag in lags:
+        both = mine.heard[x + lag] & block.heard[y + lag]
+        wrong += np.where(both, np.bitwise_count(mine.codes[x + lag] ^ block.codes[y + lag]), 0)
+        bits += both
+    return wrong <= errors * 2 * FILTERS * bits
+
+
+def candidates(mine: Laid, block: Laid, tables: list[tuple[np.ndarray, np.ndarray]], same: bool) -> np.ndarray:
+    """Distinct rows (recording, other, offset) of pairs that share a key at the offset and pass the probes; within
+    the ``same`` block only others of smaller id."""
     out = []
-    for mask, (keys, places) in zip(MASKS, tables, strict=True):
-        wanted = mine.words & np.uint64(mask)
-        order = np.argsort(wanted)
-        low = np.searchsorted(keys, wanted[order], "left")
-        count = np.searchsorted(keys, wanted[order], "right") - low
-        order, low, count = order[count > 0], low[count > 0], count[count > 0]
+    reach = int(block.size.max(initial=0))  # offsets lie from -reach to the longest of mine; a row is one number
+    span = reach + int(mine.size.max(initial=0)) + 1
+    shift = np.uint64(max(len(mine.codes).bit_length(), len(block.codes).bit_length()))
+    own_shift, block_shift = (shift - np.uint64(len(z.codes).bit_length()) for z in (mine, block))  # hashes are compared by as many bits as both have
+    for (keys, places), (wanted, own_places) in zip(tables, mine.tables(), strict=True):
+        keys, wanted = keys >> block_shift, wanted >> own_shift
+        low = np.searchsorted(keys, wanted, "left")
+        count = np.searchsorted(keys, wanted, "right") - low
+        hit = count > 0
+        own_places, low, count = own_places[hit], low[hit], count[hit]
         for run in pieces(count):
             own, element = ragged(low[run], count[run])
-            x, y = mine.at[order[run]][own], places[element]
+            x, y = own_places[run][own], places[element]
             i, j = mine.owner[x], block.owner[y]
-            other = mine.ids[i] != block.ids[j]
-            x, y, i, j = x[other], y[other], i[other], j[other]
-            wrong, bits = np.zeros(len(x), np.int32), np.zeros(len(x), np.int32)
-            for lag in PROBES:
-                both = mine.heard[x + lag] & block.heard[y + lag]
-                wrong += np.where(both, np.bitwise_count(mine.codes[x + lag] ^ block.codes[y + lag]), 0)
-                bits += both
-            good = wrong <= PROBE_ERRORS * 2 * FILTERS * bits
-            x, y, i, j = x[good], y[good], i[good], j[good]
-            out.append(np.unique(np.stack([i, j, (x - mine.start[i]) - (y - block.start[j])], axis=1), axis=0))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+            other = mine.ids[i] > block.ids[j] if same else mine.ids[i] != block.ids[j]
+            x, y = x[other], y[other]
+            for lags, errors in ((FIRST_PROBES, FIRST_ERRORS), (PROBES, PROBE_ERRORS)):
+                good = probed(mine, block, x, y, lags, errors)
+                x, y = x[good], y[good]
+            i, j = mine.owner[x], block.owner[y]
+            out.append(np.unique((i.astype(np.int64) * len(block.ids) + j) * span + (x - mine.start[i]) - (y - block.start[j]) + reach))
+    found = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    pair = found // span
+    return np.stack([pair // len(block.ids), pair % len(block.ids), found % span - reach], axis=1)
 
 
 def alignments(mine: Laid, block: Laid, found: np.ndarray, errors: float, overlap: int) -> np.ndarray:
@@ -216,52 +238,81 @@ def alignments(mine: Laid, block: Laid, found: np.ndarray, errors: float, overla
 LINKED = "id long, n_links long, other long, offset int, bit_errors int, bits int"
 
 
+class Best:
+    """Links and best alignment (least rate of errors, then smallest other id) of each of n recordings."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids, self.links = ids, np.zeros(len(ids), np.int64)
+        self.rate, self.found = np.full(len(ids), np.inf), np.zeros((len(ids), 4), np.int64)
+
+    def add(self, place: np.ndarray, other: np.ndarray, offset: np.ndarray, wrong: np.ndarray, bits: np.ndarray) -> None:
+        self.links += np.bincount(place, minlength=len(self.ids))
+        rate = wrong / np.maximum(bits, 1)
+        order = np.lexsort((other, rate, place))
+        order = order[np.append(True, place[order][1:] != place[order][:-1])[: len(order)]]
+        p = place[order]
+        better = (rate[order] < self.rate[p]) | (rate[order] == self.rate[p]) & (other[order] < self.found[p, 0])
+        p, order = p[better], order[better]
+        self.rate[p], self.found[p] = rate[order], np.stack([other, offset, wrong, bits], axis=1)[order]
+
+    def batch(self, names: list[str]) -> pa.RecordBatch:
+        linked = np.flatnonzero(self.links)
+        columns = [self.ids[linked], self.links[linked], self.found[linked, 0], *(self.found[linked, k].astype(np.int32) for k in (1, 2, 3))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
 def aligned(prints: DataFrame, errors: float = ERRORS, overlap: int = OVERLAP, group: int = 256) -> tuple[DataFrame, DataFrame]:
     """Of (id, codes, sound): links (a, b) that join all linked recordings into components, and (id, n_links, best_match,
     best_offset, bit_errors, bits) of each recording that has links, over all of them."""
     total = prints.agg(F.sum(F.size("codes"))).first()[0] or 0
     blocks = -(-total // BLOCK)
+    numbered = prints.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))))
     names = [f.split()[0] for f in LINKED.split(", ")]
 
-    def block_links(held: pa.Table) -> DataFrame:
+    def block_links(held: pa.Table, number: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = held.combine_chunks()
             block = Laid(*(whole.column(c).chunk(0) if c else whole.column(c).to_numpy() for c in range(3)))
-            tables, parent = [], {}
-            for mask in MASKS:
-                key = block.words & np.uint64(mask)
-                order = np.argsort(key)
-                tables.append((key[order], block.at[order]))
+            tables, theirs = list(block.tables()), Best(block.ids)
+            parent: dict[int, int] = {}
 
             def root(i: int) -> int:
                 while parent.setdefault(i, i) != i:
                     parent[i] = i = parent[parent[i]]
                 return i
 
+            def compared(part: pa.RecordBatch, same: bool) -> Iterator[pa.RecordBatch]:
+                mine = Laid(part.column(0).to_numpy(), part.column(1), part.column(2))
+                i, j, offset, wrong, bits = alignments(mine, block, candidates(mine, block, tables, same), errors, overlap).T
+                a, b = mine.ids[i], block.ids[j]
+                ours = Best(mine.ids)
+                ours.add(i, b, offset, wrong, bits)
+                theirs.add(j, a, -offset, wrong, bits)
+                yield ours.batch(names)
+                joins = []
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    p, q = root(x), root(y)
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        joins.append((x, y))  # joins two components
+                none = pa.nulls(len(joins), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in joins], pa.int64()), pa.array([0] * len(joins), pa.int64()), pa.array([y for _, y in joins], pa.int64()), none, none, none], names)
+
             for batch in batches:
-                for s in range(0, batch.num_rows, group):
-                    part = batch.slice(s, group)
-                    mine = Laid(part.column(0).to_numpy(), part.column(1), part.column(2))
-                    rows = alignments(mine, block, candidates(mine, block, tables), errors, overlap)
-                    a, b = mine.ids[rows[:, 0]], block.ids[rows[:, 1]]
-                    order = np.lexsort((b, rows[:, 3] / np.maximum(rows[:, 4], 1), rows[:, 0]))
-                    first = order[np.append(True, rows[order][1:, 0] != rows[order][:-1, 0])[: len(rows)]]
-                    out = [(int(a[k]), int(n), int(b[k]), *map(int, rows[k, 2:])) for k, n in zip(first, np.unique(rows[:, 0], return_counts=True)[1], strict=True)]
-                    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                        p, q = root(x), root(y)
-                        if p != q:
-                            parent[max(p, q)] = min(p, q)
-                            out.append((x, 0, y, None, None, None))  # joins two components
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names)
-
-        return prints.mapInArrow(run, LINKED)
+                own = batch.column(3).to_numpy()
+                for same in (True, False):
+                    rows = batch.filter(pa.array(own == number if same else own > number))
+                    for s in range(0, rows.num_rows, group):
+                        yield from compared(rows.slice(s, group), same)
+            yield theirs.batch(names)
+
+        return numbered.where(F.col("block") >= number).select("id", "codes", "sound", "block").mapInArrow(run, LINKED)
 
     parts = []
     for n in range(blocks):
-        held = prints.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
+        held = numbered.where(F.col("block") == n).select("id", "codes", "sound").toArrow()  # about BLOCK codes
         if held.num_rows:
-            parts.append(stored(block_links(held)))
+            parts.append(stored(block_links(held, n)))
     rows = parts[0] if parts else prints.sparkSession.createDataFrame([], LINKED)
     for part in parts[1:]:
         rows = rows.unionByName(part)
