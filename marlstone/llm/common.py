@@ -24,8 +24,14 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def workers_find_package(spark: SparkSession) -> None:
-    """Python workers import this package by name; make its root importable there."""
+    """Python workers import this package by name; make its root importable there. Unless the session says
+    how large Arrow batches may be, they are small, as each task holds some in the JVM and in Python."""
+    if ARROW_BYTES not in dict(spark.conf.getAll):
+        spark.conf.set(ARROW_BYTES, str(4 << 20))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
@@ -75,8 +81,8 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yield (first row, end row, bytes, offsets) with about ``chunk`` bytes of text each; null is empty."""
+def slices(column: pa.Array, chunk: int = CHUNK, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yield (first row, end row, bytes, offsets) with about ``chunk`` bytes of text each, and at most ``rows`` rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
@@ -89,7 +95,7 @@ def slices(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, "right")) - 1)
+        end = max(at + 1, min(int(np.searchsorted(offsets, offsets[at] + chunk, "right")) - 1, at + (rows or n)))
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from marlstone.llm import quality_rules
 from marlstone.llm.audio import op1_chroma_fingerprints
 from marlstone.llm.classifier import op9_quality_classifier
@@ -27,7 +26,6 @@ def queries() -> dict:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mixing": op10_mixing,
-        "pipeline": corpus_pipeline.run,
     }
 
 
