@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and read again as the next stage's ``docs``. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, extra ones of any name included.
+
+Edge cases: null and empty texts are rejected by the classifier; documents without an id, and
+different texts that share one, are told apart by id and text in every stage and go on, each for itself; equal rows are one document
+after near_dedup; repeated texts leave the one with the smallest id; texts of any length are used whole; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.classifier import accepted
-from marlstone.llm.common import stored, table, workers_find_package
+from marlstone.llm.common import release, stored, table, workers_find_package
 from marlstone.llm.mixing import mixed_documents
 from marlstone.llm.near_dups import deduplicated
 from marlstone.llm.packing import pack_documents
@@ -51,8 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     workers_find_package(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
+    for _, stage in STAGES:
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if hasattr(before, "stored_at"):
+            release(before)  # the next stage's table stands by itself
     return docs

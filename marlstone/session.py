@@ -15,7 +15,8 @@ SETTINGS = {
 
 
 def session(app: str = "marlstone", **settings: str) -> SparkSession:
-    """A session; keyword settings use __ for dots (spark__master="local[8]")."""
+    """A session; keyword settings use __ for dots (spark__master="local[8]"). On a cluster, spark.checkpoint.dir must name a
+    folder that all executors share; operators keep intermediate tables there."""
     builder = SparkSession.builder.appName(app)
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
