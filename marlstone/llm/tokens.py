@@ -101,20 +101,27 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        """Tables by ascending key: ids at flat[at[i]:at[i + 1]], the piece's bytes at raw[raw_at[i]:raw_at[i + 1]]."""
-        self.keys, self.at, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        self.raw_at, self.raw = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+        """Pieces in the order they came: the i-th one's ids are flat[at[i]:at[i + 1]], its bytes raw[raw_at[i]:raw_at[i + 1]];
+        ``keys`` ascend, and ``rows`` are their pieces."""
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.raw = Growing(np.uint32), Growing(np.uint8)
+        self.at, self.raw_at = Growing(np.int64), Growing(np.int64)
+        for offsets in (self.at, self.raw_at):
+            offsets.add([0])
 
     def _ids(self, piece: bytes) -> list[int]:
         return [self.added[piece]] if piece in self.added else self.merge(piece)
 
     def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        """Add pieces by ascending keys."""
         ids = [self._ids(t) for t in texts]
-        keys = np.concatenate((self.keys, keys))
-        order = np.argsort(keys, kind="stable")  # two sorted runs: merged in one pass
-        self.keys = keys[order]
-        self.at, self.flat = _merged(self.at, self.flat, ids, [x for i in ids for x in i], order)
-        self.raw_at, self.raw = _merged(self.raw_at, self.raw, texts, np.frombuffer(b"".join(texts), np.uint8), order)
+        for offsets, values, lists in ((self.at, self.flat, ids), (self.raw_at, self.raw, texts)):
+            offsets.add(values.size + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))))
+        self.flat.add([x for i in ids for x in i])
+        self.raw.add(np.frombuffer(b"".join(texts), np.uint8))
+        where = np.searchsorted(self.keys, keys)
+        self.rows = np.insert(self.rows, where, len(self.keys) + np.arange(len(keys)))
+        self.keys = np.insert(self.keys, where, keys)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, count_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, each document's first index); without ids if only counts are asked for."""
@@ -139,13 +146,13 @@ class Encoder:
                 known[:] = False
             new = example[~known]
             self._learn(unique[~known], [text[a:b] for a, b in zip(first[new].tolist(), (first[new] + size[new]).tolist(), strict=True)])
-        found = self._find(unique)[0]
-        fits = np.diff(self.raw_at)[found] == size[example]
+        found, raw_at = self.rows[self._find(unique)[0]], self.raw_at.values
+        fits = raw_at[found + 1] - raw_at[found] == size[example]
         held = found[fits]
-        fits[fits] = _same(self.raw, self.raw_at[held], data, first[example[fits]], size[example[fits]])
+        fits[fits] = _same(self.raw.values, raw_at[held], data, first[example[fits]], size[example[fits]])
         row, right = found[back], fits[back] & (size == size[example[back]])
         right[right] = _same(data, first[example[back[right]]], data, first[right], size[right])
-        at, flat = self.at, self.flat
+        at, flat = self.at.values, self.flat.values
         wrong = np.flatnonzero(~right)
         if len(wrong):  # an equal hash of other bytes
             ids = [self._ids(text[a : a + n]) for a, n in zip(first[wrong].tolist(), size[wrong].tolist(), strict=True)]
@@ -177,13 +184,22 @@ class Encoder:
         return row, self.keys[row] == keys
 
 
-def _merged(at: np.ndarray, flat: np.ndarray, lists: list, values, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and values of lists old and new, dealt in ``order``."""
-    size = np.concatenate((np.diff(at), np.fromiter(map(len, lists), np.int64, len(lists))))
-    start = np.concatenate(([0], np.cumsum(size)))
-    both = np.concatenate((flat, np.asarray(values, flat.dtype)))
-    out = np.concatenate(([0], np.cumsum(size[order])))
-    return out, both[np.repeat(start[order] - out[:-1], size[order]) + np.arange(out[-1])]
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type) -> None:
+        self.data, self.size = np.zeros(1024, dtype), 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.data[: self.size]
+
+    def add(self, values) -> None:
+        values = np.asarray(values, self.data.dtype)
+        if self.size + len(values) > len(self.data):
+            self.data = np.concatenate((self.values, np.zeros(self.size + len(values), self.data.dtype)))
+        self.data[self.size : self.size + len(values)] = values
+        self.size += len(values)
 
 
 def _same(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
