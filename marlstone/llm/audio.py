@@ -10,7 +10,7 @@ Alignment. The filters' sign bits of codes LAGS frames apart make a word, and ea
 MASKS picks KEY_BITS of its bits as a key, so that some key outlasts the errors that a link
 may have (a test asks for 0.9 of the pairs that all offsets would link). Blocks of about BLOCK codes, one at a time, go
 to the tasks, and each recording is compared once with every other that has one of its keys, at
-each offset at which they share one. Pairs that differ too much in a few codes (FIRST_PROBES), then in more (PROBES), away from the
+each offset at which they share one. Pairs that differ too much in the signs of a few codes (FIRST_PROBES), then in more codes (PROBES), away from the
 key are left; the others link if at their best offset at least OVERLAP codes overlap with a
 bit error rate up to ERRORS, counted over all their bits. Links and best alignments are
 counted over all the links found. Recordings with equal codes are one class from the start;
@@ -27,6 +27,7 @@ offset; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -42,13 +43,13 @@ RATE, FRAME, HOP = 4000, 512, 128
 FILTERS, WIDTH, STEP = 16, 16, 0.25
 OVERLAP, ERRORS = 24, 0.25
 LAGS = (0, 7, 14, 21)
-TABLES, KEY_BITS = 12, 24
+TABLES, KEY_BITS = 14, 26
 MASKS = tuple(sum(1 << int(b) for b in np.random.default_rng([1, i]).choice(FILTERS * len(LAGS), KEY_BITS, replace=False)) for i in range(TABLES))
-FIRST_PROBES, FIRST_ERRORS = (-40, -20, 41, 61), 0.42
+FIRST_PROBES, FIRST_ERRORS, FIRST_SLACK = (-36, -18, 37, 55), 0.36, 2  # of four codes
 PROBES, PROBE_ERRORS = range(-64, 64, 8), 0.3
 PAD = 64  # silent codes between recordings, so that lags and probes do not leave theirs
 BLOCK = 1 << 21  # codes of a block, whose sorted keys each task holds
-PIECE = 1 << 20  # rows of hits or codes compared at a time
+PIECE = 1 << 18  # rows of hits or codes compared at a time
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -145,6 +146,11 @@ class Laid:
         sign = (self.codes >> np.uint32(1)) & np.uint32(0x55555555)  # the upper Gray bit is the filter's sign
         for shift, kept in ((1, 0x33333333), (2, 0x0F0F0F0F), (4, 0x00FF00FF), (8, 0x0000FFFF)):
             sign = (sign | (sign >> np.uint32(shift))) & np.uint32(kept)
+        self.signs = np.zeros(n, np.uint64)  # of codes FIRST_PROBES away, 15 bits each, and above them which have sound: all read at once
+        for k, lag in enumerate(FIRST_PROBES):
+            low, high = max(0, -lag), min(n, n - lag)
+            there = (sign[low + lag : high + lag] & np.uint32(0x7FFF)).astype(np.uint64) << np.uint64(15 * k)
+            self.signs[low:high] |= there | self.heard[low + lag : high + lag].astype(np.uint64) << np.uint64(60 + k)
         reach = n - LAGS[-1]
         self.at = np.flatnonzero(np.logical_and.reduce([self.heard[lag : lag + reach] for lag in LAGS]))
         self.words = np.zeros(len(self.at), np.uint64)
@@ -175,14 +181,24 @@ def pieces(count: np.ndarray) -> Iterator[slice]:
         s = e
 
 
-def probed(mine: Laid, block: Laid, x: np.ndarray, y: np.ndarray, lags, errors: float) -> np.ndarray:
-    """Whether the codes ``lags`` away from places x and y differ in at most ``errors`` of their bits."""
+#: For each set of probes that have sound on both sides: their bits, and how many of these may differ.
+_BITS = np.array([sum(0x7FFF << 15 * k for k in range(4) if h >> k & 1) for h in range(16)], np.uint64)
+_MOST = np.array([FIRST_ERRORS * 15 * h.bit_count() + FIRST_SLACK for h in range(16)])
+
+
+def probed(mine: Laid, block: Laid, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the places x and y whose codes differ little enough, by sign, FIRST_PROBES away, and by all bits PROBES away."""
+    a, b = mine.signs[x], block.signs[y]
+    sound = ((a & b) >> np.uint64(60)).astype(np.int64)
+    good = np.flatnonzero(np.bitwise_count((a ^ b) & _BITS[sound]) <= _MOST[sound])
+    x, y = x[good], y[good]
     wrong, bits = np.zeros(len(x), np.int32), np.zeros(len(x), np.int32)
-    for lag in lags:
+    for lag in PROBES:
         both = mine.heard[x + lag] & block.heard[y + lag]
         wrong += np.where(both, np.bitwise_count(mine.codes[x + lag] ^ block.codes[y + lag]), 0)
         bits += both
-    return wrong <= errors * 2 * FILTERS * bits
+    good = wrong <= PROBE_ERRORS * 2 * FILTERS * bits
+    return x[good], y[good]
 
 
 def candidates(mine: Laid, block: Laid, tables: list[tuple[np.ndarray, np.ndarray]], same: bool) -> np.ndarray:
@@ -195,19 +211,19 @@ def candidates(mine: Laid, block: Laid, tables: list[tuple[np.ndarray, np.ndarra
     own_shift, block_shift = (shift - np.uint64(len(z.codes).bit_length()) for z in (mine, block))  # hashes are compared by as many bits as both have
     for (keys, places), (wanted, own_places) in zip(tables, mine.tables(), strict=True):
         keys, wanted = keys >> block_shift, wanted >> own_shift
+        if not len(keys):
+            continue
         low = np.searchsorted(keys, wanted, "left")
+        hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == wanted)
+        own_places, low, wanted = own_places[hit], low[hit], wanted[hit]
         count = np.searchsorted(keys, wanted, "right") - low
-        hit = count > 0
-        own_places, low, count = own_places[hit], low[hit], count[hit]
         for run in pieces(count):
             own, element = ragged(low[run], count[run])
             x, y = own_places[run][own], places[element]
-            i, j = mine.owner[x], block.owner[y]
-            other = mine.ids[i] > block.ids[j] if same else mine.ids[i] != block.ids[j]
-            x, y = x[other], y[other]
-            for lags, errors in ((FIRST_PROBES, FIRST_ERRORS), (PROBES, PROBE_ERRORS)):
-                good = probed(mine, block, x, y, lags, errors)
-                x, y = x[good], y[good]
+            if same:
+                other = mine.ids[mine.owner[x]] > block.ids[block.owner[y]]
+                x, y = x[other], y[other]
+            x, y = probed(mine, block, x, y)
             i, j = mine.owner[x], block.owner[y]
             out.append(np.unique((i.astype(np.int64) * len(block.ids) + j) * span + (x - mine.start[i]) - (y - block.start[j]) + reach))
     found = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
@@ -238,6 +254,18 @@ def alignments(mine: Laid, block: Laid, found: np.ndarray, errors: float, overla
 LINKED = "id long, n_links long, other long, offset int, bit_errors int, bits int"
 
 
+_block: list = []  # the last block of this worker: its name, recordings and sorted keys, for the next task on it
+
+
+def laid_block(name: str, held: pa.Table) -> tuple[Laid, list[tuple[np.ndarray, np.ndarray]]]:
+    if not _block or _block[0] != name:
+        _block.clear()
+        whole = held.combine_chunks()
+        block = Laid(*(whole.column(c).chunk(0) if c else whole.column(c).to_numpy() for c in range(3)))
+        _block.extend((name, block, list(block.tables())))
+    return _block[1], _block[2]
+
+
 class Best:
     """Links and best alignment (least rate of errors, then smallest other id) of each of n recordings."""
 
@@ -270,10 +298,11 @@ def aligned(prints: DataFrame, errors: float = ERRORS, overlap: int = OVERLAP, g
     names = [f.split()[0] for f in LINKED.split(", ")]
 
     def block_links(held: pa.Table, number: int) -> DataFrame:
+        name = f"{uuid.uuid4()} {number}"
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = held.combine_chunks()
-            block = Laid(*(whole.column(c).chunk(0) if c else whole.column(c).to_numpy() for c in range(3)))
-            tables, theirs = list(block.tables()), Best(block.ids)
+            block, tables = laid_block(name, held)
+            theirs = Best(block.ids)
             parent: dict[int, int] = {}
 
             def root(i: int) -> int:
