@@ -44,21 +44,24 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", by: str | None = None) -> DataFrame:
     """Exact nearest vectors of each query, (query_id, doc_id, score, rank).
 
     Queries are packed into blocks of about QUERY_BLOCK and vectors, in one scan, into pieces of PIECE_BYTES; each piece meets each block.
     Blocks are broadcast if all queries take up to BROADCAST_BYTES; else pieces and blocks are dealt by block and slice.
     A task passes on at most k rows for each query and piece of work, so nothing grows with vectors x queries, and only
-    the queries' number and size reach the driver."""
+    the queries' number and size reach the driver. With ``by``, an integer column of both, a query meets only
+    vectors of its own value (a query may stand there with several)."""
     spark = vectors.sparkSession
-    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
-    count, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    cell = F.col(by).cast("int") if by else F.lit(0)
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), cell.alias("cell"))
+    sizes = asked.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("numbers"))
+    most, numbers = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("numbers"), F.lit(0))).first()
+    blocks = max(1, -(-most // QUERY_BLOCK))
+    block = (F.col("cell") * blocks + F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).alias("block")
     packed = asked.groupBy(block).agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
-    pieces = vectors.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_packed, "ids array<bigint>, numbers array<double>")
-    dealt = pieces.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pieces = vectors.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>"), cell.alias("cell")).mapInArrow(_packed, "cell int, ids array<bigint>, numbers array<double>")
+    dealt = pieces.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda n: F.col("cell") * blocks + n)))
     if 8 * numbers <= BROADCAST_BYTES:
         met = dealt.join(F.broadcast(packed), "block")
     else:
@@ -106,16 +109,16 @@ def scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors of a batch end to end, in pieces of about PIECE_BYTES; nulls are left out."""
-    for batch in batches:
-        batch = batch.filter(batch.column(1).is_valid())
-        if not batch.num_rows:
-            continue
-        flat = batch.column(1).flatten()
-        step = max(1, PIECE_BYTES * batch.num_rows // max(1, 8 * len(flat)))
-        cut = np.append(np.arange(0, batch.num_rows, step), batch.num_rows)
-        lists = [pa.ListArray.from_arrays(pa.array(cut * (len(x) // batch.num_rows), pa.int32()), x) for x in (batch.column(0), flat)]
-        yield pa.RecordBatch.from_arrays(lists, ["ids", "numbers"])
+    """Vectors of a batch and cell end to end, in pieces of about PIECE_BYTES; nulls are left out."""
+    for whole in batches:
+        whole = whole.filter(whole.column(1).is_valid())
+        for cell in np.unique(whole.column(2).to_numpy()).tolist():
+            batch = whole.filter(pa.array(whole.column(2).to_numpy() == cell))
+            flat = batch.column(1).flatten()
+            step = max(1, PIECE_BYTES * batch.num_rows // max(1, 8 * len(flat)))
+            cut = np.append(np.arange(0, batch.num_rows, step), batch.num_rows)
+            lists = [pa.ListArray.from_arrays(pa.array(cut * (len(x) // batch.num_rows), pa.int32()), x) for x in (batch.column(0), flat)]
+            yield pa.RecordBatch.from_arrays([pa.array([cell] * len(lists[0]), pa.int32()), *lists], ["cell", "ids", "numbers"])
 
 
 class Bm25:

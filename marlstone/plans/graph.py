@@ -13,9 +13,11 @@ from pyspark.sql.functions import pandas_udf
 import pandas as pd
 
 from marlstone.functions.text import prompt, stripped
+from marlstone.plans.prompts import filled
 from marlstone.plans.providers import ExtractiveModel, NoWeb, OverlapJudge, web_text
 
 MAX_ITERATIONS, MAX_AGENTIC, MAX_SOURCES = 1, 2, 3
+CONTEXT_CAP, ANSWER_CAP = 2000, 1000
 NO_CONTEXT = "I could not find relevant information in the documents."
 
 
@@ -63,25 +65,90 @@ def graded(rows: DataFrame, judge=None) -> DataFrame:
     return rows.withColumn("grade", score).where(F.col("grade").isNull() | (F.col("grade") == "yes"))
 
 
+def need_more(judge) -> "callable":
+    """A column (need_more, reason) of question, context and answer, which are cut to CONTEXT_CAP and ANSWER_CAP characters; a failure means no."""
+
+    @pandas_udf("need_more boolean, reason string")
+    def decide(q: pd.Series, c: pd.Series, a: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in zip(q, c, a, strict=True):
+            try:
+                need, reason = judge.need_more(*(x or "" for x in row))
+                out.append((bool(need), reason))
+            except Exception as error:  # whatever a provider raises
+                out.append((False, str(error)))
+        return pd.DataFrame(out, columns=["need_more", "reason"])
+
+    text = lambda c, n, default: F.when(blank(c), default).otherwise(F.substring(c, 1, n))
+    return lambda question, context, answer: decide(question, text(context, CONTEXT_CAP, "No context available"), text(answer, ANSWER_CAP, "No answer generated yet"))
+
+
+def web_query(question: Column, model=None) -> Column:
+    """The question as a query for a web search; as it is without a model, or where that fails."""
+    if model is None:
+        return question
+
+    @pandas_udf("string")
+    def rewritten(q: pd.Series) -> pd.Series:
+        try:
+            return pd.Series([(x or "").strip().strip("\"'") for x in model.generate([filled("agent.web_query", question=t) for t in q])])
+        except Exception:  # whatever a provider raises
+            return pd.Series([""] * len(q))
+
+    made = rewritten(question)
+    return F.when(F.length(made) > 0, made).otherwise(question)
+
+
+def web_fetch(web) -> "callable":
+    """A column of what a search found, as one text; null if it failed or the query is blank."""
+
+    @pandas_udf("string")
+    def fetched(q: pd.Series) -> pd.Series:
+        out = []
+        for x in q:
+            try:
+                out.append(web_text(web.search(x)) if (x or "").strip() else None)
+            except Exception:  # whatever a provider raises
+                out.append(None)
+        return pd.Series(out, dtype="object")
+
+    return fetched
+
+
+def route_and_fetch(rows: DataFrame, judge=None, web=None, model=None) -> DataFrame:
+    """``rows`` (question, context, answer, sources_tried) with need_more, source, reason, data and success. The source is
+    the one that ``select_source`` names; ``data`` is what it gives."""
+    rows = rows.withColumn("_need", need_more(judge or OverlapJudge())(F.col("question"), F.col("context"), F.col("answer")))
+    rows = rows.withColumn("need_more", F.col("_need.need_more")).withColumn("_selected", select_source(F.col("sources_tried")))
+    rows = rows.withColumn("data", F.when(F.col("need_more"), web_fetch(web or NoWeb())(web_query(F.col("question"), model))))
+    reason = F.when(F.col("need_more"), F.col("_selected.reason")).otherwise(F.col("_need.reason"))
+    rows = rows.withColumn("source", F.when(F.col("need_more"), F.col("_selected.source"))).withColumn("reason", reason)
+    return rows.withColumn("success", ~F.col("need_more") | F.col("data").isNotNull()).drop("_need", "_selected")
+
+
 def answer(questions: DataFrame, retrieve, model=None, judge=None, web=None, rewrite=None, agentic: bool = False, rounds: int = MAX_ITERATIONS + 1) -> DataFrame:
-    """(query_id, question, answer, documents, iterations, sources_tried, decision) for questions (query_id, question,
-    question_type). ``retrieve`` maps (query_id, text) to ranked (query_id, rank, doc_id, text, score)."""
+    """(query_id, question, answer, documents, iterations, sources_tried, agentic_iterations, decision) for questions (query_id, question,
+    question_type). ``retrieve`` maps (query_id, text) to ranked (query_id, rank, doc_id, text, score).
+
+    A question without documents is rewritten as long as rounds are left. With ``agentic``, an answer whose context does not do is made
+    anew once another source has been asked; a question keeps what it has tried through rewrites."""
     model, judge, web = model or ExtractiveModel(), judge or OverlapJudge(), web or NoWeb()
 
     @pandas_udf("string")
     def generated(p: pd.Series) -> pd.Series:
         return pd.Series(model.generate(p.tolist()))
 
-    @pandas_udf("string")
-    def fetched(q: pd.Series) -> pd.Series:
-        return pd.Series([web_text(web.search(x)) for x in q])
-
     @pandas_udf("string")
     def shared(wanted: pd.Series, given: pd.Series) -> pd.Series:
         return pd.Series([judge.verdict(a, b) for a, b in zip(wanted, given, strict=True)])
 
     none = F.array().cast("array<string>")
-    open_rows = questions.select("query_id", "question", F.col("question").alias("asked"), F.coalesce("question_type", F.lit("factual")).alias("question_type"), F.lit(0).alias("iterations"))
+    kept_columns = ["query_id", "question", "question_type", "iterations", "sources_tried", "agentic_iterations"]
+    open_rows = questions.select(
+        "query_id", "question", F.col("question").alias("asked"), F.coalesce("question_type", F.lit("factual")).alias("question_type"), F.lit(0).alias("iterations"),
+        F.array(F.lit("vector_db")).alias("sources_tried"), F.lit(0).alias("agentic_iterations"),
+    )
+    written = lambda: F.when(F.size("texts") == 0, F.lit(NO_CONTEXT)).otherwise(generated(prompt(F.col("question"), F.col("texts"), F.col("question_type"))))
     done = None
     for turn in range(rounds):
         hits = retrieve(open_rows.select("query_id", F.col("asked").alias("text")))
@@ -89,22 +156,30 @@ def answer(questions: DataFrame, retrieve, model=None, judge=None, web=None, rew
         listed = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("d"))
         rows = open_rows.join(listed.select("query_id", F.col("d.text").alias("texts"), F.col("d.doc_id").alias("documents")), "query_id", "left")
         rows = rows.withColumns({"texts": F.coalesce("texts", none), "documents": F.coalesce("documents", F.array().cast("array<bigint>"))})
-        rows = rows.withColumn("answer", F.when(F.size("texts") == 0, F.lit(NO_CONTEXT)).otherwise(generated(prompt(F.col("question"), F.col("texts"), F.col("question_type")))))
-        tried = F.array(F.lit("vector_db"))
-        if agentic:  # one fetch: a second source ends the search
-            need = (F.size("texts") > 0) & (F.get_json_object(shared("question", F.array_join("texts", " ")), "$.score") == "no")
-            rows = rows.withColumn("_need", need).withColumn("texts", F.when(F.col("_need"), F.concat("texts", F.array(fetched("question")))).otherwise(F.col("texts")))
-            rows = rows.withColumn("answer", F.when(F.col("_need"), generated(prompt(F.col("question"), F.col("texts"), F.col("question_type")))).otherwise(F.col("answer")))
-            tried = F.when(F.col("_need"), F.array(F.lit("vector_db"), F.lit("internet"))).otherwise(tried)
-        rows = rows.withColumn("sources_tried", tried).drop("_need")
+        last = turn == rounds - 1
+        empty = (F.size("texts") == 0) & (not last)
+        rows = rows.withColumn("_route", after_grading(F.size("texts"), F.col("iterations"), rounds - 1)).withColumn("answer", written())
+        if agentic:
+            judged = (F.col("_route") == "generate") & (after_generation(F.col("answer"), F.lit(True), F.size("sources_tried")) == "evaluate_context")
+            decided = need_more(judge)(F.col("question"), F.array_join("texts", "\n\n"), F.col("answer"))["need_more"]
+            rows = rows.withColumn("_more", judged & (after_evaluation(F.lit(True), F.when(judged, decided), F.col("agentic_iterations"), F.size("sources_tried")) == "route_source"))
+            rows = rows.withColumn("_found", F.when(F.col("_more"), web_fetch(web)(F.col("question"))))
+            source = select_source(F.col("sources_tried"))["source"]
+            rows = rows.withColumns({
+                "texts": F.when(F.col("_found").isNotNull(), F.concat("texts", F.array("_found"))).otherwise(F.col("texts")),
+                "sources_tried": F.when(F.col("_more"), F.array_union("sources_tried", F.array(source))).otherwise(F.col("sources_tried")),
+                "agentic_iterations": F.col("agentic_iterations") + F.col("_found").isNotNull().cast("int"),
+            })
+            rows = rows.withColumn("answer", F.when(F.col("_more"), written()).otherwise(F.col("answer"))).drop("_more", "_found")
         grounded = F.get_json_object(shared("answer", F.array_join("texts", " ")), "$.score")
         fits = F.get_json_object(shared("question", "answer"), "$.score")
-        rows = rows.withColumn("decision", audit(F.col("answer"), F.size("texts"), F.col("iterations"), grounded, fits))
-        last = turn == rounds - 1
+        decision = F.when(empty & (F.col("_route") == "rewrite_query"), "rewrite").otherwise(audit(F.col("answer"), F.size("texts"), F.col("iterations"), grounded, fits, rounds - 1))
+        rows = rows.withColumn("decision", decision)
         ended = rows if last else rows.where("decision = 'end'")
-        out = ended.select("query_id", "question", "answer", "documents", "iterations", "sources_tried", F.lit("end").alias("decision"))
+        out = ended.select("query_id", "question", "answer", "documents", "iterations", "sources_tried", "agentic_iterations", F.lit("end").alias("decision"))
         done = out if done is None else done.unionByName(out)
         if not last:
             asked = rewrite(F.col("asked")) if rewrite else F.col("asked")
-            open_rows = rows.where("decision = 'rewrite'").select("query_id", "question", asked.alias("asked"), "question_type", (F.col("iterations") + 1).alias("iterations"))
+            again = rows.where("decision = 'rewrite'").withColumn("asked", asked).withColumn("iterations", F.col("iterations") + 1)
+            open_rows = again.select(*kept_columns, "asked")
     return done

@@ -84,6 +84,11 @@ class OverlapJudge:
     def verdict(self, wanted: str, given: str, least: float = 0.2) -> str:
         return json.dumps({"score": "yes" if self.share(wanted, given) >= least else "no"})
 
+    def need_more(self, question: str, context: str, answer: str) -> tuple[bool, str]:
+        """G9 offline: more is needed if the context has few of the question's words."""
+        need = self.share(question, context) < 0.2
+        return need, "the context has few of the question's words" if need else "the context has the question's words"
+
     def score(self, criterion: str, question: str, context: str, answer: str, ground_truth: str) -> float:
         """E18, E19 offline: words of the answer in the context, of the question in the answer, of the ground truth
         (else of the question) in the answer, and of the question missing from the context."""

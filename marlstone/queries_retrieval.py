@@ -11,6 +11,7 @@ from marlstone.plans import graph
 from marlstone.plans.providers import LexicalReranker
 from marlstone.queries_text import TOKENS, query, sql_any, table
 from marlstone.functions import text as T
+from marlstone.sources import store
 
 # documents and embeddings share no key; vec_id = doc_id is a convention of these queries, to have a joint corpus
 
@@ -60,6 +61,15 @@ def dense_euclidean(spark, d):
     return retrieval.dense_topk(vectors_asked(spark, d), vectors(spark, d), 10, "euclidean")
 
 
+@query()
+def approximate_neighbours(spark, d):
+    """K5: hits of the approximate index for every id divisible by 20, and whether exact search has them as well."""
+    asked, rows = vectors_asked(spark, d), vectors(spark, d)
+    exact = retrieval.dense_topk(asked, rows, 10).select("query_id", "doc_id", F.lit(True).alias("exact"))
+    found = store.CellIndex(rows).search(asked, 10)
+    return found.join(exact, ["query_id", "doc_id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+
+
 def bm25_ctes(queries: str) -> str:
     """CTEs up to ``scores``, for a relation of (query_id, text)."""
     return f"""t AS (SELECT doc_id, {TOKENS.format('text')} AS ts FROM documents),
@@ -410,6 +420,13 @@ def graph_routes(spark, d):
     return rows.withColumn("next", graph.after_audit(c("audit")))
 
 
+@query()
+def fetch_records(spark, d):
+    """For each user turn, whether the turn before it suffices, and what another source gives if not."""
+    rows = answers(spark, d).select("conv_id", "turn", F.col("reference").alias("question"), F.col("answer").alias("context"), F.lit("").alias("answer"), F.array(F.lit("vector_db")).alias("sources_tried"))
+    return graph.route_and_fetch(rows).select("conv_id", "turn", "need_more", "source", "reason", F.md5(F.col("data").cast("binary")).alias("digest"), "success")
+
+
 @query()
 def answered_questions(spark, d):
     """All benchmark items answered over documents by the offline providers."""

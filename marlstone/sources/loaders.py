@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import clean_text, is_image_only, language_hint
 from marlstone.sources.html import extract_main
+from marlstone.sources.images import html_tables
+from marlstone.sources.pdf import page_texts
 
 # --- Fixed values: loaders by suffix ---
 SUFFIXES = {
@@ -102,8 +104,10 @@ def _slides(path: str, blob: bytes) -> Iterator[tuple]:
 
 def _pdf(path: str, blob: bytes) -> Iterator[tuple]:
     try:
-        import fitz  # optional
+        import fitz  # optional: images, and fonts that the plain reader cannot map
     except ImportError:
+        texts = page_texts(blob)
+        yield from ((path, k, len(texts), text, "pdf", None, None) for k, text in enumerate(texts, 1))
         return
     doc = fitz.open(stream=blob, filetype="pdf")
     if doc.is_encrypted and not doc.authenticate(""):
@@ -127,7 +131,7 @@ def office_documents(df: DataFrame) -> DataFrame:
                 reader = kinds.get(("." + path.rpartition(".")[2]).lower())
                 try:
                     rows = list(reader(path, bytes(blob))) if reader else []
-                except (zipfile.BadZipFile, KeyError, ET.ParseError, AttributeError):
+                except (zipfile.BadZipFile, KeyError, ET.ParseError, AttributeError, ValueError):
                     rows = []
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
 
@@ -166,3 +170,14 @@ def table_text(rows: Column, page: Column, number: Column) -> Column:
     cells = F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))))
     lines = F.transform(F.filter(cells, lambda r: F.exists(r, lambda c: c != "")), lambda r: F.array_join(r, " | "))
     return F.concat(F.lit("[TABLE: page "), page.cast("string"), F.lit(", table "), number.cast("string"), F.lit("]\n"), F.array_join(lines, "\n"))
+
+
+def page_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """S9 for (key, html): (key, number, rows, text) of every table on a page."""
+
+    @F.pandas_udf("array<array<array<string>>>")
+    def found(html: pd.Series) -> pd.Series:
+        return html.map(html_tables)
+
+    rows = pages.select(key, F.posexplode(found("html")).alias("at", "rows"))
+    return rows.select(key, (F.col("at") + 1).alias("number"), "rows", table_text(F.col("rows"), F.col(key), F.col("at") + 1).alias("text"))

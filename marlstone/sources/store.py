@@ -6,13 +6,14 @@ the folder's file system through Spark, so any store that Spark reads will do.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import clean_file_name
 from marlstone.operators.retrieval import dense_topk
 
-ANN_FROM = 100  # rows from which an approximate index is worth having
 LIMIT_SECONDS, GRACE_SECONDS, RETENTION_SECONDS = 600, 60, 86_400
 # --- Fixed values: upload limits and signals ---
 ALLOWED_TYPES = ["text/plain", "application/pdf"]
@@ -53,6 +54,21 @@ def page(rows: DataFrame, number: int, size: int = 50, by: str = "chunk_id") ->
     return rows.orderBy(by).offset((number - 1) * size).limit(size)
 
 
+def asset(assets: DataFrame, project: int, name: str) -> DataFrame:
+    """The asset of a project by name; the first by id if there are several."""
+    return assets.where((F.col("asset_project_id") == project) & (F.col("asset_name") == name)).orderBy("asset_id").limit(1)
+
+
+def project_assets(assets: DataFrame, project: int, kind: str) -> DataFrame:
+    """A project's assets of one type."""
+    return assets.where((F.col("asset_project_id") == project) & (F.col("asset_type") == kind))
+
+
+def project_page(projects: DataFrame, number: int = 1, size: int = 10) -> tuple[DataFrame, int]:
+    """One page of projects, and how many pages there are."""
+    return page(projects, number, size, "project_id"), -(-projects.count() // size)
+
+
 def checked(rows: DataFrame, size: int) -> DataFrame:
     """K4: rows whose vector has ``size`` numbers; any other fails the job."""
     ok = F.assert_true(F.size("vector") == size, F.lit(f"a vector must have {size} numbers"))
@@ -120,22 +136,68 @@ class Collections:
         return hits.join(rows.select(F.col("id").alias("doc_id"), "text", "chunk_id"), "doc_id")
 
 
-def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, width: float = 0.5, seed: int = 7) -> DataFrame:
-    """K5: approximate neighbours by random-projection hashing, exact scores on candidates; exact search under ANN_FROM rows."""
-    if vectors.limit(ANN_FROM).count() < ANN_FROM:
-        return dense_topk(queries, vectors, k)
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+#: K7: vector stores by name; the first two are this package's collections.
+STORES = {"PGVECTOR": True, "QDRANT": True, "PINECONE": False, "WEAVIATE": False, "MILVUS": False}
+METRICS = {"cosine": "cosine", "dot": "dot", "euclidean": "euclidean", "euclid": "euclidean", "l2": "euclidean"}
+
+
+def vector_store(kind: str, spark: SparkSession, root: str, metric: str = "cosine") -> Collections:
+    """K6, K7: the store of this name. All that are built share one interface and backend; the metric is a parameter."""
+    if kind.upper() not in STORES:
+        raise ValueError(f"no vector store is called {kind}")
+    if not STORES[kind.upper()]:
+        raise NotImplementedError(kind)
+    return Collections(spark, root, METRICS[metric.lower()])
 
-    from marlstone.operators.retrieval import DIGITS, similarity, top
 
-    v = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    q = queries.select("query_id", F.col("embedding").alias("q_embedding"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(v)
-    keyed = lambda df: model.transform(df).select("*", F.posexplode("hashes").alias("t", "h")).withColumn("h", F.col("h").cast("string")).drop("hashes", "features")
-    pairs = keyed(q).join(keyed(v), ["t", "h"]).dropDuplicates(["query_id", "doc_id"])
-    scored = pairs.withColumn("score", F.round(similarity(F.col("q_embedding"), F.col("embedding")), DIGITS))
-    return top(scored.select("query_id", "doc_id", "score"), k, [F.desc("score"), F.asc("doc_id")])
+class CellIndex:
+    """K5: an approximate index. Centres are fitted on a hashed sample of up to ``sample`` unit vectors (k-means on the driver), every
+    vector is indexed under its nearest centre, and a query asks its ``probes`` nearest cells; candidates are scored
+    exactly. Whether to use it or exact search is the caller's choice; ``recall`` tells what it finds."""
+
+    def __init__(self, vectors: DataFrame, cells: int = 16, probes: int = 11, sample: int = 20_000, rounds: int = 10, seed: int = 7) -> None:
+        held = vectors.where("embedding is not null").select("doc_id", "embedding").orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(sample)
+        points = unit(np.array([r["embedding"] for r in held.select("embedding").collect()], float))  # ``sample`` rows at most
+        self.probes, self.centres = probes, centres(points, min(cells, max(1, len(points))), rounds, seed)
+        self.index = self._cells(vectors, "doc_id", 1)
+
+    def _cells(self, rows: DataFrame, key: str, n: int) -> DataFrame:
+        """(key, embedding, cell) for the ``n`` nearest cells of each row."""
+        c = self.centres
+
+        @F.pandas_udf("array<int>")
+        def nearest(vs: pd.Series) -> pd.Series:
+            near = np.argsort(-(unit(np.stack(vs.tolist()).astype(float)) @ c.T), axis=1, kind="stable")[:, :n]
+            return pd.Series(list(near.astype(np.int32)))
+
+        out = rows.where("embedding is not null").select(key, "embedding", nearest("embedding").alias("near"))
+        return out.select(key, "embedding", F.explode("near").alias("cell"))
+
+    def search(self, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
+        asked = self._cells(queries, "query_id", self.probes)
+        return dense_topk(asked, self.index, k, metric, by="cell")
+
+    @staticmethod
+    def recall(found: DataFrame, exact: DataFrame) -> float:
+        """The share of exact neighbours (query_id, doc_id) that were found."""
+        hits = exact.select("query_id", "doc_id").join(found.select("query_id", "doc_id").withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+        return hits.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0]
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True)) if v.size else np.zeros((len(v), 1))
+    return v / np.where(norm > 0, norm, 1)
+
+
+def centres(points: np.ndarray, n: int, rounds: int, seed: int) -> np.ndarray:
+    """Lloyd's algorithm on unit vectors."""
+    if not len(points):
+        return np.zeros((1, 1))
+    c = points[np.random.default_rng(seed).choice(len(points), n, replace=False)]
+    for _ in range(rounds):
+        own = (points @ c.T).argmax(axis=1)
+        c = unit(np.stack([points[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(n)]))
+    return c
 
 
 def upload_signal(content_type: Column, size: Column, most_mb: int = 10, allowed: list[str] | None = None) -> Column:
