@@ -4,9 +4,9 @@ Method. Eight heuristic labellers look at each whole text and vote good (2), bad
 (1) or abstain (0). Their joint votes are counted over all documents (at most 3**8
 patterns) and expectation-maximisation on these counts estimates each labeller's
 accuracy by class and the share of good texts, which gives every pattern a
-posterior. Posteriors are the soft labels of a hashed linear scorer: words, word
-pairs and word shapes fall into BUCKETS buckets, whose weights are the smoothed
-log-odds of posterior-weighted counts over *all* documents. A text's score is the
+posterior. Posteriors are the soft labels that train a hashed linear scorer: words, word
+pairs and word shapes fall into BUCKETS buckets, whose weights are, in closed form and one pass (no loss is
+minimised step by step), the smoothed log-odds of posterior-weighted counts over *all* documents. A text's score is the
 mean weight of its features; the cut is the score (in CELLS cells) that agrees best
 with the posteriors, again counted over all documents.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import mix, prefix_hash, shingles, row_key, slices, span_hash, stored, table, words, workers_find_package
+from marlstone.llm.common import joined, mix, prefix_hash, shingles, row_key, slices, span_hash, stored, table, words, workers_find_package
 
 BUCKETS, CELLS = 1 << 16, 2000
 LABELLERS = ["symbols", "capitals", "echoes", "repeats", "variety", "bars", "word_length", "length"]
@@ -230,9 +230,10 @@ def classified(docs: DataFrame, n: int = BUCKETS) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents that the classifier keeps. Each row is judged by its own text, also where ids are null or shared."""
-    keyed = docs.withColumn("_row", row_key())
-    good = classified(keyed.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(good, "_row", "left_semi").select(*docs.columns)
+    row = "_classifier_row"
+    keyed = docs.withColumn(row, row_key())
+    bad = classified(keyed.select(F.col(row).alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias(row)).distinct()
+    return joined(keyed, bad, row, "left_anti").select(*docs.columns)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,16 +56,17 @@ def shared_folder(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends at
     durable files, so a lost executor costs a re-read and no recomputation, and
-    the shuffles that led there are deleted as soon as it is written."""
+    the shuffles that led there are deleted as soon as it is written. The default codec suits
+    hashes and other numbers, which do not compress, and needs little memory outside the heap."""
     spark = df.sparkSession
     path = shared_folder(spark)
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -172,6 +173,15 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray
     return out, first
 
 
+BROADCAST_ROWS = 1_000_000  # more rows than this are joined by a shuffle
+
+
+def joined(rows: DataFrame, few: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` joined with a narrow table, which is sent to all tasks if it has up to BROADCAST_ROWS rows, so that texts need not move."""
+    small = few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(few) if small else few, key, how)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """A row's own id: equal for rows of one id and text only, and there when the id is null."""
     return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))

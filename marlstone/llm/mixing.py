@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import row_key, stored, table
+from marlstone.llm.common import joined, row_key, stored, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, LIMIT = 1.5, 2.0
@@ -151,8 +151,8 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **o
     slices of shards in their hashed order, as many as the session's partitions make of it."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key().alias("row"))
     mixed = mix(docs.select("doc_id", "source", "text"), shards=shards, seed=seed, **options).where("copies > 0")
-    decided = mixed.groupBy("row").agg(F.max(F.struct("copies", "shards"))["shards"].alias("shards"))
-    copies = whole.join(decided, "row").select("doc", "row", F.posexplode("shards").alias("copy", "shard"))
+    decided = stored(mixed.groupBy("row").agg(F.max(F.struct("copies", "shards"))["shards"].alias("shards")))
+    copies = joined(whole, decided, "row", "inner").select("doc", "row", F.posexplode("shards").alias("copy", "shard"))
     copies = copies.withColumn("place", F.xxhash64(F.lit(seed + 3), "shard", "row", "copy"))
     dealt = copies.repartition("shard", F.expr(f"(place div 2 + 4611686018427387904) div {(1 << 63) // SLICES}"))
     return dealt.sortWithinPartitions("shard", "place").select("doc.*")
