@@ -266,33 +266,36 @@ def hybrid_chunks(raw: DataFrame, size: int = HYBRID["size"], overlap: int = HYB
 
 
 def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """C14: split at the coarsest separator present, recursing into long parts, then merge with overlap."""
-    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    """C14: split before each occurrence of the coarsest separator present (which stays with the part that it begins), split
+    parts of ``size`` or more by the finer ones, and gather the shorter ones with overlap."""
+    at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
     sep, finer = separators[at], separators[at + 1 :]
-    parts = list(text) if sep == "" else [p for p in text.split(sep) if p]
+    first, *rest = text.split(sep) if sep else list(text) or [""]
     out: list[str] = []
     held: list[str] = []
+    for part in filter(None, [first, *(sep + p for p in rest)]):
+        if len(part) < size:
+            held.append(part)
+            continue
+        out += gathered(held, size, overlap)
+        held = []
+        out += recursive_split(part, size, overlap, finer) if finer else [part]
+    return out + gathered(held, size, overlap)
 
-    def join() -> None:
-        window: list[str] = []
-        for p in held:
-            if window and len(sep.join([*window, p])) > size:
-                out.append(sep.join(window).strip())
-                while window and (len(sep.join(window)) > overlap or len(sep.join([*window, p])) > size):
-                    window.pop(0)
-            window.append(p)
-        if window:
-            out.append(sep.join(window).strip())
-        held.clear()
-
-    for p in parts:
-        if len(p) <= size:
-            held.append(p)
-        else:
-            join()
-            out += recursive_split(p, size, overlap, finer) if finer else [p]
-    join()
-    return [x for x in out if x]
+
+def gathered(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Runs of parts of up to ``size`` characters; a run begins with the last parts of the one before, up to ``overlap``."""
+    out: list[str] = []
+    low, length = 0, 0  # the run is parts[low:high]
+    for high, part in enumerate(parts):
+        if length + len(part) > size and low < high:
+            out.append("".join(parts[low:high]))
+            while low < high and (length > overlap or length + len(part) > size):
+                length -= len(parts[low])
+                low += 1
+        length += len(part)
+    out.append("".join(parts[low:]))
+    return [x for x in map(str.strip, out) if x]
 
 
 def fallback_udf(size: int, overlap: int):

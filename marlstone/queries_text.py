@@ -227,9 +227,16 @@ def hybrid_chunks(spark, d):
     return rows.select("source_path", "page", "seq", "chunk_index", "chunk_hash", "chunk_size", "chunk_context", "is_hybrid", "has_images", "image_count", "is_image_only", F.transform("referenced_images", lambda i: i["image_index"]).alias("images"))
 
 
-@query()
+TAGS = r"regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '(?s)<(script|style|nav|footer|header|aside|form|iframe)\b.*?</(script|style|nav|footer|header|aside|form|iframe)>', '', 'g'), '(<[^>]*>)+', chr(10), 'g')"
+PLAIN = f"replace(replace(replace(replace(replace(replace(replace({TAGS}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS source, {PLAIN} AS text FROM pages WHERE regexp_matches(url, '^https?://')),
+c AS (SELECT page_id, url, source, {CLEAN} AS text FROM p),
+l AS (SELECT *, {ARABIC.format('text')} AS a, {LATIN.format('text')} AS l FROM c)
+SELECT page_id, url, source, text, CASE WHEN a + l = 0 THEN 'unknown' WHEN a / (a + l) > 0.65 THEN 'arabic' WHEN a / (a + l) < 0.25 THEN 'english' ELSE 'mixed' END AS language FROM l WHERE text <> ''""")
 def page_texts(spark, d):
-    """Main text of HTML pages."""
+    """Main text of HTML pages; the SQL reads pages that have an article, and the character references these use."""
     return loaders.page_documents(table(spark, d, "pages"))
 
 
