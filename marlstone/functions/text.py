@@ -13,7 +13,7 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 ARABIC, LATIN = r"[؀-ۿ]", r"[A-Za-z]"
 ARABIC_ABOVE, ENGLISH_BELOW = 0.65, 0.25
 IMAGE_ONLY_BELOW = 20
-NOT_TOKEN = r"(?U)[^\w\s؀-ۿ]"
+TOKEN = r"(?U)[\w؀-ۿ]{2,}+"
 DOMAINS = {
     "IoT and Technology": ["iot", "internet of things", "sensor", "device"],
     "Legal": ["legal", "law", "contract", "agreement"],
@@ -133,8 +133,7 @@ def fitted(c: Column, limit: int = 20_000, prompt: bool = False) -> Column:
 
 def bm25_tokens(c: Column) -> Column:
     """Lower-case words of two characters or more; null has none."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), NOT_TOKEN, " "), r"(?U)\s+")
-    return F.filter(words, lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def simplified_query(c: Column) -> Column:

@@ -127,10 +127,13 @@ class Bm25:
 
     def __init__(self, docs: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON, folder: str | None = None) -> None:
         self.k1, self.b, self.epsilon = k1, b, epsilon
+        dealt = docs.select("doc_id", "text").repartition("doc_id")  # texts are smaller than their words
         self.tokens = docs.select("doc_id", bm25_tokens(F.col("text")).alias("ts"))
+        self.dealt = dealt.select("doc_id", bm25_tokens(F.col("text")).alias("ts"))
         if folder:
             self.tokens.write.mode("overwrite").parquet(f"{folder}/tokens")
             self.tokens = docs.sparkSession.read.parquet(f"{folder}/tokens")
+            self.dealt = self.tokens.repartition("doc_id")
         self.stats = self.tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
         self.terms = self.tokens.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         if folder:
@@ -151,7 +154,7 @@ class Bm25:
         words = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         few = words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
         weighted = words.join(self.idf(), "term").groupBy("term").agg(F.collect_list(F.struct("query_id", (F.col("qtf") * F.col("idf")).alias("weight"))).alias("by"))
-        lists = self.tokens.repartition("doc_id").select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+        lists = self.dealt.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
         sent = F.broadcast(weighted.select("term")) if few else weighted.select("term")
         held = lists.join(sent, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
         part = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
