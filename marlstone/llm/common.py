@@ -173,12 +173,12 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray
     return out, first
 
 
-BROADCAST_ROWS = 1_000_000  # more rows than this are joined by a shuffle
+BROADCAST_ROWS = 1_000_000  # more numbers than this are joined by a shuffle
 
 
-def joined(rows: DataFrame, few: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """``rows`` joined with a narrow table, which is sent to all tasks if it has up to BROADCAST_ROWS rows, so that texts need not move."""
-    small = few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def joined(rows: DataFrame, few: DataFrame, key: str, how: str = "left_semi", numbers: int = 1) -> DataFrame:
+    """``rows`` joined with a narrow table of ``numbers`` numbers a row, which is sent to all tasks if it has up to BROADCAST_ROWS of them, so that texts need not move."""
+    small = few.limit(BROADCAST_ROWS // numbers + 1).count() <= BROADCAST_ROWS // numbers
     return rows.join(F.broadcast(few) if small else few, key, how)
 
 

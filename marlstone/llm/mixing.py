@@ -152,7 +152,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **o
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key().alias("row"))
     mixed = mix(docs.select("doc_id", "source", "text"), shards=shards, seed=seed, **options).where("copies > 0")
     decided = stored(mixed.groupBy("row").agg(F.max(F.struct("copies", "shards"))["shards"].alias("shards")))
-    copies = joined(whole, decided, "row", "inner").select("doc", "row", F.posexplode("shards").alias("copy", "shard"))
+    copies = joined(whole, decided, "row", "inner", 4).select("doc", "row", F.posexplode("shards").alias("copy", "shard"))
     copies = copies.withColumn("place", F.xxhash64(F.lit(seed + 3), "shard", "row", "copy"))
     dealt = copies.repartition("shard", F.expr(f"(place div 2 + 4611686018427387904) div {(1 << 63) // SLICES}"))
     return dealt.sortWithinPartitions("shard", "place").select("doc.*")
