@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import mix, stored, table, workers_find_package
+from marlstone.llm.common import mix, release, stored, table, workers_find_package
 from marlstone.llm.graph import components
 
 RATE, FRAME, HOP = 4000, 512, 128
@@ -360,6 +360,7 @@ def recordings(rows: DataFrame, samples: Callable | None = None) -> DataFrame:
     firsts = stored(prints.join(same.select(F.col("exact_id").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "codes", "sound"))
     joins, best = aligned(firsts)
     classes = components(joins)
+    release(prints, firsts)
     best = best.withColumnRenamed("id", "exact_id")
     out = keyed.join(same, "same").join(classes.withColumnRenamed("id", "exact_id"), "exact_id", "left")
     out = out.join(best, "exact_id", "left")

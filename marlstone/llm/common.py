@@ -53,16 +53,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+FILES_A_CORE = 2
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy", few_files: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends at
     durable files, so a lost executor costs a re-read and no recomputation, and
     the shuffles that led there are deleted as soon as it is written. The default codec suits
-    hashes and other numbers, which do not compress, and needs little memory outside the heap."""
+    hashes and other numbers, which do not compress, and needs little memory outside the heap. With ``few_files``,
+    for narrow tables of many partitions, at most FILES_A_CORE files for each core of the cluster are written."""
     spark = df.sparkSession
     path = shared_folder(spark)
+    if few_files:
+        df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:

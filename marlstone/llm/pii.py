@@ -304,6 +304,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     rows = rows.withColumn("us", F.when(named, again).otherwise(F.col("us")))
     if few:
         listed = {f"{r['type']}:{r['canon']}": {"as_type": r["as_type"], "attempt": r["attempt"]} for r in moved.collect()}
+        release(all_units)
         known = F.from_json(F.lit(json.dumps(listed)), "map<string,struct<as_type:string,attempt:int>>")
         own = lambda u: known[F.concat(u["type"], F.lit(":"), u["canon"])] if listed else F.lit(None).cast("struct<as_type:string,attempt:int>")
     else:
