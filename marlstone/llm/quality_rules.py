@@ -98,7 +98,8 @@ def measured(docs: DataFrame, weight: list[int]) -> DataFrame:
     n = len(weight)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("ws"))
-    five = F.arrays_zip(*[F.slice("ws", k + 1, F.greatest(F.size("ws") - 4, F.lit(0))).alias(f"w{k}") for k in range(5)])
+    rows = rows.select("*", F.transform("ws", lambda w: F.xxhash64(w)).alias("wh"))  # windows are hashed from numbers, words only once
+    five = F.arrays_zip(*[F.slice("wh", k + 1, F.greatest(F.size("wh") - 4, F.lit(0))).alias(f"w{k}") for k in range(5)])
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     rows = rows.select(
         "doc_id", "row", "ws",
