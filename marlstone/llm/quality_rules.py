@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import stored, table
 
 GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
-SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
+SYMBOLS = "#*$%&|<>"
 BUCKETS, SMOOTHING, PRIOR, SPREAD = 1 << 15, 1.0, 8, 5.0
 MILLION = 1_000_000
 BROADCAST_IDS = 1_000_000  # more trusted documents than this are joined by a shuffle
@@ -103,8 +103,8 @@ def measured(docs: DataFrame, weight: list[int]) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     rows = rows.select(
         "doc_id", "row", "ws",
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
         lines.alias("lines"),
         F.when(F.size("ws") >= 5, F.transform(five, lambda z: F.xxhash64(z))).otherwise(F.array().cast("array<bigint>")).alias("grams"),
     )
