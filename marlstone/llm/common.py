@@ -53,7 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-FILES_A_CORE = 2
+MERGED = 3
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -62,11 +62,11 @@ def stored(df: DataFrame, codec: str = "snappy", few_files: bool = False) -> Dat
     durable files, so a lost executor costs a re-read and no recomputation, and
     the shuffles that led there are deleted as soon as it is written. The default codec suits
     hashes and other numbers, which do not compress, and needs little memory outside the heap. With ``few_files``,
-    for narrow tables of many partitions, at most FILES_A_CORE files for each core of the cluster are written."""
+    for narrow tables of many partitions, a file takes MERGED of the session's shuffle partitions, as long as every core has one to write."""
     spark = df.sparkSession
     path = shared_folder(spark)
     if few_files:
-        df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // MERGED))
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
