@@ -53,20 +53,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-MERGED = 3
+MERGED = 8
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, codec: str = "snappy", few_files: bool = False) -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy", few_files: str = "") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends at
     durable files, so a lost executor costs a re-read and no recomputation, and
     the shuffles that led there are deleted as soon as it is written. The default codec suits
     hashes and other numbers, which do not compress, and needs little memory outside the heap. With ``few_files``,
-    for narrow tables of many partitions, a file takes MERGED of the session's shuffle partitions, as long as every core has one to write."""
+    a "wide" table has a file for MERGED of the session's shuffle partitions, but one for each core at least, and a "narrow" one, of a few numbers a row, one for each core."""
     spark = df.sparkSession
     path = shared_folder(spark)
     if few_files:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // MERGED))
+        merged = int(spark.conf.get("spark.sql.shuffle.partitions")) // MERGED if few_files == "wide" else 0
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, merged))
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
