@@ -26,7 +26,7 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The pre-tokeniser's contractions.
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
-CACHE_LIMIT = 1_500_000  # pieces; beyond it a worker starts its cache anew
+CACHE_LIMIT = 400_000  # pieces, some 50 bytes each; beyond it a worker, which lives on for other stages, starts its cache anew
 
 _classes: np.ndarray | None = None
 _encoders: dict[str, "Encoder"] = {}
@@ -197,7 +197,9 @@ class Growing:
     def add(self, values) -> None:
         values = np.asarray(values, self.data.dtype)
         if self.size + len(values) > len(self.data):
-            self.data = np.concatenate((self.values, np.zeros(self.size + len(values), self.data.dtype)))
+            larger = np.empty(2 * self.size + len(values), self.data.dtype)  # what is not used takes no memory
+            larger[: self.size] = self.values
+            self.data = larger
         self.data[self.size : self.size + len(values)] = values
         self.size += len(values)
 
