@@ -143,11 +143,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes that are not ASCII white space: starts, ends, and for each document its first word's index."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes that are not ``between`` words (ASCII white space): starts, ends, and for each document its first word's index."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    gap = _SPACE[data]
+    gap = between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     first, last = ~gap, ~gap
@@ -178,6 +178,21 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray
     return out, first
 
 
+def arrays_added(rows: DataFrame, keys: list[str], dtype: str) -> DataFrame:
+    """``rows`` (keys, sums) with the arrays in ``sums`` (binary, little-endian) added up by their keys, of which each is an int."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, ...], np.ndarray] = {}
+        for batch in batches:
+            for *key, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[tuple(key)] = sums.get(tuple(key), 0) + np.frombuffer(raw, dtype)
+        for key, x in sums.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in key), pa.array([x.tobytes()], pa.binary())], [*keys, "sums"])
+
+    kind = ", ".join(f"{k} int" for k in keys) + ", sums binary"
+    return rows.select(*[F.col(k).cast("int") for k in keys], "sums").repartition(*keys).mapInArrow(run, kind)
+
+
 BROADCAST_ROWS = 1_000_000  # more numbers than this are joined by a shuffle
 
 
