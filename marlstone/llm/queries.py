@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import quality_rules
+from marlstone.llm import importance, prefix_trie, quality_rules, vectors
 from marlstone.llm.audio import op1_chroma_fingerprints
 from marlstone.llm.classifier import op9_quality_classifier
 from marlstone.llm.html import op6_html_extraction
@@ -26,8 +26,11 @@ def queries() -> dict:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mixing": op10_mixing,
+        "op11_near_vectors": vectors.op11_near_vectors,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_importance_resampling": importance.op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.SQL}
+    return {"op7_quality_rules": quality_rules.SQL, "op11_near_vectors": vectors.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_importance_resampling": importance.SQL}
