@@ -59,20 +59,24 @@ ENDINGS = {"latin": {"m": ["n", "rt", "s", "ld"], "f": ["na", "lia", "ra", "sa"]
 CALLING = r"1|7|20|27|3[0-4]|36|39|4[01]|4[3-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 _TITLE = "|".join(sorted({x for v in TITLES.values() for t in v for x in (t, t.upper())}, key=lambda t: (-len(t), t)))
 _WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{L}++(?:-\p{L}++|['’]\p{L}{2,}+)*+"
+#: Particles that stand before a surname.
+PARTICLES = ["van", "von", "der", "den", "zu", "de", "la", "le", "du", "del", "della", "di", "da", "dos", "bin", "al"]
+_BEFORE = rf"(?:(?:\p{{Lu}}\.|{'|'.join(PARTICLES)}) ){{0,3}}"
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-PREFIX = r"(?:AKIA|ASIA|gh[pousr][_\-]|sk[_\-]|pk[_\-]|xox[abp][_\-])"
-EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]++\.)+\p{L}{2,}+"
-NAME = rf"(?<!\p{{L}})(?:{_TITLE})\.? (?:\p{{Lu}}\. ){{0,2}}{_WORD}(?: {_WORD}){{0,2}}"
-SECRET = rf"(?<![\p{{L}}\p{{N}}_\-])(?:[0-9a-fA-F]{{32,128}}+{_END}|(?:AKIA|ASIA)[0-9A-Z]{{16}}{_END}|(?:gh[pousr]|sk|pk|xox[abp])[_\-][A-Za-z0-9_\-]{{16,512}}+{_END})"
+PREFIX = r"(?:AKIA|ASIA|AIza|eyJ|gh[pousr][_\-]|sk[_\-]|pk[_\-]|xox[abp][_\-])"
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]++\.){1,127}\p{L}{2,}+"  # a domain has at most 127 labels
+NAME = rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? ){{1,4}}{_BEFORE}{_WORD}(?: {_BEFORE}{_WORD}){{0,2}}"
+SECRET = rf"(?<![\p{{L}}\p{{N}}_\-])(?:[0-9a-fA-F]{{32,128}}+{_END}|(?:AKIA|ASIA)[0-9A-Z]{{16}}{_END}|AIza[0-9A-Za-z_\-]{{35}}{_END}|eyJ[A-Za-z0-9_\-]{{8,2048}}+(?:\.[A-Za-z0-9_\-]{{8,2048}}+){{2}}{_END}|(?:gh[pousr]|sk|pk|xox[abp])[_\-][A-Za-z0-9_\-]{{16,512}}+{_END})"
 IBAN = rf"{_EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
+IP6 = r"(?<![\p{L}\p{N}:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-CARD = rf"{_EDGE}\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}(?!\d)"
+CARD = rf"{_EDGE}(?:\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}|3[47]\d{{2}}[ \-]\d{{6}}[ \-]\d{{5}})(?!\d)"
 # with a country code; ten digits in threes and four; with a trunk zero in pairs, or as area and number
 PHONE = rf"(?<![\p{{L}}\p{{N}}+])(?:\+\d{{1,3}}(?:[ .\-]?\(?\d{{1,5}}\)?){{2,7}}|(?:1[ .\-])?(?:\(\d{{2,4}}\)[ .\-]?|\d{{3}}[ .\-])\d{{3,4}}[ .\-]\d{{4}}|0\d(?:[ .\-]\d{{2}}){{4}}|\(?0\d{{2,4}}\)?[ /.\-]\d{{3,4}}[ .\-]?\d{{3,4}})(?!\d){_END}"
-ANY = "|".join([EMAIL, SECRET, IBAN, IP, SSN, CARD, PHONE, NAME])
+ANY = "|".join([EMAIL, SECRET, IBAN, IP, IP6, SSN, CARD, PHONE, NAME])
 #: Cheap test first: each form of entity holds a digit, an @, a title before a capital, a secret's prefix, or 32 hexadecimal letters.
-HINT = rf"[0-9@]|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}|(?:AKIA|ASIA)[A-Z]{{16}}|(?:gh[pousr]|sk|pk|xox[abp])[_\-][A-Za-z_\-]{{16}}|[a-fA-F]{{32}}"
+HINT = rf"[0-9@]|(?<!\p{{L}})(?:{_TITLE})\.? (?:\p{{Lu}}|(?:{'|'.join(PARTICLES)}) )|(?:AKIA|ASIA)[A-Z]{{16}}|AIza|eyJ|::|(?:gh[pousr]|sk|pk|xox[abp])[_\-][A-Za-z_\-]{{16}}|[a-fA-F]{{32}}"
 NAMES = ["first_f", "first_m", "first_n", "surname"]
 UNIT = "struct<type:string,canon:string>"
 
@@ -118,6 +122,7 @@ def entity_type(e: Column) -> Column:
     return (
         F.when(e.contains("@"), "email")
         .when(whole(IP), F.when(octets, "ip"))
+        .when(whole(IP6), F.when(e.rlike("[0-9]"), "ip6"))
         .when(whole(SSN), "ssn")
         .when(whole(SECRET), "secret")
         .when(whole(IBAN), "iban")
@@ -128,15 +133,18 @@ def entity_type(e: Column) -> Column:
 
 
 def units(e: Column) -> Column:
-    """The entity's units: (type, canonical value); empty if it is none. Initials are units of type ``keep``."""
+    """The entity's units: (type, canonical value); empty if it is none. Initials and particles are units of type ``keep``."""
     one = lambda t, c: F.array(F.struct(F.lit(t).alias("type"), c.alias("canon")))
     gender = lambda title: F.when(title.isin([x.lower() for x in TITLES["f"]]), "f").when(title.isin([x.lower() for x in TITLES["m"]]), "m").otherwise("n")
 
     def names(parts: Column) -> Column:
-        told = gender(F.lower(F.regexp_replace(parts[0], r"\.$", "")))
-        own = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-        kind = lambda p, i: F.when(p.endswith("."), "keep").when(i == F.size(parts) - 2, "surname").otherwise(F.concat(F.lit("first_"), told))
-        return F.transform(own, lambda p, i: F.struct(kind(p, i).alias("type"), F.lower(p).alias("canon")))
+        titles = [t.lower() for v in TITLES.values() for t in v]
+        bare = F.transform(parts, lambda p: F.lower(F.regexp_replace(p, r"\.$", "")))
+        first = let(F.concat(bare, F.array(F.lit(""))), lambda b: F.array_position(F.transform(b, lambda p: ~p.isin(titles)), True))  # the first part that is no title
+        told = F.coalesce(F.get(F.filter(F.transform(F.slice(bare, F.lit(1), first.cast("int") - 1), gender), lambda g: g != "n"), F.lit(0)), F.lit("n"))
+        own = F.slice(parts, first.cast("int"), F.greatest(F.size(parts) - first.cast("int") + 1, F.lit(0)))
+        kind = lambda p, i, n: F.when(p.endswith(".") | p.isin(PARTICLES), "keep").when(i == n - 1, "surname").otherwise(F.concat(F.lit("first_"), told))
+        return let(own, lambda o: F.transform(o, lambda p, i: F.struct(kind(p, i, F.size(o)).alias("type"), F.lower(p).alias("canon"))))
 
     def by(kind: Column) -> Column:
         return (
@@ -144,6 +152,7 @@ def units(e: Column) -> Column:
             .when(kind == "phone", one("phone", national(e)))
             .when(kind == "email", one("email", F.lower(e)))
             .when(kind == "ip", one("ip", e))
+            .when(kind == "ip6", one("ip6", F.lower(e)))
             .when(kind == "secret", one("secret", F.when(e.rlike("^[0-9a-fA-F]{32,128}$"), F.lower(e)).otherwise(e)))
             .when(kind == "iban", one("iban", F.regexp_replace(e, " ", "")))
             .when(kind == "card", one("card", only_digits(e)))
@@ -205,12 +214,13 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
         def name(script: str) -> Column:
             syllables = F.array(*[F.lit(x) for x in SYLLABLES[script]])
             count = F.when(kind == "surname", 4).otherwise(2) + attempt
-            stem = F.concat_ws("", F.transform(F.sequence(F.lit(1), count), lambda k: F.element_at(syllables, value(k) % len(SYLLABLES[script]) + 1)))
+            stem = lambda n, of: F.concat_ws("", F.transform(F.sequence(F.lit(1), n), lambda k: F.element_at(syllables, value(k + 11 * of) % len(SYLLABLES[script]) + 1)))
             endings = F.when(kind == "first_f", F.array(*[F.lit(x) for x in ENDINGS[script]["f"]])).otherwise(F.array(*[F.lit(x) for x in ENDINGS[script]["m"]]))
-            return F.concat(stem, F.element_at(endings, value(F.lit(0)) % 4 + 1))
+            more = F.transform(F.slice(F.split(canon, "-"), F.lit(2), F.size(F.split(canon, "-"))), lambda p, i: F.concat(F.lit("-"), stem(F.lit(3), i + 1)))  # a name of several parts stays one
+            return F.concat(stem(count, F.lit(0)), F.element_at(endings, value(F.lit(0)) % 4 + 1), F.concat_ws("", more))
 
         return (
-            F.when(kind == "email", mail).when(kind == "ip", F.concat_ws(".", *[octet(k) for k in (1, 2, 3, 4)])).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "card", card)
+            F.when(kind == "email", mail).when(kind == "ip", F.concat_ws(".", *[octet(k) for k in (1, 2, 3, 4)])).when(kind == "ip6", F.concat_ws(":", *[F.substring(s, 4 * k + 1, 4) for k in range(8)])).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "card", card)
             .when(kind == "phone", phone).when(kind == "ssn", mapped(canon)).when(kind == "keep", canon).when(canon.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin"))
         )
 
@@ -218,8 +228,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
 
 
 def _cased(source: Column, text: Column) -> Column:
-    """``text`` with the case of ``source``: all upper, capitalised, or as it is."""
-    return F.when((F.upper(source) == source) & (F.lower(source) != source) & (F.length(source) > 1), F.upper(text)).when(F.substring(source, 1, 1).rlike(r"\p{Lu}"), F.initcap(text)).otherwise(text)
+    """``text`` with the case of ``source``: all upper, each part capitalised, or as it is."""
+    return F.when((F.upper(source) == source) & (F.lower(source) != source) & (F.length(source) > 1), F.upper(text)).when(F.substring(source, 1, 1).rlike(r"\p{Lu}"), F.array_join(F.transform(F.split(text, "-"), F.initcap), "-")).otherwise(text)
 
 
 def _each_cased(source: Column, text: Column) -> Column:
