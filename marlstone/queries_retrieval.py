@@ -11,7 +11,9 @@ from marlstone.plans import graph
 from marlstone.plans.providers import LexicalReranker
 from marlstone.queries_text import TOKENS, query, sql_any, table
 from marlstone.functions import text as T
+from marlstone.session import kept_folder
 from marlstone.sources import store
+from marlstone.sources.proximity import ProximityIndex
 
 # documents and embeddings share no key; vec_id = doc_id is a convention of these queries, to have a joint corpus
 
@@ -70,6 +72,15 @@ def approximate_neighbours(spark, d):
     return found.join(exact, ["query_id", "doc_id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
 
 
+@query()
+def proximity_neighbours(spark, d):
+    """K5: hits of the layered proximity graphs for every id divisible by 20, whether exact search has them as well, and how many vectors were compared."""
+    asked, rows = vectors_asked(spark, d), vectors(spark, d)
+    exact = retrieval.dense_topk(asked, rows, 10).select("query_id", "doc_id", F.lit(True).alias("exact"))
+    found = ProximityIndex(spark, kept_folder(spark)).add(rows).search(asked, 10)
+    return found.join(exact, ["query_id", "doc_id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+
+
 def bm25_ctes(queries: str) -> str:
     """CTEs up to ``scores``, for a relation of (query_id, text)."""
     return f"""t AS (SELECT doc_id, {TOKENS.format('text')} AS ts FROM documents),

@@ -1,8 +1,12 @@
-"""Session builder with the settings the package relies on."""
+"""Session builder with the settings the package relies on, and tables kept in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -21,3 +25,20 @@ def session(app: str = "marlstone", **settings: str) -> SparkSession:
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def kept_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; where that is not set, one of this machine's, but only if the whole job runs on it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/marlstone-kept"
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once: written to the shared folder and read back, so that several readers do not compute it again."""
+    path = kept_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import clean_file_name
 from marlstone.operators.retrieval import dense_topk
+from marlstone.sources.proximity import ProximityIndex
 
 LIMIT_SECONDS, GRACE_SECONDS, RETENTION_SECONDS = 600, 60, 86_400
 # --- Fixed values: upload limits and signals ---
@@ -101,7 +102,7 @@ class Collections:
 
     def all(self) -> list[str]:
         path, fs = self._path()
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(path)) if not n.startswith(".")) if fs.exists(path) else []
 
     def create(self, name: str, size: int, reset: bool = False) -> bool:
         """False if it is there already and ``reset`` is not asked for."""
@@ -114,8 +115,10 @@ class Collections:
         return True
 
     def delete(self, name: str) -> bool:
-        path, fs = self._path(name)
-        return fs.delete(path, True) if fs.exists(path) else False
+        for part in (f".indexes/{name}", name):
+            path, fs = self._path(part)
+            gone = fs.delete(path, True) if fs.exists(path) else False
+        return gone
 
     def info(self, name: str) -> dict | None:
         return {"name": name, "rows": self.scan(name).count()} if self.exists(name) else None
@@ -135,6 +138,19 @@ class Collections:
         hits = dense_topk(queries, rows.select(F.col("id").alias("doc_id"), F.col("vector").alias("embedding")), k, self.metric)
         return hits.join(rows.select(F.col("id").alias("doc_id"), "text", "chunk_id"), "doc_id")
 
+    def index(self, name: str) -> ProximityIndex:
+        return ProximityIndex(self.spark, f"{self.root}/.indexes/{name}", self.metric)
+
+    def create_index(self, name: str) -> ProximityIndex:
+        """K5: index the collection's vectors; those that the index has are left as they are."""
+        index, rows = self.index(name), self.scan(name).select(F.col("id").alias("doc_id"), F.col("vector").alias("embedding"))
+        return index.add(rows.join(index.ids(), "doc_id", "left_anti") if index.exists() else rows)
+
+    def search_index(self, name: str, queries: DataFrame, k: int = 10, **options) -> DataFrame:
+        """K5: ``search`` by the index."""
+        rows = self.scan(name).select(F.col("id").alias("doc_id"), "text", "chunk_id")
+        return self.index(name).search(queries, k, **options).join(rows, "doc_id")
+
 
 #: K7: vector stores by name; the first two are this package's collections.
 STORES = {"PGVECTOR": True, "QDRANT": True, "PINECONE": False, "WEAVIATE": False, "MILVUS": False}
