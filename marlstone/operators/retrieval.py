@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import bm25_tokens, stripped, text_key
+from marlstone.session import kept
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 FUNNEL = {"fetch": 6, "fuse": 4, "rerank": 5}
@@ -22,6 +24,7 @@ DIGITS = 6  # scores are compared after rounding, so that ranks do not hang on s
 QUERY_BLOCK = 1024
 PIECE_BYTES, BROADCAST_BYTES, HELD_BLOCKS = 1 << 20, 1 << 26, 64
 BROADCAST_TERMS, SALTS = 1_000_000, 16
+SCORES = 1 << 22  # of documents times queries that a task holds at a time
 
 
 def top(rows: DataFrame, k: int, by: list[Column], group: str = "query_id") -> DataFrame:
@@ -122,23 +125,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Bm25:
-    """Tokens, corpus statistics and term statistics as tables, read afresh or, with ``folder``, written there once
-    and read back (tokens by document, so that later searches do not split texts again)."""
+    """Tokens, corpus statistics and term statistics as tables. Texts are split into words once: the tokens are written to the shared folder or,
+    with ``folder``, there, from where later searches read them as well."""
 
     def __init__(self, docs: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON, folder: str | None = None) -> None:
         self.k1, self.b, self.epsilon = k1, b, epsilon
-        dealt = docs.select("doc_id", "text").repartition("doc_id")  # texts are smaller than their words
-        self.tokens = docs.select("doc_id", bm25_tokens(F.col("text")).alias("ts"))
-        self.dealt = dealt.select("doc_id", bm25_tokens(F.col("text")).alias("ts"))
+        tokens = docs.select("doc_id", bm25_tokens(F.col("text")).alias("ts"))
         if folder:
-            self.tokens.write.mode("overwrite").parquet(f"{folder}/tokens")
-            self.tokens = docs.sparkSession.read.parquet(f"{folder}/tokens")
-            self.dealt = self.tokens.repartition("doc_id")
+            tokens.write.mode("overwrite").parquet(f"{folder}/tokens")
+        self.tokens = docs.sparkSession.read.parquet(f"{folder}/tokens") if folder else kept(tokens)
         self.stats = self.tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
-        self.terms = self.tokens.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        terms = self.tokens.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         if folder:
-            self.terms.write.mode("overwrite").parquet(f"{folder}/terms")
-            self.terms = docs.sparkSession.read.parquet(f"{folder}/terms")
+            terms.write.mode("overwrite").parquet(f"{folder}/terms")
+        self.terms = docs.sparkSession.read.parquet(f"{folder}/terms") if folder else kept(terms)
 
     def idf(self) -> DataFrame:
         """(term, df, idf); a negative one becomes epsilon times the mean over all terms."""
@@ -147,27 +147,64 @@ class Bm25:
         return raw.join(F.broadcast(mean), how="cross").select("term", "df", F.when(F.col("raw") < 0, self.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """(query_id, doc_id, score, rank); scores above 0 only; a repeated query word counts again.
+        """(query_id, doc_id, score, rank); scores above 0 only; a repeated query word counts again. Rows of one id are documents of their own.
 
-        Documents are dealt by id once; terms that no query has are dropped before they are counted, and a document's scores
-        add up in its own task. Up to BROADCAST_TERMS query words are sent to all tasks; more are joined by a shuffle of (term, salt), which parts common terms."""
+        Up to BROADCAST_TERMS different words of queries are sent to all tasks with their weights. A task looks up its documents' tokens, scores
+        them for all queries and passes on at most k rows a query, so nothing is shuffled but these. More words are joined by a shuffle of (term, salt), which parts common terms."""
         words = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        few = words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        weighted = words.join(self.idf(), "term").groupBy("term").agg(F.collect_list(F.struct("query_id", (F.col("qtf") * F.col("idf")).alias("weight"))).alias("by"))
-        lists = self.dealt.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-        sent = F.broadcast(weighted.select("term")) if few else weighted.select("term")
-        held = lists.join(sent, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+        weights = kept(words.join(self.idf(), "term").select(F.col("query_id").cast("long"), "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+        few = weights.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        return top(self._by_lookup(weights, k) if few else self._by_shuffle(weights), k, [F.desc("score"), F.asc("doc_id")])
+
+    def _by_lookup(self, weights: DataFrame, k: int) -> DataFrame:
+        sent = weights.toArrow().sort_by([("term", "ascending"), ("query_id", "ascending")])
+        terms, names = (pc.unique(sent[c]) for c in ("term", "query_id"))
+        of_term, of_query = (pc.index_in(sent[c].combine_chunks(), value_set=v).to_numpy() for c, v in (("term", terms), ("query_id", names)))
+        weight, begin, asked = sent["weight"].to_numpy(), np.searchsorted(of_term, np.arange(len(terms) + 1)), names.to_numpy()
+        mean, k1, b = self.stats.first()["avgdl"] or 1.0, self.k1, self.b
+        step = max(1, SCORES // max(1, len(names)))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            floor = np.zeros(len(asked))
+            q, d, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(asked) else 0, step):
+                    ids, lists = (batch.column(c).slice(at, step) for c in range(2))
+                    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                    own = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+                    pair, tf = np.unique((np.repeat(np.arange(len(length)), length) * len(terms) + own)[own >= 0], return_counts=True)
+                    doc, term = pair // len(terms), pair % len(terms)
+                    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+                    order = np.argsort(term, kind="stable")
+                    doc, term, part = doc[order], term[order], part[order]
+                    score = np.zeros((len(length), len(asked)))
+                    cut = np.append(np.flatnonzero(np.append(True, term[1:] != term[:-1]))[: len(term)], len(term)) if len(term) else np.zeros(1, np.int64)
+                    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                        w = slice(begin[term[x]], begin[term[x] + 1])
+                        score[np.ix_(doc[x:y], of_query[w])] += part[x:y, None] * weight[None, w]
+                    score = np.round(score, DIGITS)
+                    r, c = np.nonzero((score > 0) & (score >= floor[None, :]))
+                    q, d, s = np.concatenate((q, c)), np.concatenate((d, ids.to_numpy(zero_copy_only=False)[r])), np.concatenate((s, score[r, c]))
+                    order = np.lexsort((d, -s, q))
+                    q, d, s = q[order], d[order], s[order]
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    floor[q[place == k - 1]] = s[place == k - 1]
+                    q, d, s = q[place < k], d[place < k], s[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(d), pa.array(s)], ["query_id", "doc_id", "score"])
+
+        return self.tokens.select(F.col("doc_id").cast("long"), "ts").mapInArrow(best, "query_id long, doc_id long, score double")
+
+    def _by_shuffle(self, weights: DataFrame) -> DataFrame:
+        weighted = weights.groupBy("term").agg(F.collect_list(F.struct("query_id", "weight")).alias("by"))
+        lists = self.tokens.repartition("doc_id").select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+        held = lists.join(weighted.select("term"), "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
         part = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
-        held = held.join(F.broadcast(self.stats), how="cross").select("doc_id", "term", part.alias("part"))
-        if few:
-            hits = held.join(F.broadcast(weighted), "term")
-        else:
-            salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-            spread = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            hits = held.withColumn("salt", salt("doc_id")).join(spread, ["term", "salt"])
+        held = held.join(F.broadcast(self.stats), how="cross").select("doc_id", "term", part.alias("part"))  # one row
+        salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+        spread = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = held.withColumn("salt", salt("doc_id")).join(spread, ["term", "salt"])
         hits = hits.select("doc_id", "part", F.explode("by").alias("q")).select("q.query_id", "doc_id", (F.col("q.weight") * F.col("part")).alias("part"))
-        total = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score > 0")
-        return top(total, k, [F.desc("score"), F.asc("doc_id")])
+        return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score > 0")
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, **options) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import functions as F
 
 from marlstone.operators import datasets, evaluation, rerank, retrieval
+from marlstone.operators.postings import StoredBm25
 from marlstone.plans import graph
 from marlstone.plans.providers import LexicalReranker
 from marlstone.queries_text import TOKENS, query, sql_any, table
@@ -92,12 +91,27 @@ w AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKE
 scores AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM p JOIN w USING (term) JOIN i USING (term), s GROUP BY 1, 2 HAVING score > 0)"""
 
 
-@query(f"""WITH {bm25_ctes('SELECT item_id AS query_id, text FROM benchmark')},
+BM25_SQL = f"""WITH {bm25_ctes('SELECT item_id AS query_id, text FROM benchmark')},
 x AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1)::INT AS rank FROM scores)
-SELECT query_id, doc_id, score, rank FROM x WHERE rank < 10""")
+SELECT query_id, doc_id, score, rank FROM x WHERE rank < 10"""
+
+
+def items(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(BM25_SQL)
 def bm25(spark, d):
     """Benchmark items against documents."""
-    return retrieval.bm25_topk(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), corpus(spark, d), 10)
+    return retrieval.bm25_topk(items(spark, d), corpus(spark, d), 10)
+
+
+@query(BM25_SQL)
+def stored_bm25(spark, d):
+    """The same from an index that grew by two additions, the second of which replaced documents; it holds all documents in the end."""
+    docs, held = corpus(spark, d), StoredBm25(spark, kept_folder(spark))
+    held.add(docs.withColumn("text", F.when(F.col("doc_id") % 7 == 3, F.lit("an older text")).otherwise(F.col("text"))))
+    return held.add(docs.where("doc_id % 7 = 3")).search(items(spark, d), 10)
 
 
 ASKED = "SELECT doc_id AS query_id, substr(d.text, 1, 1000) AS text FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE doc_id % 20 = 0"
@@ -404,30 +418,28 @@ def dataset_seeds(spark, d):
     return datasets.seeds(chunk_rows(spark, d)).select("question_type", "ids")
 
 
-STATES = {"docs": [0, 3], "answer": ["", "x"], "iterations": [0, 1], "agentic": [True, False], "need": [True, False], "agentic_iterations": [0, 2], "sources": [1, 2, 3], "hall": ["yes", "no"], "qual": ["yes", "no"]}
-
-
-def states(spark):
-    """The truth table of 768 rows as one local relation."""
-    kinds = {bool: "boolean", int: "int", str: "string"}
-    return spark.createDataFrame(list(itertools.product(*STATES.values())), ", ".join(f"{n} {kinds[type(v[0])]}" for n, v in STATES.items()))
+STATES = {
+    "docs": "(conv_id + turn) % 3", "answer": "CASE WHEN (conv_id + 2 * turn) % 5 = 0 THEN ' ' WHEN turn % 7 = 6 THEN NULL ELSE text END", "iterations": "CAST(length(text) % 2 AS INT)",
+    "agentic": "role = 'user' OR conv_id % 4 = 0", "need": "length(text) % 3 < 2", "agentic_iterations": "CAST(conv_id % 3 AS INT)", "sources": "1 + length(text) % 3",
+    "hall": "CASE length(text) % 5 WHEN 0 THEN 'no' WHEN 1 THEN NULL ELSE 'yes' END", "qual": "CASE (conv_id + length(text)) % 7 WHEN 0 THEN NULL WHEN 1 THEN 'no' WHEN 2 THEN 'no' ELSE 'yes' END",
+}
+STATE_COLUMNS = ", ".join(f"{e} AS {n}" for n, e in STATES.items())
+AUDIT = "coalesce(trim(answer), '') = '' OR docs = 0"
 
 
-CUBE = " CROSS JOIN ".join(f"(SELECT unnest({v}) AS {n})" for n, v in (("docs", "[0, 3]"), ("answer", "['', 'x']"), ("iterations", "[0, 1]"), ("agentic", "[true, false]"), ("need", "[true, false]"), ("agentic_iterations", "[0, 2]"), ("sources", "[1, 2, 3]"), ("hall", "['yes', 'no']"), ("qual", "['yes', 'no']")))
-
-
-@query(f"""SELECT *, CASE WHEN docs = 0 AND iterations < 1 THEN 'rewrite_query' ELSE 'generate' END AS grading, CASE WHEN answer = '' THEN 'end' WHEN agentic AND sources <= 1 THEN 'evaluate_context' ELSE 'audit_answer' END AS generation,
+@query(f"""SELECT *, CASE WHEN audit = 'rewrite' THEN 'rewrite_query' ELSE 'end' END AS next FROM (
+    SELECT conv_id, turn, CASE WHEN docs = 0 AND iterations < 1 THEN 'rewrite_query' ELSE 'generate' END AS grading, CASE WHEN coalesce(trim(answer), '') = '' THEN 'end' WHEN agentic AND sources <= 1 THEN 'evaluate_context' ELSE 'audit_answer' END AS generation,
     CASE WHEN agentic AND need AND agentic_iterations < 2 AND sources < 3 THEN 'route_source' ELSE 'audit_answer' END AS evaluation,
-    CASE WHEN answer = '' OR docs = 0 OR (hall = 'yes' AND qual = 'yes') OR iterations >= 1 THEN 'end' ELSE 'rewrite' END AS audit,
-    CASE WHEN answer = '' OR docs = 0 OR (hall = 'yes' AND qual = 'yes') OR iterations >= 1 THEN 'end' ELSE 'rewrite_query' END AS next FROM {CUBE}""")
+    CASE WHEN {AUDIT} THEN 'end' WHEN coalesce(hall, '') = 'no' THEN CASE WHEN iterations >= 1 THEN 'end' ELSE 'rewrite' END WHEN qual IS NULL OR qual = 'yes' OR iterations >= 1 THEN 'end' ELSE 'rewrite' END AS audit
+    FROM (SELECT conv_id, turn, {STATE_COLUMNS} FROM conversations))""")
 def graph_routes(spark, d):
-    """The routers over all combinations of state."""
+    """What the routers say of states that turns of conversations stand for: a turn's text is the answer, and its numbers and length give the rest."""
     c = F.col
-    rows = states(spark)
-    rows = rows.withColumns({
-        "grading": graph.after_grading(c("docs"), c("iterations")), "generation": graph.after_generation(c("answer"), c("agentic"), c("sources")),
-        "evaluation": graph.after_evaluation(c("agentic"), c("need"), c("agentic_iterations"), c("sources")), "audit": graph.audit(c("answer"), c("docs"), c("iterations"), c("hall"), c("qual")),
-    })
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", *[f"{e} AS {n}" for n, e in STATES.items()])
+    rows = rows.select(
+        "conv_id", "turn", graph.after_grading(c("docs"), c("iterations")).alias("grading"), graph.after_generation(c("answer"), c("agentic"), c("sources")).alias("generation"),
+        graph.after_evaluation(c("agentic"), c("need"), c("agentic_iterations"), c("sources")).alias("evaluation"), graph.audit(c("answer"), c("docs"), c("iterations"), c("hall"), c("qual")).alias("audit"),
+    )
     return rows.withColumn("next", graph.after_audit(c("audit")))
 
 

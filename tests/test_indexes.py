@@ -73,3 +73,80 @@ def test_an_index_stands_beside_its_collection(spark, tmp_path):
     collections.create_index(name)  # only what is new is added
     assert before < set(os.listdir(collections.index(name).path)) and collections.index(name).ids().count() == 10
     assert collections.search_index(name, spark.createDataFrame([(0, [-1.0, 0.0])], "query_id long, embedding array<float>"), 1).first().text == "new"
+
+
+# --- postings ---
+
+
+def texts_of(seed, n, first=0):
+    import random
+
+    r = random.Random(seed)
+    common, rare = ["alpha", "beta", "gamma"], [f"term{i}" for i in range(40)]
+    return [(first + i, None if r.random() < 0.03 else " ".join(r.choice(common if r.random() < 0.4 else rare) for _ in range(r.choice([0, 4, 9, 30])))) for i in range(n)]
+
+
+ASKED = [(1, "alpha term3"), (2, "term1 term2 term1 gamma"), (3, ""), (4, "nothing here"), (5, "beta"), (6, "term7"), (7, None)]
+
+
+def same(spark, index, docs, k=7):
+    from marlstone.operators.retrieval import bm25_topk
+
+    asked = spark.createDataFrame(ASKED, "query_id long, text string")
+    got, want = (sorted(map(tuple, x.select("query_id", "doc_id", "score", "rank").collect())) for x in (index.search(asked, k), bm25_topk(asked, spark.createDataFrame(docs, "doc_id long, text string"), k)))
+    assert [(a[0], a[1], a[3]) for a in got] == [(a[0], a[1], a[3]) for a in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))
+    return got
+
+
+def test_postings_equal_a_new_index_after_changes(spark, tmp_path, monkeypatch):
+    from marlstone.operators import postings
+
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    monkeypatch.setattr(postings, "SPREAD", 50)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = {i: (i, t) for i, t in texts_of(1, 220)}
+    index = postings.StoredBm25(spark, str(tmp_path)).add(frame(list(docs.values())))
+    assert same(spark, index, list(docs.values()))
+    more = texts_of(2, 60, 180)  # 40 of these replace others
+    docs |= {i: (i, t) for i, t in more}
+    index.add(frame(more))
+    same(spark, index, list(docs.values()))
+    for i in (*range(0, 200, 3), 9999):
+        docs.pop(i, None)
+    index.delete(spark.createDataFrame([(i,) for i in (*range(0, 200, 3), 9999)], "doc_id long"))
+    same(spark, index, list(docs.values()))
+    back = [(3, "alpha alpha term3"), (6, "term7")]
+    docs |= {i: (i, t) for i, t in back}
+    again = postings.StoredBm25(spark, str(tmp_path))  # opened, not built
+    assert again.segments() == [0, 1, 2]
+    same(spark, again.add(frame(back)), list(docs.values()))
+    assert again.live().count() == len(docs) == again.idf()[1]
+    twice = [(7000, "alpha"), (7000, "term39 term39"), (None, "alpha alpha")]  # the greater text counts, a row without an id does not
+    docs[7000] = twice[1]
+    same(spark, again.add(frame(twice)), list(docs.values()))
+
+
+def test_blocks_that_cannot_reach_the_floor_are_skipped(spark, tmp_path, monkeypatch):
+    from marlstone.operators import postings
+
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    rows = [(i, "apple " * (1 + i % 7) + "filler " * (i % 11) + ("pear" if i % 50 == 0 else "plum")) for i in range(300)] + [(1000 + i, "other words") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = postings.StoredBm25(spark, str(tmp_path)).add(docs)
+    asked = spark.createDataFrame([(1, "apple"), (2, "apple pear")], "query_id long, text string")
+    got, blocks = index.explained(asked, 5)
+    from marlstone.operators.retrieval import bm25_topk
+
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bm25_topk(asked, docs, 5).select(*got.columns).collect()))
+    counts = {r.query_id: (r.n, r.s) for r in blocks.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.col("skipped").cast("int")).alias("s")).collect()}
+    assert counts[1][0] == 75 and counts[1][1] > 75 / 2  # pear could lift any apple to the floor, so the second query skips none
+
+
+def test_postings_of_nothing(spark, tmp_path):
+    from marlstone.operators import postings
+
+    asked = spark.createDataFrame(ASKED, "query_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, text string")
+    index = postings.StoredBm25(spark, str(tmp_path))
+    assert index.search(asked).collect() == [] and index.add(none).search(asked).collect() == [] and index.delete(none).search(asked).collect() == []
+    assert index.add(spark.createDataFrame([(1, None), (2, "alpha")], "doc_id long, text string")).live().count() == 2
