@@ -79,8 +79,9 @@ class Engine:
         again = lambda q, c, n: rerank.cascade([self.reranker], q, c, n)
         return retrieval.advanced(self.hyde(rows), corpus.select("doc_id", "text"), corpus.select("doc_id", "embedding"), k, again)
 
-    def answer(self, questions: DataFrame, project: int, agentic: bool = False) -> DataFrame:
-        return graph.answer(questions, lambda q: self.retrieve(q, project), self.model, agentic=agentic)
+    def answer(self, questions: DataFrame, project: int, agentic: bool = False, **parts) -> DataFrame:
+        """G1-G12; ``parts`` are those of ``graph.answer``: judge, web, rewrite and rounds."""
+        return graph.answer(questions, lambda q: self.retrieve(q, project), self.model, agentic=agentic, **parts)
 
     def evaluate(self, questions: DataFrame, project: int, k: int = 10, judge=None) -> DataFrame:
         """Retrieval metrics of (query_id, text, relevant); where there is an ``answer`` (and, if known, ``ground_truth`` and

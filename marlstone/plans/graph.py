@@ -15,6 +15,7 @@ import pandas as pd
 from marlstone.functions.text import prompt, stripped
 from marlstone.plans.prompts import filled
 from marlstone.plans.providers import ExtractiveModel, NoWeb, OverlapJudge, web_text
+from marlstone.session import kept
 
 MAX_ITERATIONS, MAX_AGENTIC, MAX_SOURCES = 1, 2, 3
 CONTEXT_CAP, ANSWER_CAP = 2000, 1000
@@ -131,49 +132,68 @@ def answer(questions: DataFrame, retrieve, model=None, judge=None, web=None, rew
     question_type). ``retrieve`` maps (query_id, text) to ranked (query_id, rank, doc_id, text, score).
 
     A question without documents is rewritten as long as rounds are left. With ``agentic``, an answer whose context does not do is made
-    anew once another source has been asked; a question keeps what it has tried through rewrites."""
+    anew once another source has given something; a question keeps what it has tried through rewrites.
+
+    What a provider said is kept as a table before it is used, and rows that need no call are set apart before calls are made. So the model is called once for a question and round, and
+    once more only where another source has been added; never without context. The judge sees an answer only if it can be refused."""
     model, judge, web = model or ExtractiveModel(), judge or OverlapJudge(), web or NoWeb()
 
     @pandas_udf("string")
     def generated(p: pd.Series) -> pd.Series:
-        return pd.Series(model.generate(p.tolist()))
+        return pd.Series(model.generate(p.tolist()), dtype="object")
 
     @pandas_udf("string")
     def shared(wanted: pd.Series, given: pd.Series) -> pd.Series:
-        return pd.Series([judge.verdict(a, b) for a, b in zip(wanted, given, strict=True)])
+        return pd.Series([judge.verdict(a, b) for a, b in zip(wanted, given, strict=True)], dtype="object")
+
+    generated, shared = generated.asNondeterministic(), shared.asNondeterministic()
+    none, has_texts = F.array().cast("array<string>"), F.size("texts") > 0
+
+    def parted(rows: DataFrame, wanted: Column, called, otherwise) -> DataFrame:
+        """``called`` of the rows that are ``wanted`` and ``otherwise`` of the others, kept."""
+        yes = F.coalesce(wanted, F.lit(False))
+        return kept(called(rows.where(yes)).unionByName(otherwise(rows.where(~yes))))
+
+    def written(rows: DataFrame) -> DataFrame:
+        made = lambda r: r.withColumn("answer", generated(prompt(F.col("question"), F.col("texts"), F.col("question_type"))))
+        return parted(rows.drop("answer"), has_texts, made, lambda r: r.withColumn("answer", F.lit(NO_CONTEXT)))
+
+    def extended(rows: DataFrame) -> DataFrame:
+        """Rows whose context does not do, with another source and a new answer; the others as they are."""
+        judged = (F.col("_route") == "generate") & (after_generation(F.col("answer"), F.lit(True), F.size("sources_tried")) == "evaluate_context")
+        decide = need_more(judge)(F.col("question"), F.array_join("texts", "\n\n"), F.col("answer"))["need_more"]
+        rows = parted(rows, judged, lambda r: r.withColumn("_need", decide), lambda r: r.withColumn("_need", F.lit(False)))
+        go = after_evaluation(F.lit(True), F.col("_need"), F.col("agentic_iterations"), F.size("sources_tried")) == "route_source"
+        source = F.array_union("sources_tried", F.array(select_source(F.col("sources_tried"))["source"]))
+        fetched = lambda r: r.withColumns({"_found": web_fetch(web)(F.col("question")), "sources_tried": source})
+        rows = parted(rows, go, fetched, lambda r: r.withColumn("_found", F.lit(None).cast("string")))
+        more = rows.where("_found is not null").withColumns({"texts": F.concat("texts", F.array("_found")), "agentic_iterations": F.col("agentic_iterations") + 1})
+        return kept(written(more.drop("_need", "_found")).unionByName(rows.where("_found is null").drop("_need", "_found")))
+
+    def audited(rows: DataFrame) -> DataFrame:
+        """With ``_grounded`` and ``_fits`` where an answer can be refused."""
+        checks = {"_grounded": F.get_json_object(shared("answer", F.array_join("texts", " ")), "$.score"), "_fits": F.get_json_object(shared("question", "answer"), "$.score")}
+        null = F.lit(None).cast("string")
+        open_ = ~blank(F.col("answer")) & has_texts & (F.col("iterations") < rounds - 1)
+        return parted(rows, open_, lambda r: r.withColumns(checks), lambda r: r.withColumns({"_grounded": null, "_fits": null}))
 
-    none = F.array().cast("array<string>")
     kept_columns = ["query_id", "question", "question_type", "iterations", "sources_tried", "agentic_iterations"]
-    open_rows = questions.select(
+    open_rows = kept(questions.select(
         "query_id", "question", F.col("question").alias("asked"), F.coalesce("question_type", F.lit("factual")).alias("question_type"), F.lit(0).alias("iterations"),
         F.array(F.lit("vector_db")).alias("sources_tried"), F.lit(0).alias("agentic_iterations"),
-    )
-    written = lambda: F.when(F.size("texts") == 0, F.lit(NO_CONTEXT)).otherwise(generated(prompt(F.col("question"), F.col("texts"), F.col("question_type"))))
+    ))
     done = None
     for turn in range(rounds):
         hits = retrieve(open_rows.select("query_id", F.col("asked").alias("text")))
-        kept = graded(hits.join(open_rows.select("query_id", F.col("asked").alias("question")), "query_id"), judge)
-        listed = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("d"))
+        kept_hits = graded(hits.join(open_rows.select("query_id", F.col("asked").alias("question")), "query_id"), judge)
+        listed = kept_hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("d"))
         rows = open_rows.join(listed.select("query_id", F.col("d.text").alias("texts"), F.col("d.doc_id").alias("documents")), "query_id", "left")
-        rows = rows.withColumns({"texts": F.coalesce("texts", none), "documents": F.coalesce("documents", F.array().cast("array<bigint>"))})
+        rows = kept(rows.withColumns({"texts": F.coalesce("texts", none), "documents": F.coalesce("documents", F.array().cast("array<bigint>"))}))
         last = turn == rounds - 1
-        empty = (F.size("texts") == 0) & (not last)
-        rows = rows.withColumn("_route", after_grading(F.size("texts"), F.col("iterations"), rounds - 1)).withColumn("answer", written())
-        if agentic:
-            judged = (F.col("_route") == "generate") & (after_generation(F.col("answer"), F.lit(True), F.size("sources_tried")) == "evaluate_context")
-            decided = need_more(judge)(F.col("question"), F.array_join("texts", "\n\n"), F.col("answer"))["need_more"]
-            rows = rows.withColumn("_more", judged & (after_evaluation(F.lit(True), F.when(judged, decided), F.col("agentic_iterations"), F.size("sources_tried")) == "route_source"))
-            rows = rows.withColumn("_found", F.when(F.col("_more"), web_fetch(web)(F.col("question"))))
-            source = select_source(F.col("sources_tried"))["source"]
-            rows = rows.withColumns({
-                "texts": F.when(F.col("_found").isNotNull(), F.concat("texts", F.array("_found"))).otherwise(F.col("texts")),
-                "sources_tried": F.when(F.col("_more"), F.array_union("sources_tried", F.array(source))).otherwise(F.col("sources_tried")),
-                "agentic_iterations": F.col("agentic_iterations") + F.col("_found").isNotNull().cast("int"),
-            })
-            rows = rows.withColumn("answer", F.when(F.col("_more"), written()).otherwise(F.col("answer"))).drop("_more", "_found")
-        grounded = F.get_json_object(shared("answer", F.array_join("texts", " ")), "$.score")
-        fits = F.get_json_object(shared("question", "answer"), "$.score")
-        decision = F.when(empty & (F.col("_route") == "rewrite_query"), "rewrite").otherwise(audit(F.col("answer"), F.size("texts"), F.col("iterations"), grounded, fits, rounds - 1))
+        rows = written(rows.withColumn("_route", after_grading(F.size("texts"), F.col("iterations"), rounds - 1)))
+        rows = audited(extended(rows) if agentic else rows)
+        empty = (F.size("texts") == 0) & (not last) & (F.col("_route") == "rewrite_query")
+        decision = F.when(empty, "rewrite").otherwise(audit(F.col("answer"), F.size("texts"), F.col("iterations"), F.col("_grounded"), F.col("_fits"), rounds - 1))
         rows = rows.withColumn("decision", decision)
         ended = rows if last else rows.where("decision = 'end'")
         out = ended.select("query_id", "question", "answer", "documents", "iterations", "sources_tried", "agentic_iterations", F.lit("end").alias("decision"))
@@ -181,5 +201,5 @@ def answer(questions: DataFrame, retrieve, model=None, judge=None, web=None, rew
         if not last:
             asked = rewrite(F.col("asked")) if rewrite else F.col("asked")
             again = rows.where("decision = 'rewrite'").withColumn("asked", asked).withColumn("iterations", F.col("iterations") + 1)
-            open_rows = again.select(*kept_columns, "asked")
+            open_rows = kept(again.select(*kept_columns, "asked"))
     return done

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from marlstone import registry
 from marlstone.operators import rerank, retrieval
 from marlstone.plans import graph, hosted, prompts
-from marlstone.plans.providers import OverlapJudge
+from marlstone.plans.engine import Engine
+from marlstone.plans.providers import ExtractiveModel, OverlapJudge
 from marlstone.sources import images, loaders, pdf, results, store
 
 DATA = "/root/testdata/sf0.001"
@@ -307,6 +308,45 @@ def test_agent_asks_another_source_once_and_keeps_what_it_tried(spark):
     assert classic[5].answer == graph.NO_CONTEXT and classic[5].iterations == 1 and all(list(r.sources_tried) == lone for r in classic.values())
 
 
+class Counting(ExtractiveModel):
+    """Writes a line for each prompt to a file of the process."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def generate(self, prompts, temperature=0.0):
+        with open(f"{self.folder}/{os.getpid()}", "a") as f:
+            f.write("".join(f"{len(p)}\n" for p in prompts))
+        return super().generate(prompts, temperature)
+
+
+def test_the_model_is_called_once_for_each_set_of_texts(spark, tmp_path):
+    texts = {1: "alpha beta gamma", 2: "alpha beta enough", 3: "alpha beta down", 4: "other", 5: "nothing here"}
+    questions = spark.createDataFrame([(i, t, "factual") for i, t in texts.items()], "query_id long, question string, question_type string").repartition(3)
+    docs = spark.createDataFrame([(100, "alpha beta delta.")], "doc_id long, text string")
+
+    def find(asked):
+        return asked.where("text like 'alpha%'").withColumn("rank", F.lit(0)).withColumn("score", F.lit(1.0)).drop("text").crossJoin(docs)  # one document
+
+    def calls(name, **options):
+        (tmp_path / name).mkdir()
+        got = graph.answer(questions, find, Counting(str(tmp_path / name)), Judge(), **options)
+        rows = [got.count(), got.count()]  # using the result again asks nothing again
+        return rows[1], sum(len(p.read_text().splitlines()) for p in (tmp_path / name).iterdir())
+
+    assert calls("plain", rounds=1) == (5, 3)
+    rows, made = calls("rewritten")  # questions 4 and 5 never have a context
+    assert rows == 5 and made <= 6
+    rows, made = calls("agent", web=Web(), agentic=True, rounds=1)
+    assert rows == 5 and made == 3 + 3  # question 1 anew, 4 and 5 only with what the other source gave
+    e = Engine(spark, str(tmp_path / "store"), model=ExtractiveModel())
+    e.index(spark.createDataFrame([(1, "alpha beta delta grow.")], "chunk_id long, chunk_text string"), 1)
+    (tmp_path / "engine").mkdir()
+    e.model = Counting(str(tmp_path / "engine"))
+    answered = e.answer(questions, 1, agentic=True, judge=Judge(), web=Web(), rewrite=lambda c: F.concat(F.lit("alpha "), c)).collect()
+    assert len(answered) == 5 and any("internet" in r.sources_tried for r in answered)
+
+
 def test_fetch_records(spark):
     cases = [("x", "c", "a", ["vector_db"]), ("enough", "c", "a", ["vector_db"]), ("down", "", None, ["vector_db", "internet"]), ("broken", "c", "a", ["vector_db"])]
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, question string, context string, answer string, sources_tried array<string>")
