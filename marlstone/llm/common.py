@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,6 +164,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hash(prefix_hash(data), starts, ends), at
 
 
+def binary_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, by XXH3 of the bytes of each distinct word, so that no pattern of letters makes different words equal."""
+    first, end, at = words(data, offsets)
+    ends = np.concatenate(([0], np.cumsum(end - first)))
+    flat = np.ascontiguousarray(data[~_SPACE[data]])
+    encoded = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).dictionary_encode()
+    known = np.fromiter((xxhash.xxh3_64_intdigest(w, BASE & 0xFFFFFFFF) for w in encoded.dictionary.to_pylist()), np.uint64, len(encoded.dictionary))
+    return known[encoded.indices.to_numpy()], at
+
+
 def shingles(hashes: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k-word shingles and each document's first index. A text of 1 to k-1 words has one shingle of all its words."""
     n = at[1:] - at[:-1]
@@ -207,6 +218,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
     return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
 
 
+def wide_row_key(doc_id: str = "doc_id", text: str = "text"):
+    """As ``row_key``, in 128 bits: two hashes of different seeds as one decimal."""
+    part = lambda seed: F.xxhash64(F.lit(seed), F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text)).cast("decimal(19,0)")
+    return (part(1) * F.lit(str(10**19)).cast("decimal(20,0)") + part(2)).cast("decimal(38,0)")
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

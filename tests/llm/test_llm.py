@@ -386,6 +386,15 @@ def test_near_duplicates_of_shared_and_missing_ids(spark):
     assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, a), (1, b), (0, ""), (6, rows[5][1])])
 
 
+def test_texts_made_to_share_a_polynomial_hash_stay_apart(spark):
+    thue = lambda a, b: "".join(a if i.bit_count() % 2 else b for i in range(4096))  # noqa: E731  equal modulo 2**64 for every base
+    texts = [thue("a", "b"), thue("b", "a"), " ".join([thue("c", "d"), words(30, 5)]), " ".join([thue("d", "c"), words(30, 5)]), thue("a", "b")]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r for r in near_dups.near_duplicates(docs).collect()}
+    assert got[0].class_id == got[4].class_id == 0 and got[1].class_id == 1 and got[2].exact_id != got[3].exact_id
+    assert sorted(r.doc_id for r in near_dups.deduplicated(docs).collect()) == [0, 1, *sorted({got[2].class_id, got[3].class_id})]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 7)], "a long, b long")
     assert {r.id: r.component for r in components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
