@@ -9,7 +9,7 @@ Gumbel noise that is fixed by seed and id: one distributed sort by score gives t
 
 Pieces of work follow the input: blocks by bytes, parts of the dictionary by words. A feature is sent once by a block however often it occurs, so no
 frequent word or pair makes a part large, and memory is that of one block or one part of one length. What is sent is sorted and compressed, and lengths of run are done one after
-another, so that only one of them is on disk at a time. The driver sees the buckets' counts and a number of rows for each part of the sort.
+another (the longest, most of which are distinct, in two rounds of half the parts), so that only some of it is on disk at a time. The driver sees the buckets' counts and a number of rows for each part of the sort.
 
 Edge cases: a null or empty text has no words: no features, weight 0, and it is never drawn; a null id hashes as an empty one and comes after
 others at equal scores; repeated rows are documents of their own, with ranks of their own; a document larger than a block is a block. Empty target texts leave t = 0 everywhere; empty documents give an
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import arrays_added, mix, prefix_hash, release, slices, span_hash, stored, table, words, workers_find_package
+from marlstone.llm.common import arrays_added, mix, prefix_hash, slices, span_hash, stored, table, words, workers_find_package
 
 LONGEST, BUCKETS = 3, 10_000
 SEED, LEAST_WORDS, SHARE = 42, 20, (5, 100)
 BLOCK_BYTES = 8 << 20  # of text in a block
 PART_WORDS = 1 << 20  # words of all texts for each part of the dictionary
+SENDINGS = {1: 1, 2: 1, 3: 2}  # for each length of run, in how many rounds parts of the dictionary are filled
 SLAB = 1_000  # buckets that are added up together
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,8 +180,8 @@ def blocks(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("doc_id").cast("long"), "text", "target").mapInArrow(run, "block long, target boolean, doc_ids array<long>, n_words long, ids binary, starts binary, vocabulary binary")
 
 
-def sent(held: DataFrame, n: int, n_parts: int) -> DataFrame:
-    """(part, block, target, strings, counts): each block's distinct runs of n words, for each part of the dictionary."""
+def sent(held: DataFrame, n: int, n_parts: int, wanted: range) -> DataFrame:
+    """(part, block, target, strings, counts): each block's distinct runs of n words, for each of the ``wanted`` parts of the dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,6 +189,7 @@ def sent(held: DataFrame, n: int, n_parts: int) -> DataFrame:
                 block = Block.from_row(*raw)
                 _, _, place, count = block.features(n)
                 order, part = block.parts(place, n, n_parts)
+                order, part = (x[np.searchsorted(part, wanted.start) : np.searchsorted(part, wanted.stop)] for x in (order, part))
                 text, count = block.strings(place[order], n), count[order].astype("<u4")
                 offsets = np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1]
                 flat = np.frombuffer(text.buffers()[2], np.uint8) if len(text) else np.zeros(0, np.uint8)
@@ -296,8 +299,10 @@ def feature_weights(docs: DataFrame, target: DataFrame) -> DataFrame:
     n_parts = max(1, -(-(held.agg(F.sum("n_words")).first()[0] or 0) // PART_WORDS))
     answers: list[DataFrame] = []
     for n in range(1, LONGEST + 1):
-        answers.append(stored(answered(sent(held, n, n_parts))).withColumn("n", F.lit(n)))
-    every = answers[0].unionByName(answers[1]).unionByName(answers[2])
+        ends = [n_parts * k // SENDINGS[n] for k in range(SENDINGS[n] + 1)]
+        for low, high in zip(ends, ends[1:], strict=False):
+            answers.append(stored(answered(sent(held, n, n_parts, range(low, high)))).withColumn("n", F.lit(n)))
+    every = reduce(DataFrame.unionByName, answers)
     slabs = arrays_added(every.where("block is null").select("slab", F.col("buckets").alias("sums")), ["slab"], "<i8").collect()
     by_slab = {slab: np.frombuffer(raw, "<i8").tolist() for slab, raw in slabs}
     zero = [0] * SLAB
