@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import joined, mix, prefix_hash, shingles, row_key, slices, span_hash, stored, table, words, workers_find_package
+from marlstone.llm.common import joined, mix, prefix_hash, released, row_key, shingles, slices, span_hash, stored, table, words, workers_find_package
 
 BUCKETS, CELLS = 1 << 16, 2000
 LABELLERS = ["symbols", "capitals", "echoes", "repeats", "variety", "bars", "word_length", "length"]
@@ -154,7 +154,7 @@ def train(docs: DataFrame, n: int = BUCKETS) -> tuple[np.ndarray, dict[int, floa
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["pattern", "n"])
 
-    seen = docs.select("text").mapInArrow(count_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    seen = docs.select("text").mapInArrow(released(count_votes), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     known = posteriors({r["pattern"]: r["n"] for r in seen})
     soft = np.zeros(3 ** len(LABELLERS), np.int64)
     for k, p in known.items():
@@ -172,7 +172,7 @@ def train(docs: DataFrame, n: int = BUCKETS) -> tuple[np.ndarray, dict[int, floa
         used = np.flatnonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(good[used]), pa.array(1000 * both[used] - good[used])], ["bucket", "good", "bad"])
 
-    sums = docs.select("text").mapInArrow(count_features, "bucket long, good long, bad long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    sums = docs.select("text").mapInArrow(released(count_features), "bucket long, good long, bad long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     good, bad = np.ones(n) * 1000, np.ones(n) * 1000
     for r in sums.collect():  # at most n rows
         good[r["bucket"]] += r["good"]
@@ -198,7 +198,7 @@ def scored(docs: DataFrame, weight: np.ndarray, known: dict[int, float]) -> Data
                 score = pa.array(total // np.maximum(count, 1), mask=count == 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), score, pa.array(soft[pattern(votes(t))])], ["doc_id", "score", "posterior"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score long, posterior long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, score long, posterior long")
 
 
 def best_cut(cells: list[tuple[int, int, int]]) -> int | None:

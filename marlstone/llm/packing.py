@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import stored, table, workers_find_package
+from marlstone.llm.common import released, stored, table, workers_find_package
 from marlstone.llm.tokens import END_OF_TEXT, default_vocabulary, encoded
 
 CAPACITY = 1024
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(held, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(released(run), PIECES + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
