@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import datasets, evaluation, rerank, retrieval
+from marlstone.operators import datasets, evaluation, feedback, rerank, retrieval
 from marlstone.operators.postings import StoredBm25
 from marlstone.plans import graph
 from marlstone.plans.providers import LexicalReranker
@@ -114,6 +114,19 @@ def stored_bm25(spark, d):
     return held.add(docs.where("doc_id % 7 = 3")).search(items(spark, d), 10)
 
 
+@query(f"""WITH {bm25_ctes('SELECT item_id AS query_id, text FROM benchmark')},
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM scores),
+h AS (SELECT query_id, doc_id, score / sum(score) OVER (PARTITION BY query_id) AS share FROM x WHERE place <= 5),
+f AS (SELECT query_id, term, sum(share * tf / dl) AS likely FROM h JOIN p USING (doc_id) GROUP BY 1, 2),
+g AS (SELECT query_id, term, round(likely * idf, 9) AS score FROM f JOIN i USING (term) WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.query_id = f.query_id AND w.term = f.term)),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS place FROM g),
+m AS (SELECT query_id, string_agg(term, ' ' ORDER BY place) AS more FROM z WHERE place <= 10 GROUP BY 1)
+SELECT item_id AS query_id, coalesce(text || ' ' || more, text) AS text FROM benchmark LEFT JOIN m ON query_id = item_id""")
+def feedback_variants(spark, d):
+    """Benchmark items with the terms of their first hits."""
+    return feedback.expanded(items(spark, d), retrieval.Bm25(corpus(spark, d)))
+
+
 ASKED = "SELECT doc_id AS query_id, substr(d.text, 1, 1000) AS text FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE doc_id % 20 = 0"
 LISTS = f"""{bm25_ctes(ASKED)},
 l AS (SELECT query_id, 0 AS list_id, rank, doc_id, score FROM ({dense_sql(COS, 10, "q.vec_id % 20 = 0 AND q.vec_id IN (SELECT doc_id FROM documents)")})
