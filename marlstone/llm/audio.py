@@ -8,9 +8,10 @@ into one 32-bit code. Windows without sound have no code.
 
 Alignment. The filters' sign bits of codes LAGS frames apart make a word, and each of
 MASKS picks KEY_BITS of its bits as a key, so that some key outlasts the errors that a link
-may have (a test asks for 0.9 of the pairs that all offsets would link). Blocks of about BLOCK codes, one at a time, go
-to the tasks, and each recording is compared once with every other that has one of its keys, at
-each offset at which they share one. Pairs that differ too much in the signs of a few codes (FIRST_PROBES), then in more codes (PROBES), away from the
+may have (a test asks for 0.9 of the pairs that all offsets would link). Recordings are dealt by hash to blocks of about BLOCK
+codes; a shuffle sends any two blocks, and each with itself, to one task, which looks up the keys of one block's recordings in the
+other's sorted keys. So each recording is compared once with every other that has one of its keys, at
+each offset at which they share one, and copies of one recording, however many, are spread over all tasks; what is shuffled grows with the codes times the blocks. Pairs that differ too much in the signs of a few codes (FIRST_PROBES), then in more codes (PROBES), away from the
 key are left; the others link if at their best offset at least OVERLAP codes overlap with a
 bit error rate up to ERRORS, counted over all their bits. Links and best alignments are
 counted over all the links found. Recordings with equal codes are one class from the start;
@@ -22,12 +23,13 @@ to share and are found less often.
 
 Edge cases: null, empty or too short audio has no codes and is a class of its own;
 silence likewise; repeated rows share a class; equal votes go to the smaller
-offset; an empty table gives an empty result; extra columns are ignored.
+offset; an empty table gives an empty result; extra columns are ignored. Recordings are told apart by their codes: a row
+without an id links as any other and gets its class, whose id is the smallest that is not null (null if there is none), and different recordings that share an id keep
+their own links (their classes may then have one and the same class id). A best match without an id is null.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -48,7 +50,9 @@ MASKS = tuple(sum(1 << int(b) for b in np.random.default_rng([1, i]).choice(FILT
 FIRST_PROBES, FIRST_ERRORS, FIRST_SLACK = (-36, -18, 37, 55), 0.36, 2  # of four codes
 PROBES, PROBE_ERRORS = range(-64, 64, 8), 0.3
 PAD = 64  # silent codes between recordings, so that lags and probes do not leave theirs
-BLOCK = 1 << 21  # codes of a block, whose sorted keys each task holds
+BLOCK = 1 << 20  # codes of a block, of which a task holds one with its sorted keys
+LEAST_BLOCKS = 8  # so that small tables are compared by several tasks, too
+MOST_TASKS = 1 << 15
 PIECE = 1 << 18  # rows of hits or codes compared at a time
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
@@ -252,18 +256,7 @@ def alignments(mine: Laid, block: Laid, found: np.ndarray, errors: float, overla
 
 
 LINKED = "id long, n_links long, other long, offset int, bit_errors int, bits int"
-
-
-_block: list = []  # the last block of this worker: its name, recordings and sorted keys, for the next task on it
-
-
-def laid_block(name: str, held: pa.Table) -> tuple[Laid, list[tuple[np.ndarray, np.ndarray]]]:
-    if not _block or _block[0] != name:
-        _block.clear()
-        whole = held.combine_chunks()
-        block = Laid(*(whole.column(c).chunk(0) if c else whole.column(c).to_numpy() for c in range(3)))
-        _block.extend((name, block, list(block.tables())))
-    return _block[1], _block[2]
+NAMES = [f.split()[0] for f in LINKED.split(", ")]
 
 
 class Best:
@@ -289,62 +282,92 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-def aligned(prints: DataFrame, errors: float = ERRORS, overlap: int = OVERLAP, group: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Of (id, codes, sound): links (a, b) that join all linked recordings into components, and (id, n_links, best_match,
-    best_offset, bit_errors, bits) of each recording that has links, over all of them."""
+def dealt(prints: DataFrame) -> DataFrame:
+    """``prints`` (id, codes, sound) dealt to tasks: any two blocks x <= y of recordings, and each block with itself, meet in one
+    task, where the rows of y come first."""
     total = prints.agg(F.sum(F.size("codes"))).first()[0] or 0
-    blocks = -(-total // BLOCK)
-    numbered = prints.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))))
-    names = [f.split()[0] for f in LINKED.split(", ")]
-
-    def block_links(held: pa.Table, number: int) -> DataFrame:
-        name = f"{uuid.uuid4()} {number}"
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block, tables = laid_block(name, held)
-            theirs = Best(block.ids)
-            parent: dict[int, int] = {}
-
-            def root(i: int) -> int:
-                while parent.setdefault(i, i) != i:
-                    parent[i] = i = parent[parent[i]]
-                return i
-
-            def compared(part: pa.RecordBatch, same: bool) -> Iterator[pa.RecordBatch]:
-                mine = Laid(part.column(0).to_numpy(), part.column(1), part.column(2))
-                i, j, offset, wrong, bits = alignments(mine, block, candidates(mine, block, tables, same), errors, overlap).T
-                a, b = mine.ids[i], block.ids[j]
-                ours = Best(mine.ids)
-                ours.add(i, b, offset, wrong, bits)
-                theirs.add(j, a, -offset, wrong, bits)
-                yield ours.batch(names)
-                joins = []
-                for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    p, q = root(x), root(y)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        joins.append((x, y))  # joins two components
-                none = pa.nulls(len(joins), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in joins], pa.int64()), pa.array([0] * len(joins), pa.int64()), pa.array([y for _, y in joins], pa.int64()), none, none, none], names)
-
-            for batch in batches:
-                own = batch.column(3).to_numpy()
-                for same in (True, False):
-                    rows = batch.filter(pa.array(own == number if same else own > number))
-                    for s in range(0, rows.num_rows, group):
-                        yield from compared(rows.slice(s, group), same)
-            yield theirs.batch(names)
-
-        return numbered.where(F.col("block") >= number).select("id", "codes", "sound", "block").mapInArrow(run, LINKED)
-
-    parts = []
-    for n in range(blocks):
-        held = numbered.where(F.col("block") == n).select("id", "codes", "sound").toArrow()  # about BLOCK codes
-        if held.num_rows:
-            parts.append(stored(block_links(held, n)))
-    rows = parts[0] if parts else prints.sparkSession.createDataFrame([], LINKED)
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    blocks = max(-(-total // BLOCK), LEAST_BLOCKS)
+    numbered = prints.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    meeting = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
+    rows = numbered.withColumn("m", F.explode(meeting)).select("m.x", "m.y", "block", "id", "codes", "sound")
+    tasks = min(blocks * (blocks + 1) // 2, MOST_TASKS)
+    number = F.pmod(F.expr("y * (y + 1) div 2 + x"), F.lit(tasks)).cast("int")
+    return rows.repartitionById(tasks, number).sortWithinPartitions("x", "y", F.desc("block"))
+
+
+class Meeting:
+    """Recordings of two blocks, or of one: links by recording, and those that join what is not joined yet."""
+
+    def __init__(self, held: list[pa.RecordBatch], errors: float, overlap: int) -> None:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        self.rows, self.errors, self.overlap = whole.to_batches()[0], errors, overlap
+        self.block = self.laid(self.rows)
+        self.tables, self.theirs = list(self.block.tables()), Best(self.block.ids)
+        self.parent: dict[int, int] = {}
+
+    @staticmethod
+    def laid(rows: pa.RecordBatch) -> Laid:
+        return Laid(rows.column(3).to_numpy(), rows.column(4), rows.column(5))
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent.setdefault(i, i) != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def compared(self, rows: pa.RecordBatch, same: bool, group: int) -> Iterator[pa.RecordBatch]:
+        for s in range(0, rows.num_rows, group):
+            mine = self.laid(rows.slice(s, group))
+            i, j, offset, wrong, bits = alignments(mine, self.block, candidates(mine, self.block, self.tables, same), self.errors, self.overlap).T
+            a, b = mine.ids[i], self.block.ids[j]
+            ours = Best(mine.ids)
+            ours.add(i, b, offset, wrong, bits)
+            self.theirs.add(j, a, -offset, wrong, bits)
+            yield ours.batch(NAMES)
+            joins = []
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                p, q = self.root(x), self.root(y)
+                if p != q:
+                    self.parent[max(p, q)] = min(p, q)
+                    joins.append((x, y))
+            none = pa.nulls(len(joins), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in joins], pa.int64()), pa.array([0] * len(joins), pa.int64()), pa.array([y for _, y in joins], pa.int64()), none, none, none], NAMES)
+
+
+def aligned(prints: DataFrame, errors: float = ERRORS, overlap: int = OVERLAP, group: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Of (id, codes, sound) with distinct ids that are not null: links (a, b) that join all linked recordings into components, and
+    (id, n_links, best_match, best_offset, bit_errors, bits) of each recording that has links, over all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, meeting = [], None, None
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            """The meeting that is on, or the one of a block with itself whose rows are held, ends."""
+            if now is None:
+                return
+            if now[0] == now[1]:
+                alone = Meeting(held, errors, overlap)
+                yield from alone.compared(alone.rows, True, group)
+                yield alone.theirs.batch(NAMES)
+            elif meeting is not None:
+                yield meeting.theirs.batch(NAMES)
+
+        for batch in batches:
+            x, y, block = (batch.column(c).to_numpy() for c in range(3))
+            cut = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (block[1:] != block[:-1])) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                if (int(x[s]), int(y[s])) != now:
+                    yield from ended()
+                    held, now, meeting = [], (int(x[s]), int(y[s])), None
+                part = batch.slice(s, e - s)
+                if int(block[s]) == now[1]:
+                    held.append(part)
+                elif held:  # none of y: nothing to meet
+                    meeting = meeting or Meeting(held, errors, overlap)
+                    yield from meeting.compared(part, False, group)
+        yield from ended()
+
+    rows = stored(dealt(prints).mapInArrow(run, LINKED))
     joins = rows.where("n_links = 0").select(F.col("id").alias("a"), F.col("other").alias("b"))
     first = F.min(F.when(F.col("n_links") > 0, F.struct((F.col("bit_errors") / F.col("bits")).alias("rate"), "other", "offset", "bit_errors", "bits")))
     best = rows.where("n_links > 0").groupBy("id").agg(F.sum("n_links").alias("n_links"), first.alias("x"))
@@ -353,18 +376,25 @@ def aligned(prints: DataFrame, errors: float = ERRORS, overlap: int = OVERLAP, g
 
 def recordings(rows: DataFrame, samples: Callable | None = None) -> DataFrame:
     """A row for each recording: its fingerprint's size and checksum, class, links and best alignment."""
-    prints = stored(fingerprints(rows, samples))
-    key = F.when(F.exists("sound", lambda s: s), F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256)).otherwise(F.concat(F.lit("id "), F.col("id").cast("string")))
-    keyed = stored(prints.select("id", "n_frames", F.size("codes").alias("n_codes"), "crc", key.alias("same")))
-    same = keyed.groupBy("same").agg(F.min("id").alias("exact_id"))
-    firsts = stored(prints.join(same.select(F.col("exact_id").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "codes", "sound"))
-    joins, best = aligned(firsts)
-    classes = components(joins)
-    release(prints, firsts)
-    best = best.withColumnRenamed("id", "exact_id")
-    out = keyed.join(same, "same").join(classes.withColumnRenamed("id", "exact_id"), "exact_id", "left")
-    out = out.join(best, "exact_id", "left")
-    return out.select("id", "n_frames", "n_codes", "crc", "exact_id", F.coalesce("component", "exact_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "best_match", "best_offset", "bit_errors", "bits")
+    key = F.when(F.exists("sound", lambda s: s), F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256))
+    prints = stored(fingerprints(rows, samples).withColumn("same", key))
+    keyed = stored(prints.select("id", "n_frames", F.size("codes").alias("n_codes"), "crc", "same"))
+    nodes = prints.where("same is not null").groupBy("same").agg(F.min("id").alias("exact_id"), F.first(F.struct("codes", "sound")).alias("first"))
+    nodes = nodes.repartitionByRange("exact_id", "same").sortWithinPartitions("exact_id", "same")  # numbers in the order of ids
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "exact_id", "first.codes", "first.sound"))
+    release(prints)
+    joins, best = aligned(nodes.select(F.col("node").alias("id"), "codes", "sound"))
+    parts = components(joins).withColumnRenamed("id", "node")
+    named = nodes.select("node", "same", "exact_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("exact_id").alias("class_id"))
+    match = nodes.select(F.col("node").alias("best_match"), F.col("exact_id").alias("match_id"))
+    best = best.join(match, "best_match").select(F.col("id").alias("node"), "n_links", F.col("match_id").alias("best_match"), "best_offset", "bit_errors", "bits")
+    named = stored(named.join(least, "component").join(best, "node", "left").select("same", "exact_id", "class_id", "n_links", "best_match", "best_offset", "bit_errors", "bits"))
+    release(nodes)
+    out = keyed.join(named, "same", "left")
+    silent = F.col("same").isNull()
+    own = lambda c: F.when(silent, F.col("id")).otherwise(F.col(c)).alias(c)
+    return out.select("id", "n_frames", "n_codes", "crc", own("exact_id"), own("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "best_match", "best_offset", "bit_errors", "bits")
 
 
 NOTE, LEADS = 256, 5

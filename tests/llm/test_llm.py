@@ -591,6 +591,32 @@ def test_links_within_the_error_limit_are_found(spark, noise):
     assert sum(links.values()) >= 0.9 * 2 * len(want)
 
 
+def test_recordings_without_an_id_and_with_one_id(spark):
+    r = np.random.default_rng(3)
+    a, b, c = r.standard_normal((3, 64))
+    near = lambda v: v + 0.05 * r.standard_normal(64)
+    rows = [(None, a), (7, near(a)), (None, b), (None, near(b)), (5, a), (5, c), (5, c), (9, near(c)), (None, np.zeros(64))]
+    sounds = [x for _, x in pcm_rows(dict(enumerate(v for _, v in rows)))]
+    data = [(i, x) for (i, _), x in zip(rows, sounds, strict=True)] + [(None, None)]
+    got = audio.recordings(spark.createDataFrame(data, "id long, audio binary")).collect()
+    of = {(x.id, x.crc): x for x in got}
+    assert len(got) == len(data)
+    crc = [zlib.crc32(audio.codes(audio.chroma(np.frombuffer(x, "<i2").astype(np.float32) / 32768))[0].astype("<u4")) for x in sounds]
+    of_row = [of[i, k] for (i, _), k in zip(rows, crc, strict=True)]
+    assert [(x.exact_id, x.class_id, x.n_links, x.best_match) for x in of_row[:8]] == [
+        (5, 5, 1, 7), (7, 5, 1, 5), (None, None, 1, None), (None, None, 1, None), (5, 5, 1, 7), (5, 5, 1, 9), (5, 5, 1, 9), (9, 5, 1, 5)]
+    assert sum(x.n_links == 0 and x.class_id is None for x in got) == 2  # silence and null audio
+
+
+def test_each_pair_of_blocks_meets_once(spark):
+    rows = spark.range(200).select("id", F.array_repeat(F.lit(1), 30).alias("codes"), F.array_repeat(F.lit(True), 30).alias("sound"))
+    met = audio.dealt(rows).select("x", "y", "block", "id", F.spark_partition_id().alias("task")).collect()
+    assert len(met) == 200 * audio.LEAST_BLOCKS
+    assert all(len({m.task for m in met if (m.x, m.y) == pair}) == 1 for pair in {(m.x, m.y) for m in met})
+    of = {m.id: m.block for m in met}
+    assert collections.Counter((m.id, m.x, m.y) for m in met) == collections.Counter((i, min(k, own), max(k, own)) for i, own in of.items() for k in range(audio.LEAST_BLOCKS))
+
+
 def test_integral_image_filters():
     image = np.random.default_rng(0).random((30, 12))
     packed, heard = audio.codes(image)
