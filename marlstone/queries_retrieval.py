@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import datasets, evaluation, feedback, rerank, retrieval
+from marlstone.operators import datasets, evaluation, feedback, learned, rerank, retrieval
 from marlstone.operators.postings import StoredBm25
 from marlstone.plans import graph
 from marlstone.plans.providers import LexicalReranker
 from marlstone.queries_text import TOKENS, query, sql_any, table
 from marlstone.functions import text as T
-from marlstone.session import kept_folder
+from marlstone.session import kept, kept_folder
 from marlstone.sources import store
 from marlstone.sources.proximity import ProximityIndex
 
@@ -198,6 +198,37 @@ def reranked_search(spark, d):
     return retrieval.advanced(q, corpus(spark, d), vectors(spark, d), 5, again).drop("text")
 
 
+def known_items(spark, d):
+    """A question of three runs of two words out of each document whose id is divisible by 20."""
+    words = corpus(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text", T.bm25_tokens(F.col("text")).alias("ts")).where("size(ts) > 1")
+    place = "cast(pmod(query_id div 20 + i * 7919, size(ts) - 1) as int)"
+    return words.select("query_id", F.expr(f"array_join(flatten(transform(sequence(0, 2), i -> slice(ts, {place} + 1, 2))), ' ')").alias("query"), "text")
+
+
+def known_item_lists(spark, d):
+    """(questions, candidates, relevant documents, index): 20 documents a question by the fused lists of its words and of its expansion; relevant are all with its document's text."""
+    asked, docs = known_items(spark, d), corpus(spark, d)
+    index = retrieval.Bm25(docs)
+    plain = asked.select("query_id", F.col("query").alias("text"))
+    lists = index.search(plain, 20).withColumn("list_id", F.lit(0)).unionByName(index.search(feedback.expanded(plain, index), 20).withColumn("list_id", F.lit(1)))
+    fused = retrieval.rrf(lists.join(docs.where("doc_id is not null"), "doc_id"), top_k=20)
+    same = F.sha2("text", 256).alias("same")
+    relevant = docs.select("doc_id", same).join(asked.select("query_id", same), "same").select("query_id", "doc_id")
+    return asked.select("query_id", "query"), kept(fused), relevant, index
+
+
+@query()
+def learned_reranking(spark, d):
+    """The reranker trained on every other known-item question, on the rest: five documents each, their former places, and whether they are relevant."""
+    asked, found, relevant, index = known_item_lists(spark, d)
+    model = learned.LearnedReranker.trained(asked.where("query_id % 40 = 0"), found.where("query_id % 40 = 0"), relevant, index)
+    ranked = model(asked.where("query_id % 40 = 20"), found.where("query_id % 40 = 20"), 5).drop("text", "source")
+    before = found.select("query_id", "doc_id", F.col("rank").alias("fused_rank"))
+    good = relevant.distinct().withColumn("relevant", F.lit(True))
+    out = ranked.join(before, ["query_id", "doc_id"]).join(good, ["query_id", "doc_id"], "left")
+    return out.withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+
+
 @query(f"""WITH r AS ({dense_sql(COS, 5)}), g AS (SELECT query_id, round(max(score), 6) AS max_score, round(avg(score), 6) AS mean_score FROM r GROUP BY 1)
 SELECT *, max_score < 0.5 OR mean_score < 0.3 AS abstain FROM g""")
 def relevance_gate(spark, d):
