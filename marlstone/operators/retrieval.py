@@ -24,6 +24,7 @@ DIGITS = 6  # scores are compared after rounding, so that ranks do not hang on s
 QUERY_BLOCK = 1024
 PIECE_BYTES, BROADCAST_BYTES, HELD_BLOCKS = 1 << 20, 1 << 26, 64
 BROADCAST_TERMS, SALTS = 1_000_000, 16
+QUERIES = 256  # whose best scores are picked at a time
 SCORES = 1 << 22  # of documents times queries that a task holds at a time
 
 
@@ -182,8 +183,13 @@ class Bm25:
                     for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                         w = slice(begin[term[x]], begin[term[x] + 1])
                         score[np.ix_(doc[x:y], of_query[w])] += part[x:y, None] * weight[None, w]
-                    score = np.round(score, DIGITS)
-                    r, c = np.nonzero((score > 0) & (score >= floor[None, :]))
+                    np.round(score, DIGITS, out=score)
+                    good = (score > 0) & (score >= floor[None, :])
+                    if np.count_nonzero(good) > 4 * k * len(asked) and len(score) > k:  # most do not last: none below the k-th of these documents does
+                        for x in range(0, len(asked), QUERIES):
+                            some = slice(x, x + QUERIES)
+                            good[:, some] &= score[:, some] >= np.partition(score[:, some], len(score) - k, axis=0)[len(score) - k]
+                    r, c = np.nonzero(good)
                     q, d, s = np.concatenate((q, c)), np.concatenate((d, ids.to_numpy(zero_copy_only=False)[r])), np.concatenate((s, score[r, c]))
                     order = np.lexsort((d, -s, q))
                     q, d, s = q[order], d[order], s[order]
