@@ -156,6 +156,10 @@ def test_html():
     assert main_text("<p>plain") == "plain"
 
 
+def test_references_without_semicolon_are_text():
+    assert main_text("<article><h1>one&amp;&amp</h1>&lt;x&gt &ampcopy; &#39;&#39 &nosuch; &copy;&am</article>") == "one&&amp\n<x&gt &ampcopy; '&#39 &nosuch; ©&am"
+
+
 def test_providers():
     keys = KeyRing(["a", "", "b"])
     assert (keys.current(), keys.advance(), keys.advance()) == ("a", "b", None)
