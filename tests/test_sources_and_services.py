@@ -180,6 +180,34 @@ def test_bm25_paths_agree(spark, monkeypatch, tmp_path):
     assert got() == want
 
 
+@pytest.mark.parametrize(("share", "added", "scores", "terms"), [(0.0, 1, 64, 40), (2.0, 5, 1 << 22, 40), (0.05, 3, 100, 10**6)])
+def test_bm25_in_rounds_with_dense_and_other_words(spark, monkeypatch, share, added, scores, terms):
+    """Any mix of dense words, added postings, slices and rounds gives the plain scores; what is sent at once is bounded by the round."""
+    import math
+    from collections import Counter
+
+    r = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{x}" for x in r.zipf(1.3, 25) % 90) for i in range(150)} | {150: None, 151: ""}
+    asked = {i: texts[i] for i in range(0, 60, 5)}
+    words = {i: (t or "").split() for i, t in texts.items()}
+    df, n, mean = Counter(w for ws in words.values() for w in set(ws)), len(words), sum(map(len, words.values())) / len(words)
+    raw = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    part = lambda tf, dl: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))
+    want = []
+    for q, text in asked.items():
+        own = {d: round(sum(c * idf[w] * part(ws.count(w), len(ws)) for w, c in Counter(text.split()).items() if w in ws), 6) for d, ws in words.items()}
+        want += [(q, d, k) for k, (d, s) in enumerate(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:7]) if s > 0]
+    for name, value in (("DENSE_SHARE", share), ("ADDED", added), ("SCORES", scores), ("BROADCAST_TERMS", terms)):
+        monkeypatch.setattr(retrieval, name, value)
+    sent, ask = [], retrieval.Bm25._by_lookup
+    monkeypatch.setattr(retrieval.Bm25, "_by_lookup", lambda self, weights, k: sent.append(weights.count()) or ask(self, weights, k))
+    frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} long, text string").repartition(2)
+    got = retrieval.Bm25(frame(texts, "doc_id")).search(frame(asked, "query_id"), 7)
+    assert sorted((x.query_id, x.doc_id, x.rank) for x in got.collect()) == sorted(want)
+    assert len(sent) == (1 if terms == 10**6 else -(-sum(sent) // terms)) and sum(sent) > 100
+
+
 # --- hosted services ---
 
 
