@@ -22,6 +22,7 @@ from marlstone.functions.text import heading, language_hint, stripped, text_hash
 SIZE, OVERLAP, LEAST = 700, 200, 60
 HYBRID = {"size": 512, "overlap": 64}
 API = {"size": 100, "overlap": 20}
+PIECES_BYTES = 4 << 20  # of chunks, with what they repeat of their rows, that a task makes at a time
 # --- Fixed values: sentence and break patterns ---
 ARABIC_END = re.compile(r"(?<=[.!?؟،۔])\s+")
 ENGLISH_END = re.compile(r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<!Mr\.)(?<!Mrs\.)(?<!Dr\.)(?<!Prof\.)(?<!Inc\.)(?<!Ltd\.)(?<!Co\.)(?<!Corp\.)(?<!vs\.)(?<!etc\.)(?<=\.|\?|!)\s+")
@@ -108,16 +109,28 @@ def pieces(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, with_image
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_text", T.StringType())])
     shown = keep.index("images") if with_images else None
 
+    def made(batch: pa.RecordBatch, found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        rows, places, texts = zip(*found, strict=True)
+        arrays = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(keep))]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(places, pa.int32()), pa.array(texts, pa.string())], [*keep, "chunk_index", "chunk_text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, languages = (batch.column(len(keep) + k).to_pylist() for k in (0, 1))
-            if with_images:
-                texts = [merged(t, i or []) for t, i in zip(texts, batch.column(shown).to_pylist(), strict=True)]
-            parts = [packed(sentences(t, lang), size, overlap) if t.strip() else [] for t, lang in zip(texts, languages, strict=True)]
-            rows = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
-            arrays = [batch.column(k).take(rows) for k in range(len(keep))]
-            arrays += [pa.array([k for p in parts for k in range(len(p))], pa.int32()), pa.array([x for p in parts for x in p], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "chunk_index", "chunk_text"])
+            found: list[tuple[int, int, str]] = []
+            held = 0
+            for i in range(batch.num_rows):
+                text, language = (batch.column(len(keep) + k)[i].as_py() for k in (0, 1))
+                if with_images:
+                    text = merged(text, batch.column(shown)[i].as_py() or [])
+                beside = batch.slice(i, 1).nbytes  # each chunk repeats its row's other columns
+                for place, part in enumerate(packed(sentences(text, language), size, overlap) if text.strip() else []):
+                    found.append((i, place, part))
+                    held += beside + len(part)
+                    if held >= PIECES_BYTES:
+                        yield made(batch, found)
+                        found, held = [], 0
+            if found:
+                yield made(batch, found)
 
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce("language", F.lit("english")).alias("_language"))
     return rows.mapInArrow(run, schema)

@@ -2,11 +2,15 @@
 
 import hashlib
 import os
+import random
 import re
+import unicodedata
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from marlstone import registry
+from marlstone import queries_text, registry
 from marlstone.functions import text as T
 from marlstone.operators import chunking
 
@@ -124,3 +128,20 @@ def test_fallback_chunks_of_all_documents(spark):
     odd = ["", " ", "a", "x" * 250, "a\n\nb", "one two " * 40, "p1 " * 30 + "\n\n" + "q" * 120 + "\nlast", "\n\n\n\n", "ab\n\n" * 60, "a" * 99 + " " + "b" * 100]
     assert [chunking.recursive_split(t, 100, 20) for t in odd] == [plain_fallback(t, 100, 20) for t in odd]
     assert max(map(len, got.values())) <= 100 and T.HEADING
+
+
+def test_chunks_are_made_in_batches_of_bounded_size(spark, monkeypatch):
+    """Chunks repeat the images of their page; a page of many chunks and long images leaves its task in several batches."""
+    caught = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, schema: caught.append((run, self.columns)))
+    docs = spark.createDataFrame([], "seq long, text string, language string, images array<struct<image_index:int,image_text:string,source_type:string>>")
+    chunking.pieces(docs, 512, 64, with_images=True)
+    ((run, columns),) = caught
+    text = " ".join(f"Sentence {i} has a few words more." for i in range(20_000))
+    image = [{"image_index": 1, "image_text": "words " * 20_000, "source_type": "x"}]
+    batch = pa.RecordBatch.from_pydict({"seq": [1, 2], "language": ["english"] * 2, "images": [image, []], "_text": [text, "Short text of one chunk."], "_language": ["english"] * 2}).select(columns)
+    out = list(run(iter([batch])))
+    assert max(b.nbytes for b in out) < 2 * chunking.PIECES_BYTES
+    rows = [r for b in out for r in b.select(["seq", "chunk_index", "chunk_text"]).to_pylist()]
+    want = chunking.packed(chunking.sentences(chunking.merged(text, image), "english"), 512, 64)
+    assert len(want) > 1000 and [r["chunk_text"] for r in rows if r["seq"] == 1] == want and [r["chunk_index"] for r in rows] == [*range(len(want)), 0]
