@@ -25,7 +25,7 @@ API = {"size": 100, "overlap": 20}
 PIECES_BYTES = 4 << 20  # of chunks, with what they repeat of their rows, that a task makes at a time
 # --- Fixed values: sentence and break patterns ---
 ARABIC_END = re.compile(r"(?<=[.!?؟،۔])\s+")
-ENGLISH_END = re.compile(r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<!Mr\.)(?<!Mrs\.)(?<!Dr\.)(?<!Prof\.)(?<!Inc\.)(?<!Ltd\.)(?<!Co\.)(?<!Corp\.)(?<!vs\.)(?<!etc\.)(?<=\.|\?|!)\s+")
+ENGLISH_END = re.compile(r"(?<=[.?!])(?=\s)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<!Mr\.)(?<!Mrs\.)(?<!Dr\.)(?<!Prof\.)(?<!Inc\.)(?<!Ltd\.)(?<!Co\.)(?<!Corp\.)(?<!vs\.)(?<!etc\.)\s+")  # what rules out most places comes first
 ABBREVIATION = re.compile(r"^[A-Z][a-z]*\.$")
 SOFT_BREAK = re.compile(r"[,;:،؛]\s+")
 STOPS = ".!?؟۔"
