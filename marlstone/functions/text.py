@@ -13,6 +13,7 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 ARABIC, LATIN = r"[؀-ۿ]", r"[A-Za-z]"
 ARABIC_ABOVE, ENGLISH_BELOW = 0.65, 0.25
 IMAGE_ONLY_BELOW = 20
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"  # Unicode's White_Space
 TOKEN = r"(?U)[\w؀-ۿ]{2,}+"
 DOMAINS = {
     "IoT and Technology": ["iot", "internet of things", "sensor", "device"],
@@ -48,7 +49,7 @@ NUMBER, PROPER = r"\d+(?:\.\d+)?", r"\b[A-Z][a-z]+\b"
 
 def stripped(c: Column) -> Column:
     """Without white space (as Unicode has it) at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 @pandas_udf(StringType())

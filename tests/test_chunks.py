@@ -155,3 +155,12 @@ def test_english_ends_look_for_an_end_mark_first():
         text = "".join(r.choice(["Mr.", "etc.", "a.b.", "Ab.", "word", "!", "?", ".", " ", "  ", "\n", "\u3000", "X"]) for _ in range(r.randrange(30)))
         assert chunking.ENGLISH_END.split(text) == former.split(text)
     assert chunking.ENGLISH_END.pattern.startswith("(?<=[.?!])")
+
+
+def test_stripping_needs_no_pattern(spark):
+    """Every white space of Unicode goes at both ends and stays inside; the text is not searched for it."""
+    assert "regexp" not in str(T.stripped(F.col("text")))
+    spaces = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and i and (chr(i) == "\x85" or i in (9, 10, 11, 12, 13) or unicodedata.category(chr(i)) in ("Zs", "Zl", "Zp"))]
+    rows = [(f"{c}{c} a{c}b \n{c}", f"a{c}b") for c in spaces] + [(f"{c}a{c}", f"{c}a{c}") for c in "\x1c\u200b\ufeff"] + [(" \n\u3000", ""), (None, None)]
+    frame = spark.createDataFrame(rows, "text string, want string")
+    assert frame.where(~T.stripped(F.col("text")).eqNullSafe(F.col("want"))).count() == 0 and len(spaces) == 25
