@@ -164,3 +164,14 @@ def test_stripping_needs_no_pattern(spark):
     rows = [(f"{c}{c} a{c}b \n{c}", f"a{c}b") for c in spaces] + [(f"{c}a{c}", f"{c}a{c}") for c in "\x1c\u200b\ufeff"] + [(" \n\u3000", ""), (None, None)]
     frame = spark.createDataFrame(rows, "text string, want string")
     assert frame.where(~T.stripped(F.col("text")).eqNullSafe(F.col("want"))).count() == 0 and len(spaces) == 25
+
+
+def test_tables_of_queries_are_read_in_small_arrow_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    queries_text.table(spark, DATA, "documents")
+    assert int(spark.conf.get(key)) == 4 << 20
+    spark.conf.set(key, "1000000")  # the session's own word counts
+    queries_text.table(spark, DATA, "documents")
+    assert spark.conf.get(key) == "1000000"
+    spark.conf.unset(key)
