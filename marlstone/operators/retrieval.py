@@ -93,11 +93,16 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
                 names, q = rows.field("query_id").to_numpy(), rows.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
                 if number not in best and len(best) == HELD_BLOCKS:
                     yield found()
-                names, s, d = best.get(number, (names, np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)))
-                s = np.concatenate((s, np.round(scores(q, v, metric), DIGITS)), axis=1)
-                d = np.concatenate((d, np.broadcast_to(ids, (len(names), len(ids)))), axis=1)
-                order = np.lexsort((d, -s), axis=1)[:, :k]
-                best[number] = names, np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+                names, was_s, was_d = best.get(number, (names, np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)))
+                kept_s, kept_d = [], []
+                for x in range(0, len(names), QUERIES):  # a piece's scores of so many queries are held and sorted at a time
+                    some = slice(x, x + QUERIES)
+                    s = np.concatenate((was_s[some], np.round(scores(q[some], v, metric), DIGITS)), axis=1)
+                    d = np.concatenate((was_d[some], np.broadcast_to(ids, (len(s), len(ids)))), axis=1)
+                    order = np.lexsort((d, -s), axis=1)[:, :k]
+                    kept_s.append(np.take_along_axis(s, order, 1))
+                    kept_d.append(np.take_along_axis(d, order, 1))
+                best[number] = names, np.concatenate(kept_s), np.concatenate(kept_d)
         if best:
             yield found()
 
