@@ -36,6 +36,7 @@ SEED, LEAST_WORDS, SHARE = 42, 20, (5, 100)
 BLOCK_BYTES = 8 << 20  # of text in a block
 PART_WORDS = 1 << 20  # words of all texts for each part of the dictionary
 SENDINGS = {1: 1, 2: 1, 3: 2}  # for each length of run, in how many rounds parts of the dictionary are filled
+CRC_ROWS = 1 << 16
 SLAB = 1_000  # buckets that are added up together
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,7 +57,9 @@ _CRC = _crc_table()
 
 
 def crc32(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """CRC-32 of each data[start:end]: a step takes the next byte of all that still have one."""
+    """CRC-32 of each data[start:end]: a step takes the next byte of all, of as many as the processor's cache holds, that still have one."""
+    if len(start) > CRC_ROWS:
+        return np.concatenate([crc32(data, start[i : i + CRC_ROWS], end[i : i + CRC_ROWS]) for i in range(0, len(start), CRC_ROWS)])
     out = np.full(len(start), 0xFFFFFFFF, np.uint32)
     order = np.argsort(start - end, kind="stable")  # longest first
     at, reg, length = start[order], out[order], (end - start)[order]
@@ -67,6 +70,27 @@ def crc32(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def grouped(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their keys (0 <= key < width) and, for each position in that order, whether a new key begins; equal keys stay in the order of their positions."""
+    bits = len(key).bit_length()
+    if width < 1 << 62 - bits:  # key and position fit in one number, and numbers sort much faster than positions by their keys
+        both = np.sort(key << bits | np.arange(len(key)))
+        order, key = both & (1 << bits) - 1, both >> bits
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return order, new
+
+
+def numbered(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each position the rank of its key, from what ``grouped`` gives."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
 def packed(x: bytes | np.ndarray) -> bytes:
     """Compressed bytes; numbers are split into planes of equal rank, of which the high ones are mostly zero."""
     raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if isinstance(x, np.ndarray) and len(x) else bytes(x)
@@ -118,12 +142,14 @@ class Block:
         v = max(len(self.vocabulary), 1)
         key, width = self.ids[at], v
         for j in range(1, n):
-            if width > (1 << 62) // v:  # ranks of what there is need fewer bits
-                distinct, key = np.unique(key, return_inverse=True)
-                width = len(distinct)
+            if width > (1 << 61 - len(at).bit_length()) // v:  # ranks of what there is need fewer bits
+                key = numbered(*(found := grouped(key, width)))
+                width = max(int(found[1].sum()), 1)
             key, width = key * v + self.ids[at + j], width * v
-        _, first, which, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        return np.cumsum(np.maximum(np.diff(self.start) - n + 1, 0)), which, at[first], count
+        order, new = grouped(key, width)
+        begin = np.flatnonzero(new)
+        count = np.diff(begin, append=len(order))
+        return np.cumsum(np.maximum(np.diff(self.start) - n + 1, 0)), numbered(order, new), at[order[begin]], count
 
     def parts(self, place: np.ndarray, n: int, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct features in the order of the dictionary's parts, and the parts; a part depends on the feature's words only."""
@@ -133,9 +159,9 @@ class Block:
         h = np.zeros(len(place), np.uint64)
         for j in range(n):
             h = mix(h + word[self.ids[place + j]] + GOLDEN)
-        part = (h % np.uint64(n_parts)).astype(np.int64)
+        part = (h % np.uint64(n_parts)).astype(np.uint16 if n_parts <= 1 << 16 else np.int64)  # short numbers are sorted by their digits
         order = np.argsort(part, kind="stable")
-        return order, part[order]
+        return order, part[order].astype(np.int64)
 
     def strings(self, place: np.ndarray, n: int) -> pa.Array:
         """Features as words joined by a space, with a line's end."""

@@ -245,3 +245,30 @@ def test_checksums_and_wide_vocabularies():
     for a, b in zip(narrow.features(3), wide.features(3), strict=True):
         assert (a == b).all()
     assert importance.unpacked(importance.packed(np.arange(5, dtype="<u4")), "<u4").tolist() == [0, 1, 2, 3, 4] and not len(importance.unpacked(importance.packed(np.zeros(0, "<u4")), "<u4"))
+
+
+def test_keys_are_grouped_by_one_sort_of_numbers(monkeypatch):
+    r = np.random.default_rng(2)
+    for n, width in ((0, 1), (1, 1), (5000, 300), (5000, 1 << 40), (5000, 1 << 61)):
+        key = r.integers(0, width, n) // max(width >> 9, 1) * max(width >> 9, 1)
+        order, new = importance.grouped(key, width)
+        distinct, first, which, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        begin = np.flatnonzero(new)
+        assert (key[order[begin]] == distinct).all() and (order[begin] == first).all()
+        assert (np.diff(begin, append=n) == count).all() and (importance.numbered(order, new) == which).all()
+    # Runs of three words of a usual block need no sort of positions by their keys, and checksums no more rows at a time than the cache holds.
+    def slow(*a, **b):
+        raise AssertionError("positions were sorted by their keys")
+
+    ids = r.integers(0, 150_000, 100_000)
+    block = importance.Block(ids, np.array([0, 40_000, 100_000]), [None] * 150_000)
+    wanted = np.unique(np.stack([ids[np.r_[0:39_998, 40_000:99_998] + j] for j in range(3)], 1), axis=0)
+    monkeypatch.setattr(importance.np, "argsort", slow)
+    monkeypatch.setattr(importance.np, "unique", slow)
+    _, which, place, count = block.features(3)
+    monkeypatch.undo()
+    assert (np.stack([ids[place + j] for j in range(3)], 1) == wanted).all() and count.sum() == len(which) == 99_996
+    texts = [f"{i:x}" * (i % 5) for i in range(3000)]
+    flat, ends = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([len(t) for t in texts])
+    monkeypatch.setattr(importance, "CRC_ROWS", 70)
+    assert importance.crc32(flat, np.concatenate(([0], ends[:-1])), ends).tolist() == [zlib.crc32(t.encode()) for t in texts]
