@@ -10,10 +10,12 @@ rules hold and the score is at least the mean of the trusted documents' other ha
 less SPREAD standard deviations. That half was not counted, so it scores as unlabelled
 documents do, at any size of corpus. All sums are of integers, so every run decides alike.
 
-Counting joins documents with the trusted ids once (a broadcast up to
-BROADCAST_IDS ids); a document's n-grams are exploded and
+Texts are read, split and hashed once: each document's measures and its words' buckets,
+in order, are stored, at about half the size of the compressed texts, until the scores are there. A pair's bucket follows from
+those of its words. Counting joins this table with the trusted ids (a broadcast up to
+BROADCAST_IDS ids); n-grams are exploded and
 summed within their task before anything is shuffled, so a shuffle carries a row
-for each document or each bucket. The weights (BUCKETS integers) go out as a
+for each bucket. The weights (BUCKETS integers) go out as a
 literal; everything is built-in expressions.
 
 Edge cases: null and empty texts have no words and fail the base rules; without
@@ -30,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import stored, table
+from marlstone.llm.common import release, stored, table
 
 GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -64,21 +66,46 @@ def hashed(word: Column) -> Column:
     return F.conv(F.substring(F.md5(word.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def buckets(rows: DataFrame, keys: list[Column], n: int) -> DataFrame:
-    """A row for each word of ``ws``: its bucket b1, and that of the pair with the next word (null at the end) b2."""
-    rows = rows.select(*keys, F.transform("ws", hashed).alias("hs"))  # once for each word
-    pairs = F.arrays_zip(F.col("hs").alias("h1"), F.slice("hs", F.lit(2), F.greatest(F.size("hs"), F.lit(1))).alias("h2"))
-    out = rows.select(*keys, F.explode_outer(pairs).alias("z")).select(*keys, "z.h1", "z.h2")
-    return out.withColumn("b1", F.col("h1") % n).withColumn("b2", (F.col("h1") * 31 + F.col("h2") * 7 + 13) % n).drop("h1", "h2")
+def following(words: Column) -> Column:
+    return F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> list[int]:
-    """Weights of the n buckets in millionths; ``trusted`` has a column doc_id."""
+def paired(first: Column, second: Column, n: int) -> Column:
+    """The bucket of a pair, from those of its words: hashes modulo n do as well as whole ones."""
+    return (first * 31 + second * 7 + 13) % n
+
+
+def measured(docs: DataFrame, n: int = BUCKETS) -> DataFrame:
+    """Base measures of each row and its words' buckets ``hs``, in their order."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", words(F.col("text")).alias("ws"))
+    rows = rows.select("*", F.transform("ws", lambda w: F.xxhash64(w)).alias("wh"))  # windows are hashed from numbers, words only once
+    windows = F.slice("wh", F.lit(1), F.greatest(F.size("wh") - 4, F.lit(0)))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
+    rows = rows.select(
+        "doc_id", "ws",
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
+        lines.alias("lines"),
+        F.transform(windows, lambda w, i: F.xxhash64(w, *[F.get("wh", i + k) for k in range(1, 5)])).alias("grams"),
+    )
+    return rows.select(
+        "doc_id", "word_chars", "n_symbols",
+        F.size("ws").cast("long").alias("n_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("grams")).alias("n_repeat_words"),
+        F.transform("ws", lambda w: (hashed(w) % n).cast("int")).alias("hs"),
+    )
+
+
+def weights(rows: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> list[int]:
+    """Weights of the n buckets in millionths, from ``measured`` rows; ``trusted`` has a column doc_id."""
     ids = trusted.select("doc_id").distinct().withColumn("good", F.lit(True))
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left")
-    rows = rows.select(words(F.col("text")).alias("ws"), F.coalesce("good", F.lit(False)).cast("int").alias("good"))
-    grams = buckets(rows, [F.col("good")], n).select("good", F.explode(F.array("b1", "b2")).alias("bucket")).where("bucket is not null")
+    rows = rows.select("doc_id", "hs").join(F.broadcast(ids) if few else ids, "doc_id", "left")
+    pairs = F.arrays_zip(F.col("hs").alias("b"), following(F.col("hs")).alias("next"))
+    grams = rows.select(F.coalesce("good", F.lit(False)).cast("int").alias("good"), F.explode(pairs).alias("z"))
+    grams = grams.select("good", F.explode(F.array("z.b", paired(F.col("z.b"), F.col("z.next"), n))).alias("bucket")).where("bucket is not null")
     counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()  # at most n rows
     raw, target = [0] * n, [0] * n
     for r in counted:
@@ -93,36 +120,14 @@ def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> list[int]:
     return out
 
 
-def measured(docs: DataFrame, weight: list[int]) -> DataFrame:
-    """Base measures and the sum of weights over n-grams, for each row."""
+def weighed(rows: DataFrame, weight: list[int]) -> DataFrame:
+    """``measured`` rows with the number of their n-grams and the sum of these n-grams' weights, without ``hs``."""
     n = len(weight)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("ws"))
-    rows = rows.select("*", F.transform("ws", lambda w: F.xxhash64(w)).alias("wh"))  # windows are hashed from numbers, words only once
-    five = F.arrays_zip(*[F.slice("wh", k + 1, F.greatest(F.size("wh") - 4, F.lit(0))).alias(f"w{k}") for k in range(5)])
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
-    rows = rows.select(
-        "doc_id", "row", "ws",
-        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
-        F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
-        lines.alias("lines"),
-        F.when(F.size("ws") >= 5, F.transform(five, lambda z: F.xxhash64(z))).otherwise(F.array().cast("array<bigint>")).alias("grams"),
-    )
-    rows = rows.select(
-        "doc_id", "row", "ws", "n_symbols", "word_chars",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("grams")).alias("n_repeat_words"),
-    )
-    keys = ["row", "doc_id", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    each = buckets(rows, [F.col(k) for k in keys], n)
     literal = F.from_json(F.lit(json.dumps(weight)), "array<bigint>")
-    sums = each.groupBy("row").agg(
-        *[F.first(k).alias(k) for k in keys[1:]],
-        F.count("b1").alias("n_words"),
-        (F.count("b1") + F.count("b2")).alias("n_grams"),
-        F.coalesce(F.sum(F.coalesce(F.get(literal, F.col("b1").cast("int")), F.lit(0)) + F.coalesce(F.get(literal, F.col("b2").cast("int")), F.lit(0))), F.lit(0)).alias("llr"),
-    )
-    return sums.drop("row")
+    of = lambda bucket: F.coalesce(F.get(literal, bucket), F.lit(0).cast("long"))
+    each = F.zip_with("hs", following(F.col("hs")), lambda b, then: of(b) + of(paired(b, then, n)))  # a last word has none after it: null
+    llr = F.aggregate(each, F.lit(0).cast("long"), lambda total, x: total + x)
+    return rows.withColumns({"n_grams": F.greatest(2 * F.col("n_words") - 1, F.lit(0)), "llr": llr}).drop("hs")
 
 
 def fitted(doc_id: Column) -> Column:
@@ -132,9 +137,11 @@ def fitted(doc_id: Column) -> Column:
 
 def judged(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, spread: float = SPREAD) -> DataFrame:
     trusted = trusted.select("doc_id").distinct()
-    rows = measured(docs, weights(docs, trusted.where(fitted(F.col("doc_id"))), n))
+    read = stored(measured(docs, n))
+    rows = weighed(read, weights(read, trusted.where(fitted(F.col("doc_id"))), n))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     rows = stored(rows.withColumn("score", F.expr(f"llr div (n_grams + {PRIOR})")))
+    release(read)
     good = trusted.where(~fitted(F.col("doc_id")))
     x = F.col("score").cast("decimal(38,0)")
     s = rows.where("not base_failed").join(good, "doc_id", "left_semi").agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")).first()

@@ -312,6 +312,27 @@ def test_quality_rules(spark, texts):
     assert quality_rules.judged(docs, docs.select("doc_id").limit(0)).where("kept <> (not base_failed)").count() == 0
 
 
+def test_quality_rules_hash_words_once(spark, monkeypatch):
+    """Counting and scoring share one pass over the texts; the stored buckets give the scores that whole hashes give."""
+    texts = ["", None, "one", "the cat sat on the mat " * 4, " ".join(f"w{i % 37}" for i in range(300))]
+    first = next(i for i in range(100) if hashlib.md5(str(i + 4).encode()).hexdigest() < "8")  # the last text is trusted and counted
+    docs = spark.createDataFrame(list(enumerate(texts, first)) + [(None, "no id here")], "doc_id long, text string")
+    made, n, hashed = [], 1 << 7, quality_rules.hashed
+    monkeypatch.setattr(quality_rules, "hashed", lambda w: made.append(1) or hashed(w))
+    got = {r.doc_id: r.score for r in quality_rules.judged(docs, docs.where(f"doc_id = {first + 4}").select("doc_id"), n).collect()}
+    assert len(made) == 1 and len(got) == 6
+    whole = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:7], 16)
+    grams = {}
+    for i, t in [*enumerate(texts, first), (None, "no id here")]:
+        h = [whole(w) for w in (t or "").split()]
+        grams[i] = [x % n for x in h] + [(a * 31 + b * 7 + 13) % n for a, b in zip(h, h[1:])]
+    trusted = collections.Counter(grams[first + 4])
+    raw = collections.Counter(b for g in grams.values() for b in g)
+    p = [(raw[b] + 1) / (raw.total() + n) for b in range(n)]
+    weight = [round(1e6 * math.log((trusted[b] + n * p[b]) / (trusted.total() + n) / p[b])) for b in range(n)]
+    assert got == {i: int(sum(weight[b] for b in g) / (len(g) + quality_rules.PRIOR)) for i, g in grams.items()}
+
+
 # --- 8 ---
 
 
