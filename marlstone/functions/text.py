@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 # --- Fixed values: patterns, word lists and thresholds that results depend on ---
@@ -52,14 +53,17 @@ def stripped(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
-@pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFC")
+@F.arrow_udf(StringType())
+def _nfc(texts: pa.Array) -> pa.Array:
+    """Composed form of each text; null where it is the text itself."""
+    out = (None if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in (x.as_py() for x in texts))
+    return pa.array(out, pa.string())
 
 
 def nfc(c: Column) -> Column:
-    """Composed form. Text below U+0300 is composed already and stays in the JVM's hands."""
-    return F.when(c.rlike(r"[^\x00-˿]"), _nfc(c)).otherwise(c)
+    """Composed form. Text below U+0300 is composed already and stays in the JVM's hands: a call in a branch is made for all rows, so such texts are nulls
+    to it. Only texts that change come back."""
+    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x00-˿]"), c)), c)
 
 
 def clean_text(c: Column, compose: bool = True) -> Column:

@@ -175,3 +175,12 @@ def test_tables_of_queries_are_read_in_small_arrow_batches(spark):
     queries_text.table(spark, DATA, "documents")
     assert spark.conf.get(key) == "1000000"
     spark.conf.unset(key)
+
+
+def test_composing_sends_no_text_that_stays(spark):
+    """Texts below U+0300 are nulls to Python, and only texts that change come back, so that a worker's memory does not follow what it has seen."""
+    texts = ["plain", "café", "café", "’quoted’", "한", "ạ̇ b", "", None]
+    assert T._nfc.func(pa.array(texts)).to_pylist() == [None, None, "café", None, "한", "ạ̇ b", None, None]
+    seen = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.nfc(F.col("t")).alias("c"))
+    assert "_nfc(CASE WHEN RLIKE(t" in seen._jdf.queryExecution().executedPlan().toString()
+    assert [r.c for r in seen.collect()] == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
