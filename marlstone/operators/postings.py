@@ -134,21 +134,29 @@ class StoredBm25:
         bounds = kept(bounds.withColumn("others", F.sum("top").over(Window.partitionBy("query_id")) - F.col("top")).withColumn("least", F.sum(F.least("weight", F.lit(0.0))).over(Window.partitionBy("query_id"))))
         gone = self._read("gone", GONE).groupBy("doc_id").agg(F.max("before").alias("before"))
         if gone.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-            gone = F.broadcast(gone)  # else all products of postings and queries would be shuffled to meet it
+            gone = F.broadcast(gone)  # else it is shuffled to meet the postings, not all their products with queries
         alive = lambda rows: rows.join(gone, "doc_id", "left").where("before is null or segment >= before") if len(self.segments()) > 1 else rows
 
-        def scored(rows: DataFrame) -> DataFrame:
-            each = rows.select("query_id", "weight", "segment", F.inline("docs"))
-            return alive(each).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * part(F.col("tf"), F.col("dl"))).alias("score"))
+        rounds = max(1, -(-bounds.count() // BROADCAST_TERMS))
+        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def scored(some: DataFrame, asked: DataFrame) -> DataFrame:
+            """Scores of ``asked`` (bounds, floor) by blocks ``some``. Postings are dealt by document and queries' terms are sent to all tasks, in rounds, whatever
+            their files' sizes suggest: a task adds up its documents' products of postings and queries, which are neither shuffled nor sent."""
+            each = alive(some.select("term", "segment", "most_tf", "least_dl", F.inline("docs"))).repartition(spread, "doc_id")
+            out = None
+            for r in range(rounds):
+                part_of = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)
+                rows = each.join(F.broadcast(part_of), "term").where(~skipped).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * part(F.col("tf"), F.col("dl"))).alias("score"))
+                out = rows if out is None else out.unionByName(rows)
+            return out
 
-        # each query's blocks without their documents, which would be written once for every query that has the term
-        place = ["term", "segment", "part", "block"]
-        asked = lists.drop("docs").join(bounds.select("query_id", "term", "weight", "others", "least"), "term")
-        first = lists.where(F.col("block") < LEADING).join(bounds.where("weight > 0").select("query_id", "term", "weight"), "term")
-        floor = top(scored(first), k, [F.desc("score"), F.asc("doc_id")]).where(F.col("rank") == k - 1).select("query_id", F.col("score").alias("floor"))
         reach = F.col("weight") * part(F.col("most_tf"), F.col("least_dl")) + F.col("others")
         # terms of negative weight may take something from the floor, and are never skipped
         skipped = F.coalesce((F.col("weight") > 0) & (F.col("least") == 0) & (reach < F.col("floor") - SLACK), F.lit(False))
-        asked = kept(asked.join(floor, "query_id", "left").select("query_id", "weight", *place, skipped.alias("skipped")))
-        total = scored(lists.select(*place, "docs").join(asked.where("not skipped").select("query_id", "weight", *place), place)).withColumn("score", F.round("score", DIGITS)).where("score > 0")
-        return top(total, k, [F.desc("score"), F.asc("doc_id")]), asked.select("query_id", "term", "segment", "part", "block", "skipped")
+        open_ = bounds.where("weight > 0").withColumn("floor", F.lit(None).cast("double"))
+        floor = top(scored(lists.where(F.col("block") < LEADING), open_), k, [F.desc("score"), F.asc("doc_id")]).where(F.col("rank") == k - 1).select("query_id", F.col("score").alias("floor"))
+        asked = kept(bounds.join(floor, "query_id", "left").select("query_id", "term", "weight", "others", "least", "floor"))
+        total = scored(lists, asked).withColumn("score", F.round("score", DIGITS)).where("score > 0")
+        blocks = lists.drop("docs").join(asked, "term").select("query_id", "term", "segment", "part", "block", skipped.alias("skipped"))
+        return top(total, k, [F.desc("score"), F.asc("doc_id")]), blocks

@@ -142,6 +142,20 @@ def test_blocks_that_cannot_reach_the_floor_are_skipped(spark, tmp_path, monkeyp
     assert counts[1][0] == 75 and counts[1][1] > 75 / 2  # pear could lift any apple to the floor, so the second query skips none
 
 
+def test_products_of_postings_and_queries_stay_where_they_are_made(spark, tmp_path, monkeypatch):
+    import re
+
+    from marlstone.operators import postings
+
+    docs = texts_of(3, 120)
+    index = postings.StoredBm25(spark, str(tmp_path)).add(spark.createDataFrame(docs, "doc_id long, text string"))
+    plan = index.search(spark.createDataFrame(ASKED, "query_id long, text string"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\d+L, doc_id#\d+L", plan)  # scores of pairs are not shuffled
+    assert not re.search(r"Join \[term#\d+, segment#\d+", plan)  # a row for each query's block, in small files, is not sent to all tasks
+    monkeypatch.setattr(postings, "BROADCAST_TERMS", 3)  # more terms than that are asked in rounds
+    same(spark, index, docs)
+
+
 def test_postings_of_nothing(spark, tmp_path):
     from marlstone.operators import postings
 
