@@ -141,17 +141,18 @@ def surviving(raw: DataFrame, run: str | None = None, least: int = LEAST, dedup:
     copies; add hash, size, language and the heading carried forward among what survives. Rows of ``always`` are
     kept at any size.
 
-    A copy's first place is a minimum per (run, hash), summed within tasks, so a text copied everywhere is no hot spot."""
+    A copy's first place is a minimum per (run, hash), summed within tasks, so a text copied everywhere is no hot spot. What is told
+    from a chunk's text is told before rows are shuffled, so that the text moves only if the caller wants it."""
     enough = F.col("chunk_size") >= least
     rows = raw.withColumn("chunk_size", F.length("chunk_text")).where(enough if always is None else enough | always).withColumn("chunk_hash", text_hash(F.col("chunk_text")))
+    rows = rows.withColumn("language", language_hint(F.col("chunk_text"))).withColumn("_heading", F.nullif(heading(F.col("chunk_text")), F.lit("")))
     if dedup:
         scope = [run] if run else []
         first = rows.groupBy(*scope, "chunk_hash").agg(F.min(F.struct("seq", "chunk_index")).alias("_first"))
         rows = rows.join(first, [*scope, "chunk_hash"]).where(F.struct("seq", "chunk_index") == F.col("_first")).drop("_first")
-    found = F.nullif(heading(F.col("chunk_text")), F.lit(""))
     carried = Window.partitionBy("seq").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_heading", found).withColumn("chunk_context", F.coalesce(F.last("_heading", ignorenulls=True).over(carried), F.lit("")))
-    return rows.withColumn("language", language_hint(F.col("chunk_text"))).drop("_heading")
+    rows = rows.withColumn("chunk_context", F.coalesce(F.last("_heading", ignorenulls=True).over(carried), F.lit(""))).drop("_heading")
+    return rows if "language" in raw.columns else rows.select(*[c for c in rows.columns if c != "language"], "language")
 
 
 def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, run: str | None = None, dedup: bool = True) -> DataFrame:
@@ -265,16 +266,19 @@ def hybrid_chunks(raw: DataFrame, size: int = HYBRID["size"], overlap: int = HYB
     raw_text = pieces(docs.where(F.col("text") != ""), size, overlap, with_images=True).withColumn("is_image_only", F.lit(False))
     alone = docs.where(F.col("text") == "").select("*", F.posexplode("images").alias("chunk_index", "image"))
     alone = alone.select(*[c for c in docs.columns if c not in ("text", "images")], F.array("image").alias("images"), "chunk_index", image_text(F.col("image")).alias("chunk_text"), F.lit(True).alias("is_image_only"))
-    rows = surviving(raw_text.unionByName(alone), run, least, always=F.col("is_image_only"))
-    rows = rows.withColumn("chunk_context", F.when(F.col("is_image_only"), "").otherwise(F.col("chunk_context")))
+    rows = raw_text.unionByName(alone)
     mentioned = F.filter("images", lambda i: F.col("is_image_only") | F.col("chunk_text").contains(F.concat(F.lit("[Image "), i["image_index"].cast("string"), F.lit(":"))))
     preview = lambda t: F.when(F.length(t) > 100, F.concat(F.substring(t, 1, 100), F.lit("..."))).otherwise(t)
+    # before rows are shuffled, as a page's images with their whole texts stand beside each of its chunks
+    shown = F.transform(mentioned, lambda i: F.struct(i["image_index"].alias("image_index"), i["source_type"].alias("source_type"), preview(i["image_text"]).alias("text_preview")))
+    rows = surviving(rows.withColumn("referenced_images", shown).drop("images"), run, least, always=F.col("is_image_only"))
+    rows = rows.withColumn("chunk_context", F.when(F.col("is_image_only"), "").otherwise(F.col("chunk_context")))
     return rows.select(
-        *[c for c in rows.columns if c != "images"],
+        *[c for c in rows.columns if c != "referenced_images"],
         F.lit(True).alias("is_hybrid"),
-        F.transform(mentioned, lambda i: F.struct(i["image_index"].alias("image_index"), i["source_type"].alias("source_type"), preview(i["image_text"]).alias("text_preview"))).alias("referenced_images"),
-        F.size(mentioned).alias("image_count"),
-        (F.size(mentioned) > 0).alias("has_images"),
+        "referenced_images",
+        F.size("referenced_images").alias("image_count"),
+        (F.size("referenced_images") > 0).alias("has_images"),
     )
 
 

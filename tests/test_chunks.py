@@ -184,3 +184,14 @@ def test_composing_sends_no_text_that_stays(spark):
     seen = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.nfc(F.col("t")).alias("c"))
     assert "_nfc(CASE WHEN RLIKE(t" in seen._jdf.queryExecution().executedPlan().toString()
     assert [r.c for r in seen.collect()] == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_texts_and_images_of_pages_do_not_move_with_their_chunks(spark):
+    rows = [(i, "f", 1 + i // 4, "pdf_embedded_image" if i % 4 == 0 else "pdf", i, f"SOME HEADING. Words of page {i} that make a sentence long enough to stay here, as it should.", {"language": "english"}) for i in range(12)]
+    raw = spark.createDataFrame(rows, "seq long, source_path string, page int, source_type string, image_index int, text string, metadata map<string,string>")
+    out = chunking.hybrid_chunks(raw).select("seq", "chunk_index", "chunk_hash", "chunk_context", F.size("referenced_images").alias("n"))
+    assert sum(r.n for r in out.collect()) >= 3
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(lines) if "Window" in line)  # the dedup's join and the headings' window come first
+    above = "\n".join(lines[: next(i for i, line in enumerate(lines) if i > at and "Join" in line) + 2])
+    assert "chunk_text" not in above and " images#" not in above and ", images#" not in above, above
