@@ -161,6 +161,17 @@ def test_repeats(spark, texts, monkeypatch, hot):
     assert got == brute_repeats(cases)
 
 
+def test_repeats_of_texts_that_share_an_id(spark):
+    shared = [words(90, 5), words(20, 6) + " " + words(90, 5)[150:420] + words(20, 7), "short", words(20, 6) + " " + words(90, 8)[:300]]
+    rows = [(1, words(30, 1) + " " + words(90, 5)[50:300]), *((2, t) for t in shared), (2, "short"), (5, shared[1]), (5, None), (7, words(90, 8))]
+    order = sorted(set(rows), key=lambda x: (x[0], hashlib.md5((x[1] or "").encode()).hexdigest()))
+    want = brute_repeats([t for _, t in order])
+    want = sorted((i, *want[k]) for k, (i, t) in enumerate(order) for _ in range(rows.count((i, t))))
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
+    assert sum(x[2] for x in want) > 1000
+
+
 def test_anchors_do_not_depend_on_what_is_around():
     r = np.random.default_rng(2)
     text = r.integers(97, 99, 4000).astype(np.uint8)
